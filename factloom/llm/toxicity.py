@@ -112,10 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
         counts, rows_of = np.zeros((2, 1 << bits), np.uint32), np.zeros(2, np.int64)
         for b in batches:
             is_toxic = b.column("label").to_numpy()
-            owner, number = occurrences(b.column("text"), None, bits)
-            for k in (0, 1):
-                counts[k] += np.bincount(number[is_toxic[owner] == k], minlength=1 << bits).astype(np.uint32)
-                rows_of[k] += int((is_toxic == k).sum())
+            _, bounds = K.raw(b.column("text"))
+            for i, j in K.groups(bounds):
+                owner, number = occurrences(b.column("text").slice(i, j - i), None, bits)
+                for k in (0, 1):
+                    np.add.at(counts[k], number[is_toxic[i:j][owner] == k], np.uint32(1))
+            rows_of += np.bincount(is_toxic, minlength=2)
         for c in range((1 << bits) // _CHUNK):
             part = counts[:, c * _CHUNK : (c + 1) * _CHUNK]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array(rows_of[:1]), pa.array(rows_of[1:]), pa.array([part.tobytes()], pa.binary())], ["chunk", "clean", "toxic", "counts"])
