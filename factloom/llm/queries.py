@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, sharding, sql, toxicity
+from . import bpe, langid, minhash, mixing, quality, sharding, sql, toxicity
 from .common import remainder, table
 
 THRESHOLD = 0.7
@@ -45,6 +45,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
+    "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
