@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, quality, sharding, sql, toxicity
+from . import bpe, langid, minhash, mixing, quality, sharding, sql, toxicity, warc
 from .common import remainder, table
 
 THRESHOLD = 0.7
@@ -37,6 +37,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages")).where(F.col("record_type").isin("response", "revisit"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -71,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_minhash": sql.OP2_MINHASH,
+    "op7_warc": sql.OP7_WARC,
 }

@@ -25,3 +25,17 @@ WITH RECURSIVE words AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least_id USING (doc_id)
 """
+
+OP7_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 1 + 5 * g, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS BIGINT) + 1, 1) FOR k IN range(0, 4)]
+    .array_to_string('') FOR g IN range(0, 8)], '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM q
+"""
