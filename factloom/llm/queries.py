@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, quality, sharding, sql, toxicity, warc
+from . import bpe, langid, media, minhash, mixing, quality, sharding, sql, toxicity, warc
 from .common import remainder, table
 
 THRESHOLD = 0.7
@@ -33,6 +33,20 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.stored_media(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -media.WIDTH, media.WIDTH)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
+    "op4_media": op4_media,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
