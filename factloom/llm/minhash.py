@@ -4,8 +4,11 @@
    keys of `ROWS` minima each, and a signature of the low bytes of all minima.
 2. Texts of equal sets form a class; its smallest doc_id stands for it.  Only classes are compared.
 3. Classes that share a band key are candidates.  Round one compares each with one leader of the key, the class that
-   shares the most keys, so a group of near copies costs as many pairs as it has members.  Its links give components;
-   round two compares what still shares a key across components, so no candidate pair between components is left out.
+   shares the most keys, so a group of near copies costs as many pairs as it has members.  Its links give components.
+   Round two compares what still shares a key across components: a key of at most `CROWD` classes gives its pairs; the
+   classes of larger keys are joined by an exact prefix filter (any two linked sets share a shingle among the rarest
+   quarter of each, and at the first such shingle what is left of both is still long enough), which gives few pairs
+   even where thousands of half-alike texts share a key.  So no pair between components is left out.
 4. A candidate pair's signatures are compared in batches.  After each, a pair goes when the posterior probability that
    its similarity reaches the threshold (uniform prior) is below the chosen miss probability.  Survivors are verified
    on their full shingle sets; only these links count.
@@ -35,6 +38,8 @@ BANDS, ROWS = 64, 6
 BATCH = 32
 MISS = 1e-6
 FILTER_BITS = 1 << 26
+CROWD = 32
+_COUNTS, _PART = 1 << 20, 1 << 15
 _SHINGLES = 1 << 15
 
 PREPARED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -195,6 +200,55 @@ def _links(survivors: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return survivors.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _rarity(crowd: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur in the texts of crowd, by 20 bits of their hash: a table of fixed size, only used to order shingles."""
+
+    def counted(batches):
+        counts = np.zeros(_COUNTS, np.uint32)
+        for b in batches:
+            _, bounds = K.raw(b.column("text"))
+            for i, j in K.groups(bounds, 4 * K.BLOCK):
+                np.add.at(counts, (shingle_sets(b.column("text").slice(i, j - i), words)[0] >> np.uint64(44)).astype(np.int64), np.uint32(1))
+        if counts.any():
+            for c in range(_COUNTS // _PART):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([counts[c * _PART : (c + 1) * _PART].tobytes()], pa.binary())], ["part", "counts"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.uint32) for c in t["counts"].to_pylist())
+        return pa.table({"part": t["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = crowd.mapInArrow(counted, "part int, counts binary").groupBy("part").applyInArrow(summed, "part int, counts binary").toArrow().sort_by("part")
+    return np.frombuffer(b"".join(parts["counts"].to_pylist()), np.uint32) if parts.num_rows else np.zeros(_COUNTS, np.uint32)
+
+
+def _crowded_pairs(crowd: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): a superset of the linked pairs across components among crowd (v, component, text)."""
+    rarity = crowd.sparkSession.sparkContext.broadcast(_rarity(crowd, words))
+
+    def prefixes(batches):
+        for b in batches:
+            _, bounds = K.raw(b.column("text"))
+            for i, j in K.groups(bounds, 4 * K.BLOCK):
+                sets, n = shingle_sets(b.column("text").slice(i, j - i), words)
+                ends, out = np.cumsum(n), []
+                for d in np.flatnonzero(n):
+                    s = sets[ends[d] - n[d] : ends[d]]
+                    s = s[np.lexsort((s, rarity.value[(s >> np.uint64(44)).astype(np.int64)]))]
+                    out.append(s[: n[d] - -(-percent * n[d] // 100) + 1])
+                if out:
+                    some = i + np.flatnonzero(n)
+                    sizes = np.array([len(x) for x in out])
+                    at = pa.array(np.repeat(some, sizes))
+                    place = np.concatenate([np.arange(k) for k in sizes])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column("v").take(at), b.column("component").take(at), pa.array(place), pa.array(np.repeat(n[n > 0], sizes))], ["g", "v", "c", "place", "n"])
+
+    rows = crowd.select("v", "component", "text").mapInArrow(prefixes, "g long, v long, c long, place long, n long")
+    x, y = (rows.select("g", *[F.col(k).alias(k + side) for k in ("v", "c", "place", "n")]) for side in "xy")
+    left = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
+    long_enough = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
+    return x.join(y, "g").where((F.col("vx") < F.col("vy")) & (F.col("cx") != F.col("cy")) & long_enough).select(F.col("vx").alias("a"), F.col("vy").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
@@ -221,10 +275,14 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     near = components(one)
 
     labelled = shared.select("v", "key").join(near, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     still = stored(labelled.join(open_keys, "key"), "open")
-    x, y = still.select("key", F.col("v").alias("v"), F.col("component").alias("cv")), still.select("key", F.col("v").alias("w"), F.col("component").alias("cw"))
-    across = x.join(y, "key").where("cv < cw").select(*ordered("v", "w")).distinct().join(star, ["a", "b"], "left_anti")
+    few = still.where(F.col("n") <= CROWD)
+    x, y = few.select("key", F.col("v").alias("v"), F.col("component").alias("cv")), few.select("key", F.col("v").alias("w"), F.col("component").alias("cw"))
+    across = x.join(y, "key").where("cv < cw").select(*ordered("v", "w")).distinct()
+    many = still.where(F.col("n") > CROWD).select("v", "component").distinct()
+    texts = among(docs, many).select(F.col("doc_id").cast("long").alias("v"), "text").join(many, "v")
+    across = across.union(_crowded_pairs(stored(texts, "crowd"), words, percent)).distinct().join(star, ["a", "b"], "left_anti")
     two = _links(stored(_survivors(across, some, percent, miss, bands * rows), "survivors"), docs, words, percent)
     near = components(one.union(two))
     return (
