@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, mixing, quality, sharding, sql, toxicity, warc
+from . import bpe, langid, lattice, media, minhash, mixing, quality, sharding, sql, toxicity, warc
 from .common import remainder, table
 
 THRESHOLD = 0.7
@@ -47,6 +47,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
     "op4_media": op4_media,
+    "op5_lattice": op5_lattice,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
@@ -98,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_minhash": sql.OP2_MINHASH,
+    "op5_lattice": sql.OP5_LATTICE,
     "op7_warc": sql.OP7_WARC,
 }

@@ -39,3 +39,26 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> head THEN head END AS refers_to
 FROM q
 """
+
+OP5_LATTICE = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+), unit AS (
+  SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS l FROM usable
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (a.l * b.l) >= 0.95
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.vec_id
+), least_id AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least_id c ON c.vec_id = e.vec_id LEFT JOIN degree d ON d.vec_id = e.vec_id
+"""
