@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Unit tokens, longest first, and what they make of an amount in billions of NT dollars.
 UNIT_TO_BILLIONS = (
@@ -24,12 +24,15 @@ def _as_double(text: Column) -> Column:
 
 def parse_numeric(cell: Column) -> Column:  # O-40
     """A cell's number or null.  Magnitude characters are dropped, not applied: units belong to tables."""
-    c = strip(cell)
-    negative = c.rlike(r"^[(（]") & c.rlike(r"[)）]$")
-    body = F.when(negative, strip(c.substr(F.lit(2), F.length(c) - 2))).otherwise(c)
-    clean = F.regexp_replace(F.regexp_replace(body, r"(?U)[,$%％\s元仟千萬億NTnt]", ""), "−", "-")
-    value = _as_double(clean)
-    return F.when(~c.isin(*_PLACEHOLDERS), F.when(negative, -value).otherwise(value) + 0.0)
+
+    def number(c: Column) -> Column:
+        negative = c.rlike(r"^[(（]") & c.rlike(r"[)）]$")
+        body = F.when(negative, strip(c.substr(F.lit(2), F.length(c) - 2))).otherwise(c)
+        clean = F.regexp_replace(F.regexp_replace(body, r"(?U)[,$%％\s元仟千萬億NTnt]", ""), "−", "-")
+        value = let(clean, _as_double)
+        return F.when(~c.isin(*_PLACEHOLDERS), F.when(negative, -value).otherwise(value) + 0.0)
+
+    return let(strip(cell), number)
 
 
 def nth_value(cells: Column, n: Column | int, stride: Column | int) -> Column:  # O-41

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, strip_period_footnote
+from .text import let, strip, strip_period_footnote
 
 #: The quarter that a month's name stands for.
 MONTH_QUARTER = {"jan": 1, "feb": 1, "mar": 1, "apr": 2, "may": 2, "jun": 2, "jul": 3, "aug": 3, "sep": 3, "oct": 4, "nov": 4, "dec": 4}
@@ -29,8 +29,10 @@ def parse_period_label(cell: Column) -> Column:  # O-56
     rank counts quarters, a full year is 5; cumulative marks N-month figures, whose rank may be a whole number of
     quarters without being that quarter.
     """
-    c = strip_period_footnote(strip(cell))
+    return let(strip_period_footnote(strip(cell)), _period)
 
+
+def _period(c: Column) -> Column:
     def form(pattern: str, year: Column, rank: Column, cumulative: bool = False, valid: Column | None = None) -> Column:
         made = F.struct(year.cast("int").alias("year"), rank.cast("double").alias("rank"), F.lit(cumulative).alias("cumulative"))
         return F.when(c.rlike(pattern) & (F.lit(True) if valid is None else valid), made)

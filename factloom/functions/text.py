@@ -5,7 +5,9 @@ Java's \\s and trim are ASCII only; documents hold U+3000 and the like, so white
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, with the four information separators that Python's strip() also removes.
@@ -14,6 +16,17 @@ _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _CJK = "[一-鿿]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once and written once in the plan, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later steps refer to without being merged into them: Catalyst would otherwise copy an expression to each of its uses."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.drop(*columns).select("*", made.alias("_c")).select("*", *[F.col(f"_c.{n}").alias(n) for n in columns]).drop("_c")
+
+
 def strip(c: Column) -> Column:  # O-21
     return F.regexp_replace(c, rf"(?U)^{_W}+|{_W}+$", "")
 

@@ -30,7 +30,7 @@ def table_lines(lines: DataFrame) -> DataFrame:
     line without a pipe, a divider, or the next header.
     """
     pipe, divider = F.col("line").contains("|"), T.is_divider(F.col("line"))
-    base = lines.select(*lines.columns, pipe.alias("pipe"), divider.alias("divider"), F.when(pipe, T.split_row(F.col("line"))).alias("cells"))
+    base = T.computed(lines, pipe=pipe, divider=divider, cells=F.when(pipe, T.split_row(F.col("line"))))
     may = base.withColumn("may", F.col("pipe") & F.coalesce(F.lead("divider").over(_BY_LINE), F.lit(False)))
     # candidates in a row take turns: position since the last line that is none
     runs = may.withColumn("last_none", F.max(F.when(~F.col("may"), F.col("line_no"))).over(_SO_FAR))
@@ -79,8 +79,8 @@ def row_lines(lines: DataFrame) -> DataFrame:
     stride is 2 below a header with a % column, 1 below one without, 2 before any header.
     """
     pipe, divider = F.col("line").contains("|"), T.is_divider(F.col("line"))
-    header = pipe & ~divider & F.coalesce(F.lead(divider).over(_BY_LINE), F.lit(False))
-    base = lines.withColumn("cells", T.split_row(F.col("line"))).withColumn("_pipe", pipe).withColumn("_divider", divider).withColumn("_header", header)
+    base = T.computed(lines, cells=T.split_row(F.col("line")), _pipe=pipe, _divider=divider)
+    base = base.withColumn("_header", F.col("_pipe") & ~F.col("_divider") & F.coalesce(F.lead("_divider").over(_BY_LINE), F.lit(False)))
     percent = F.exists("cells", lambda c: c.rlike("[%％]$"))
     marked = base.withColumn("stride", F.when(F.col("_header"), F.when(percent, 2).otherwise(1)))
     filled = marked.withColumn("stride", F.coalesce(F.last("stride", True).over(_SO_FAR), F.lit(2)))
