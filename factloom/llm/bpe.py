@@ -5,12 +5,12 @@ functions and a literal map of ranks:
 
 1. Documents are cut into words (matches of the pattern) where they lie.  Each task numbers the distinct words of a
    chunk of its documents (at most `CHUNK_WORDS` new ones, then a new chunk begins) and stores documents as numbers.
-2. Words of all chunks are grouped; each distinct word is folded: its bytes are an array of pieces, and each step
-   joins the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank.
-3. The ids go back to the chunks that hold the word, a dictionary file for each chunk in the shared folder; documents
+2. The words of all chunks meet by hash, in packed lists; each distinct word is folded: its bytes are an array of
+   pieces, and each step joins the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank.
+3. The ids go back to the chunks that hold the word, as a dictionary for each chunk in the shared folder; documents
    are assembled from their numbers and the dictionary of their chunk.
 
-Only words travel between tasks, no text and no occurrence.  Decoding gathers the byte pieces of a document's ids.
+Only distinct words of chunks travel between tasks, no text and no occurrence.  Decoding gathers the byte pieces of a document's ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +93,35 @@ def words_of(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: slow(text) if other(text) else quick(text)
 
 
-CODED = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("word", T.StringType())])
+CODED = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
+FOLDING = "bucket int, words array<string>, chunk long, places binary"
+_SLICE = 500
 
 
-def coded(docs: DataFrame, pattern: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """For each document its words as numbers (byte planes of unsigned 32-bit), and for each chunk its words."""
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers byte plane by byte plane, which compresses well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(*parts: bytes) -> bytes:
+    return zlib.compress(b"".join(len(p).to_bytes(8, "little") + p for p in parts), 6)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    data, at, out = zlib.decompress(data), 0, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def coded(docs: DataFrame, pattern: str, buckets: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """For each document its words as numbers, and for each chunk and bucket of words by hash a packed list of numbers and words."""
 
     def run(batches):
         find, names = words_of(pattern), CODED.fieldNames()
@@ -107,11 +130,13 @@ def coded(docs: DataFrame, pattern: str, chunk_words: int = CHUNK_WORDS) -> Data
             return uuid.uuid4().int >> 66, {}
 
         def listed(chunk: int, numbers: dict[str, int]):
-            words = list(numbers)
-            for s in range(0, len(words), 50_000):
-                part = words[s : s + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(s, s + n), pa.int32()), pa.array(part, pa.string())], names)
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            for word, number in numbers.items():
+                raw = word.encode("utf-8")
+                held.setdefault(zlib.crc32(raw) % buckets, []).append((number, raw))
+            packed = [_pack(_planes(np.diff([0, *(x[0] for x in part)])), _planes(np.array([len(x[1]) for x in part])), b"".join(x[1] for x in part)) for part in held.values()]
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names)
 
         chunk, numbers = fresh()
         for b in batches:
@@ -119,11 +144,12 @@ def coded(docs: DataFrame, pattern: str, chunk_words: int = CHUNK_WORDS) -> Data
             held = 0
 
             def out():
-                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.string())], names)
+                n = len(rows)
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
             for doc_id, text in zip(b.column("doc_id"), b.column("text")):
                 codes = [numbers.setdefault(w, len(numbers)) for w in find(text.as_py() or "")]
-                rows.append((chunk, doc_id.as_py(), np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+                rows.append((chunk, doc_id.as_py(), _planes(np.array(codes, np.int64))))
                 held += 4 * len(codes)
                 if len(numbers) > chunk_words:
                     yield from listed(chunk, numbers)
@@ -139,33 +165,90 @@ def coded(docs: DataFrame, pattern: str, chunk_words: int = CHUNK_WORDS) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
-def dictionaries(words: DataFrame, ranks: dict[bytes, int]) -> str:
-    """Folds the distinct words of all chunks; returns the folder with number and ids of each chunk's words."""
+def _met(batches):
+    """Of packed lists in order of bucket: the bucket's distinct words in slices, then for each list the places of its words among them."""
+    names = ["bucket", "words", "chunk", "places"]
+    lists = pa.list_(pa.string())
+    bucket, words, places = None, {}, []
+
+    def out():
+        found = list(words)
+        for s in range(0, len(found), 20 * _SLICE):
+            slices = [found[k : k + _SLICE] for k in range(s, min(s + 20 * _SLICE, len(found)), _SLICE)]
+            n = len(slices)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.array(slices, lists), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+        n = len(places)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.nulls(n, lists), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.binary())], names)
+
+    for b in batches:
+        for key, chunk, packed in zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), b.column("words").to_pylist()):
+            if key != bucket:
+                if bucket is not None:
+                    yield from out()
+                bucket, words, places = key, {}, []
+            numbers, lengths, raw = _unpack(packed)
+            ends = np.cumsum(_numbers(lengths)).tolist()
+            at = [words.setdefault(raw[s:e].decode("utf-8"), len(words)) for s, e in zip([0, *ends], ends)]
+            places.append((chunk, _pack(numbers, _planes(np.array(at)))))
+    if bucket is not None:
+        yield from out()
+
+
+def _returned(batches):
+    """Of _met's rows with ids for words: for each list its numbers and their ids, packed."""
+    bucket, flat, sizes, bounds = None, [], [], None
+    for b in batches:
+        rows: list[tuple[int, bytes]] = []
+        ids = b.column("ids")
+        for k, (key, chunk, places) in enumerate(zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), b.column("places").to_pylist())):
+            if key != bucket:
+                bucket, flat, sizes, bounds = key, [], [], None
+            if places is None:
+                each = ids[k].values
+                sizes.append(each.value_lengths().to_numpy(zero_copy_only=False))
+                flat.append(each.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+                continue
+            if bounds is None:
+                all_ids, bounds = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+            numbers, at = _unpack(places)
+            which = _numbers(at).astype(np.int64)
+            rows.append((chunk, _pack(numbers, _planes(bounds[which + 1] - bounds[which]), _planes(_spread(all_ids, bounds, which)))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "ids"])
+
+
+def dictionaries(lists: DataFrame, ranks: dict[bytes, int]) -> str:
+    """Folds the distinct words of all chunks; returns the folder with the numbers and ids of each chunk's words."""
     # the SQL strings of a plan would each carry the whole literal
-    conf, name = words.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    conf, name = lists.sparkSession.conf, "spark.sql.maxPlanStringLength"
     before = conf.get(name)
     conf.set(name, "10000")
     try:
-        held = words.groupBy("word").agg(F.collect_list(F.struct("chunk", "number")).alias("at"))
-        ids = held.select(folded(F.col("word"), rank_map(ranks)).alias("ids"), F.explode("at").alias("at"))
-        path = f"{shared_dir(words.sparkSession)}/dictionaries"
-        ids.select("at.chunk", "at.number", "ids").repartition("chunk").sortWithinPartitions("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+        rank = rank_map(ranks)
+        met = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOLDING)
+        ids = met.select("bucket", "chunk", "places", F.transform("words", lambda w: folded(w, rank)).alias("ids"))
+        path = f"{shared_dir(lists.sparkSession)}/dictionaries"
+        ids.mapInArrow(_returned, "chunk long, ids binary").repartition("chunk").sortWithinPartitions("chunk").write.option("compression", "uncompressed").partitionBy("chunk").parquet(path)
     finally:
         conf.set(name, before)
     return path
 
 
-@cache
 def _loaded(path: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's ids, word after word, and the bounds of its words."""
+    """A chunk's ids, word after word in order of number, and the bounds of its words."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(f"{path}/chunk={chunk}")
-    t = ds.dataset(at, filesystem=store, format="parquet").to_table().sort_by("number").combine_chunks()
-    ids = t["ids"].combine_chunks() if isinstance(t["ids"], pa.ChunkedArray) else t["ids"]
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    return ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+    numbers, sizes, flat = [], [], []
+    for packed in ds.dataset(at, filesystem=store, format="parquet").to_table(columns=["ids"])["ids"].to_pylist():
+        n, k, i = _unpack(packed)
+        numbers.append(np.cumsum(_numbers(n).astype(np.int64)))
+        sizes.append(_numbers(k).astype(np.int64))
+        flat.append(_numbers(i))
+    order = np.argsort(np.concatenate(numbers))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return _spread(np.concatenate(flat), bounds, order), np.concatenate([[0], np.cumsum(np.diff(bounds)[order])])
 
 
 def _spread(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -180,8 +263,9 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
     A null or empty text has empty ids; repeated rows are encoded each; other columns are ignored.
     """
-    table = stored(coded(docs, pattern), "coded")
-    path = dictionaries(table.where("word IS NOT NULL").select("chunk", "number", "word"), ranks)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = stored(coded(docs, pattern, buckets), "coded")
+    path = dictionaries(table.where("bucket IS NOT NULL").select("chunk", "bucket", "words"), ranks)
 
     def run(batches):
         last: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
@@ -194,16 +278,15 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                     ids.append(b"")
                 else:
                     if last is None or last[0] != chunk.as_py():
-                        last = chunk.as_py(), _loaded.__wrapped__(path, chunk.as_py())
-                    which = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-                    ids.append(_spread(*last[1], which).tobytes())
+                        last = chunk.as_py(), _loaded(path, chunk.as_py())
+                    ids.append(_spread(*last[1], _numbers(codes).astype(np.int64)).tobytes())
                 held += len(ids[-1])
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
                     done, ids, held = done + len(ids), [], 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return table.where("word IS NULL").select("chunk", "doc_id", "codes").mapInArrow(run, "doc_id long, ids binary")
+    return table.where("bucket IS NULL").select("chunk", "doc_id", "codes").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
