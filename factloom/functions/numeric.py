@@ -47,7 +47,7 @@ def annualize(value: Column, quarter: Column) -> Column:  # O-42
 
 
 def format_value(value: Column) -> Column:  # O-43
-    return F.coalesce(F.format_number(value, "#,##0.##########"), F.lit("N/A"))
+    return F.coalesce(F.call_function("format_number", value, F.lit("#,##0.##########")), F.lit("N/A"))
 
 
 def format_pct(value: Column) -> Column:  # O-44

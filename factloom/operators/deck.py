@@ -58,7 +58,7 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
     terms = dims.curated_terms()
     primary = _primary(docs, banks)
     groups = [([terms[k] for k in dims.RATIO_TERMS], True, False), ([terms[k] for k in dims.BALANCE_TERMS + dims.HELPER_TERMS], False, True)]
-    found = matching.best(matching.in_lines(X.doc_lines(docs), groups), primary.select("folder", "primary"))
+    found = matching.best(matching.in_lines(X.doc_lines(docs).persist(), groups), primary.select("folder", "primary"))
     names = dims.RATIO_TERMS + dims.BALANCE_TERMS + dims.HELPER_TERMS
     want = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("term"), F.lit("ratio" if n in dims.RATIO_TERMS else "balance" if n in dims.BALANCE_TERMS else "helper").alias("kind")) for i, n in enumerate(names)])
     legal = F.create_map(*[F.lit(x) for kv in dims.REGULATOR_NAMES.items() for x in kv])

@@ -15,7 +15,7 @@ from ..functions import period as P
 from ..functions import text as T
 from . import tables as X
 
-_FIRST = F.lit(0)
+
 
 
 def strength(term: Column, text: Column) -> Column:  # O-83, O-108, O-131
@@ -60,7 +60,7 @@ def candidates(tables: DataFrame, terms: Column, desired: str | None = None) ->
     terms: array of struct(term, prefer_quarterly, require_absolute).
     """
     t = with_orientation(tables).where("period_col IS NOT NULL OR by_column")
-    h0 = F.get("header", _FIRST)
+    h0 = F.get("header", F.lit(0))
     own = F.when((F.coalesce(h0, F.lit("")) != "") & P.parse_period_label(h0).isNull() & T.names_company(h0), h0)
     entity = F.coalesce(own, F.when(T.names_company(F.col("heading")), F.col("heading")))
     header_periods = F.filter(F.transform("header", lambda c, i: F.struct(P.parse_period_label(c).alias("period"), i.alias("pos"), c.alias("label"))), lambda x: x.period.isNotNull() & (x.pos > 0))
@@ -70,7 +70,7 @@ def candidates(tables: DataFrame, terms: Column, desired: str | None = None) ->
         periods = F.filter(periods, lambda x: x.label == desired)
     t = T.computed(t, entity=entity, periods=periods).where(F.size("periods") > 0)
     sections = X.row_sections(F.col("rows"))
-    t = T.computed(t, labels=F.when(F.col("by_column"), F.transform(F.arrays_zip(F.col("rows"), sections.alias("section")), lambda x, i: F.struct(F.get(x.rows, _FIRST).alias("label"), i.alias("pos"), x.section.alias("section"), F.forall(F.slice(x.rows, 2, 1 << 20), lambda c: c == "").alias("bare")))).otherwise(
+    t = T.computed(t, labels=F.when(F.col("by_column"), F.transform(F.arrays_zip(F.col("rows"), sections.alias("section")), lambda x, i: F.struct(F.get(x.rows, F.lit(0)).alias("label"), i.alias("pos"), x.section.alias("section"), F.forall(F.slice(x.rows, 2, 1 << 20), lambda c: c == "").alias("bare")))).otherwise(
         F.filter(F.transform("header", lambda c, i: F.struct(c.alias("label"), i.cast("int").alias("pos"), F.lit(None).cast("string").alias("section"), F.lit(False).alias("bare"))), lambda x: x.pos != F.col("period_col"))
     ))
     x = t.withColumn("want", F.explode(terms)).select("*", "want.*").drop("want")
@@ -89,7 +89,7 @@ def candidates(tables: DataFrame, terms: Column, desired: str | None = None) ->
     # without a candidate the heading may name the term, if one value column or row is left
     lone = F.filter("labels", lambda c: (c.label != "") & ~c.bare & ~T.is_share_or_growth(c.label))
     head_strength = F.when(F.col("heading").isNotNull(), strength(term, F.col("topic"))).otherwise(0)
-    by_head = F.when(F.col("best").isNull() & (F.size(lone) == 1) & (head_strength > 0), F.struct(head_strength.alias("s"), F.get(lone, _FIRST).getField("pos").alias("pos"), F.col("topic").alias("label")))
+    by_head = F.when(F.col("best").isNull() & (F.size(lone) == 1) & (head_strength > 0), F.struct(head_strength.alias("s"), F.get(lone, F.lit(0)).getField("pos").alias("pos"), F.col("topic").alias("label")))
     named = F.when(F.col("best").isNotNull(), F.struct((-F.col("best.s")).alias("s"), F.col("best.pos").alias("pos"), F.col("best.label").alias("label")))
     x = T.computed(x, pick=F.coalesce(named, by_head)).where("pick IS NOT NULL")
 
@@ -99,7 +99,7 @@ def candidates(tables: DataFrame, terms: Column, desired: str | None = None) ->
 
     x = T.computed(x, cellsp=F.transform(P.ranked(F.col("periods"), F.col("prefer_quarterly")), lambda p: F.struct(p.period.alias("period"), p.label.alias("label"), cell(p).alias("cell"))))
     usable = F.filter("cellsp", lambda c: c.cell.isNotNull() & ~(F.col("require_absolute") & T.is_percent_cell(c.cell)) & N.parse_numeric(c.cell).isNotNull())
-    x = T.computed(x, found=F.get(usable, _FIRST)).where("found IS NOT NULL")
+    x = T.computed(x, found=F.get(usable, F.lit(0))).where("found IS NOT NULL")
     return x.select(
         "folder", "file_ord", "file_name", "header_line", F.col("term.name").alias("term"), "prefer_quarterly", N.parse_numeric(F.col("found.cell")).alias("value"), F.col("pick.label").alias("matched_label"),
         F.col("found.label").alias("period_label"), F.col("found.period.rank").alias("period_rank"), F.col("pick.s").alias("strength"), "entity", T.is_percent_cell(F.col("found.cell")).alias("is_percent"), "scale",

@@ -93,9 +93,9 @@ def filing_summary(docs: DataFrame, kind: str = "full", period: int = 1, deck_ra
     """
     spark = docs.sparkSession
     folders = (classify.identity(docs) if banks is None else banks).where(F.col("bank").isNotNull() & F.col("industry").isin(*dims.BANKING)).select("folder", "bank")
-    lines = X.doc_lines(docs)
+    lines = X.doc_lines(docs).persist()  # parsed once; all that follows are joins
     rows = X.row_lines(lines)
-    entries = X.code_entries(rows)
+    entries = X.code_entries(rows).persist()
     needed = needed_codes(spark, folders, kind)
     fall = needed.where("slot IS NOT NULL").join(F.broadcast(dims.fallbacks(spark)), "slot").select("folder", "code", "label").distinct()
     index = lookup.code_index(rows, entries, needed.select("folder", "code").distinct(), fall, period)

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import text as T
 
 KEY = ["folder", "file_ord"]
-_BY_LINE = Window.partitionBy(*KEY).orderBy("line_no")
-_SO_FAR = _BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _by_line() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("line_no")
+
+
+def _so_far(last: int = 0) -> WindowSpec:
+    return _by_line().rowsBetween(Window.unboundedPreceding, last)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -31,14 +36,14 @@ def table_lines(lines: DataFrame) -> DataFrame:
     """
     pipe, divider = F.col("line").contains("|"), T.is_divider(F.col("line"))
     base = T.computed(lines, pipe=pipe, divider=divider, cells=F.when(pipe, T.split_row(F.col("line"))))
-    may = base.withColumn("may", F.col("pipe") & F.coalesce(F.lead("divider").over(_BY_LINE), F.lit(False)))
+    may = base.withColumn("may", F.col("pipe") & F.coalesce(F.lead("divider").over(_by_line()), F.lit(False)))
     # candidates in a row take turns: position since the last line that is none
-    runs = may.withColumn("last_none", F.max(F.when(~F.col("may"), F.col("line_no"))).over(_SO_FAR))
+    runs = may.withColumn("last_none", F.max(F.when(~F.col("may"), F.col("line_no"))).over(_so_far()))
     head = runs.withColumn("header", F.col("may") & (F.pmod(F.col("line_no") - F.coalesce("last_none", F.lit(-1)), F.lit(2)) == 1))
-    at = head.withColumn("header_line", F.last(F.when(F.col("header"), F.col("line_no")), True).over(_SO_FAR))
+    at = head.withColumn("header_line", F.last(F.when(F.col("header"), F.col("line_no")), True).over(_so_far()))
     rel = F.col("line_no") - F.col("header_line")
     stop = at.withColumn("stop", (rel >= 2) & (~F.col("pipe") | F.col("divider")))
-    broken = F.max(F.when(F.col("stop"), F.col("line_no"))).over(_SO_FAR) > F.col("header_line")
+    broken = F.max(F.when(F.col("stop"), F.col("line_no"))).over(_so_far()) > F.col("header_line")
     inside = stop.withColumn("header_line", F.when(~F.coalesce(broken, F.lit(False)), F.col("header_line")))
     row = (F.col("line_no") - F.col("header_line")) >= 2
     return inside.withColumn("row_idx", F.when(row, F.col("line_no") - F.col("header_line") - 2)).drop("may", "last_none", "stop")
@@ -49,7 +54,7 @@ def doc_lines(docs: DataFrame) -> DataFrame:  # O-03, O-12
     t = table_lines(split_lines(docs))
     codes = F.filter(F.transform(F.col("cells"), lambda c, i: F.when(c.rlike("代碼$"), i)), lambda i: i.isNotNull())
     at = F.when(F.col("header"), F.get(codes, F.lit(1)))
-    cut = t.withColumn("at", F.when(F.col("row_idx").isNotNull(), F.last(F.when(F.col("header"), F.coalesce(at, F.lit(-1))), True).over(_SO_FAR)))
+    cut = t.withColumn("at", F.when(F.col("row_idx").isNotNull(), F.last(F.when(F.col("header"), F.coalesce(at, F.lit(-1))), True).over(_so_far())))
     whole = F.array(F.struct(F.lit(0).alias("half"), F.col("line").alias("line")))
 
     def part(half: int, cells: Column) -> Column:
@@ -80,17 +85,17 @@ def row_lines(lines: DataFrame) -> DataFrame:
     """
     pipe, divider = F.col("line").contains("|"), T.is_divider(F.col("line"))
     base = T.computed(lines, cells=T.split_row(F.col("line")), _pipe=pipe, _divider=divider)
-    base = base.withColumn("_header", F.col("_pipe") & ~F.col("_divider") & F.coalesce(F.lead("_divider").over(_BY_LINE), F.lit(False)))
+    base = base.withColumn("_header", F.col("_pipe") & ~F.col("_divider") & F.coalesce(F.lead("_divider").over(_by_line()), F.lit(False)))
     percent = F.exists("cells", lambda c: c.rlike("[%％]$"))
     marked = base.withColumn("stride", F.when(F.col("_header"), F.when(percent, 2).otherwise(1)))
-    filled = marked.withColumn("stride", F.coalesce(F.last("stride", True).over(_SO_FAR), F.lit(2)))
+    filled = marked.withColumn("stride", F.coalesce(F.last("stride", True).over(_so_far()), F.lit(2)))
     return filled.where("_pipe AND NOT _divider").drop("_pipe", "_divider", "_header")
 
 
 def code_entries(rows: DataFrame) -> DataFrame:  # O-65
     """folder, file_ord, file_name, entry_ord, code, cells, stride: a row whose first cell is shaped like a code, with the cells of the rows after it up to the next."""
     opens = T.looks_like_code(F.get("cells", F.lit(0)))
-    island = rows.withColumn("entry_ord", F.last(F.when(opens, F.col("line_no")), True).over(_SO_FAR)).where("entry_ord IS NOT NULL")
+    island = rows.withColumn("entry_ord", F.last(F.when(opens, F.col("line_no")), True).over(_so_far())).where("entry_ord IS NOT NULL")
     first = island.withColumn("own", F.col("line_no") == F.col("entry_ord"))
     grouped = first.groupBy(*KEY, "file_name", "entry_ord").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "cells"))).alias("parts"), F.max(F.when(F.col("own"), F.col("stride"))).alias("stride")
@@ -106,9 +111,9 @@ def tables(lines: DataFrame) -> DataFrame:
     head = T.heading(F.col("line"))
     number = F.nullif(F.regexp_extract("line", r"(?U)^\s*\d+[.．]\s*(.+?)\s*$", 1), F.lit(""))
     t = table_lines(lines)
-    t = t.withColumn("heading", F.last(head, True).over(_BEFORE)).withColumn("numbered", F.last(number, True).over(_BEFORE))
-    t = t.withColumn("company_before", F.coalesce(F.max(T.names_company(number)).over(_BEFORE), F.lit(False)))
-    back = F.last(numeric.unit_scale(F.col("line")), True).over(_BY_LINE.rowsBetween(-8, -1))
+    t = t.withColumn("heading", F.last(head, True).over(_so_far(-1))).withColumn("numbered", F.last(number, True).over(_so_far(-1)))
+    t = t.withColumn("company_before", F.coalesce(F.max(T.names_company(number)).over(_so_far(-1)), F.lit(False)))
+    back = F.last(numeric.unit_scale(F.col("line")), True).over(_by_line().rowsBetween(-8, -1))
     t = t.withColumn("scale", F.when(F.col("header"), F.coalesce(numeric.unit_scale(F.get("cells", F.lit(0))), back, F.lit(1.0))))
     t = t.where("header_line IS NOT NULL AND (header OR row_idx IS NOT NULL)")
     first = lambda c: F.max(F.when(F.col("header"), F.col(c))).alias(c)
