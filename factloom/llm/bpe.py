@@ -19,17 +19,19 @@ import base64
 import json
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored
+from .common import shared_dir, stored, tidy
 
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 450_000
+BATCH_ROWS = 1_000
 _ALL = 1 << 30
 #: Letters and white space below U+0250, where a faster regex engine serves: its class \w differs from \p{L} and \p{N} there.
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -48,7 +50,7 @@ def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
 
     Spark searches a map from its start, so the literal is an array of small maps, found by CRC-32 of the key.
     """
-    size = 1 << max(4, (2 * len(ranks) - 1).bit_length())
+    size = 1 << max(4, (len(ranks) // 2).bit_length() - 1)
     parts: list[dict[str, int]] = [{} for _ in range(size)]
     for k, v in ranks.items():
         s = k.decode("latin-1")
@@ -161,10 +163,26 @@ def coded(docs: DataFrame, pattern: str, buckets: int, chunk_words: int = CHUNK_
                 yield out()
         if numbers:
             yield from listed(chunk, numbers)
+        numbers = {}
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs run inside."""
+    names = {"rows": "spark.sql.execution.arrow.maxRecordsPerBatch", "plan": "spark.sql.maxPlanStringLength"}
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _met(batches):
     """Of packed lists in order of bucket: the bucket's distinct words in slices, then for each list the places of its words among them."""
     names = ["bucket", "words", "chunk", "places"]
@@ -192,6 +210,8 @@ def _met(batches):
             places.append((chunk, _pack(numbers, _planes(np.array(at)))))
     if bucket is not None:
         yield from out()
+    words, places = {}, []
+    tidy()
 
 
 def _returned(batches):
@@ -219,18 +239,11 @@ def _returned(batches):
 
 def dictionaries(lists: DataFrame, ranks: dict[bytes, int]) -> str:
     """Folds the distinct words of all chunks; returns the folder with the numbers and ids of each chunk's words."""
-    # the SQL strings of a plan would each carry the whole literal
-    conf, name = lists.sparkSession.conf, "spark.sql.maxPlanStringLength"
-    before = conf.get(name)
-    conf.set(name, "10000")
-    try:
-        rank = rank_map(ranks)
-        met = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOLDING)
-        ids = met.select("bucket", "chunk", "places", F.transform("words", lambda w: folded(w, rank)).alias("ids"))
-        path = f"{shared_dir(lists.sparkSession)}/dictionaries"
-        ids.mapInArrow(_returned, "chunk long, ids binary").repartition("chunk").sortWithinPartitions("chunk").write.option("compression", "uncompressed").partitionBy("chunk").parquet(path)
-    finally:
-        conf.set(name, before)
+    rank = rank_map(ranks)
+    met = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOLDING)
+    ids = met.select("bucket", "chunk", "places", F.transform("words", lambda w: folded(w, rank)).alias("ids"))
+    path = f"{shared_dir(lists.sparkSession)}/dictionaries"
+    ids.mapInArrow(_returned, "chunk long, ids binary").repartition("chunk").sortWithinPartitions("chunk").write.option("compression", "uncompressed").partitionBy("chunk").parquet(path)
     return path
 
 
@@ -263,9 +276,12 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
     A null or empty text has empty ids; repeated rows are encoded each; other columns are ignored.
     """
+    tidy()
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = stored(coded(docs, pattern, buckets), "coded")
-    path = dictionaries(table.where("bucket IS NOT NULL").select("chunk", "bucket", "words"), ranks)
+    # small batches, as texts are long; and the SQL strings of a plan would each carry the whole literal
+    with _settings(docs.sparkSession, rows=str(BATCH_ROWS), plan="10000"):
+        table = stored(coded(docs, pattern, buckets), "coded")
+        path = dictionaries(table.where("bucket IS NOT NULL").select("chunk", "bucket", "words"), ranks)
 
     def run(batches):
         last: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None

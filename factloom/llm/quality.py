@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import labelled_sample
+from .common import labelled_sample, tidy
 
 BITS = 18
 TRAIN_ROWS = 8_000
@@ -104,7 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
     data = [(np.append(np.frombuffer(a, "<i4"), bias), np.append(np.frombuffer(x, "<f4"), 1.0)) for a, x in zip(found["at"].to_pylist(), found["x"].to_pylist())]
     if not data:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return QualityModel(*ftrl(data, found["label"].to_numpy(), bits), bits)
+    model = QualityModel(*ftrl(data, found["label"].to_numpy(), bits), bits)
+    del found, data
+    tidy()
+    return model
 
 
 def score(text: Column, model: QualityModel) -> Column:

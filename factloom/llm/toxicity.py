@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import labelled_sample
+from .common import labelled_sample, tidy
 
 BITS = 20
 SIZES = (4, 5, 6)
@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
 
     found = sample.mapInArrow(selected, "doc_id string, label int, at binary").toArrow().sort_by("doc_id")
     w, bias = fit([np.frombuffer(a, "<i4") for a in found["at"].to_pylist()], found["label"].to_numpy(), r)
-    return ToxicityModel(np.where(chosen > 0, w * r, 0.0), bias, bits)
+    model = ToxicityModel(np.where(chosen > 0, w * r, 0.0), bias, bits)
+    del found, counts, parts
+    tidy()
+    return model
 
 
 def score(text: Column, model: ToxicityModel) -> Column:
