@@ -39,7 +39,7 @@ UNION ALL SELECT CAST(s_nationkey AS VARCHAR), printf('P%05d', p_partkey), CAST(
     "stride_period2": "SELECT percent, printf('P%06d', p_partkey) AS code, CAST(-p_size AS DOUBLE) AS value FROM part CROSS JOIN (VALUES (true), (false)) t(percent)",
     "code_index_with_label_fallback": "SELECT printf('C%06d', c_custkey) AS code, c_name AS label, round(c_acctbal, 2) AS value FROM customer",
     "statement_rows": """SELECT CAST(l_orderkey // 100 AS VARCHAR) AS folder, printf('%06d', l_partkey) AS code, p_name AS name,
-  arg_min(CASE WHEN l_linenumber % 5 <> 0 THEN trunc(l_quantity) ELSE -1 END, [l_orderkey, l_linenumber]) AS v, nullif(v, -1) AS value, CASE WHEN v = -1 THEN 'low' ELSE 'high' END AS confidence
+  arg_min(CASE WHEN l_linenumber % 5 <> 0 THEN trunc(l_quantity) ELSE -1 END, [l_orderkey, l_linenumber, l_quantity]) AS v, nullif(v, -1) AS value, CASE WHEN v = -1 THEN 'low' ELSE 'high' END AS confidence
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3""",
     "annualize_orders": "SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) * 4 / quarter(o_orderdate) AS annualized FROM orders GROUP BY year(o_orderdate), quarter(o_orderdate)",
     "term_match_strength": """SELECT p_type, count(*) AS parts, 'brushed' AS term, CASE WHEN contains(p_type, 'TIN') THEN 0 WHEN p_type = 'BRUSHED' THEN 3 WHEN contains(p_type, 'BRUSHED') THEN 2 ELSE 0 END AS strength FROM part GROUP BY p_type
