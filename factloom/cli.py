@@ -11,7 +11,9 @@ from .operators import classify, deck, grid, lookup, matching, merged, profitabi
 from .operators import tables as X
 from .plans import dims
 from .sinks import files
-from .sources import documents, workbooks
+from .sources import documents, regulator, workbooks
+
+LANDING = "npl_cache"
 
 
 def statement(docs: DataFrame, dictionary: DataFrame, name: str, period: int = 1) -> DataFrame:
@@ -23,7 +25,14 @@ def statement(docs: DataFrame, dictionary: DataFrame, name: str, period: int = 1
     return lookup.statement_rows(X.code_entries(X.row_lines(inside.unionByName(outside))), dictionary, period)
 
 
-def auto(docs: DataFrame, codes: DataFrame) -> DataFrame:
+def official(docs: DataFrame, landing: str, transport: regulator.Transport = regulator.fetch) -> DataFrame:
+    """The regulator's table for the decks of banks that it names."""
+    named = classify.identity(docs).where(F.col("bank").isin(*dims.REGULATOR_NAMES)).select("folder")
+    asked = named.join(deck.asked(docs), "folder", "left").select("year", "quarter").distinct().orderBy("year", "quarter")
+    return regulator.for_quarters(docs.sparkSession, [tuple(r) for r in asked.collect()], landing, transport)  # as many as quarters
+
+
+def auto(docs: DataFrame, codes: DataFrame, landing: str = LANDING, transport: regulator.Transport = regulator.fetch) -> DataFrame:
     """Rows of all folders by kind; one filing and one deck are merged under one order."""
     kinds = classify.classified(docs, codes)
     by = {r.folder: r.kind for r in kinds.collect()}  # one row for each folder named on the command line
@@ -36,7 +45,7 @@ def auto(docs: DataFrame, codes: DataFrame) -> DataFrame:
         name = next(f for f, k in by.items() if k != "con_call")
         ratios = deck.deck_ratios(talk).withColumn("folder", F.lit(name))
     left = merged.export_rows(summary.filing_summary(filing, "summarised" if short else "full", deck_ratios=ratios), True)
-    right = merged.export_rows(deck.deck_summary(talk), False)
+    right = merged.export_rows(deck.deck_summary(talk, official(talk, landing, transport)), False)
     if pair:
         return merged.merged(left, right).orderBy("place", "side", "pos")
     return left.unionByName(right).orderBy("folder", "pos")
@@ -49,13 +58,14 @@ def ratios(docs: DataFrame) -> DataFrame:
     return profitability.ratio_rows(profitability.entries(docs, lines), manual).orderBy("folder", "file_ord", "layout", "pos", "col")
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, transport: regulator.Transport = regulator.fetch) -> None:
     p = argparse.ArgumentParser(prog="factloom")
     p.add_argument("what", nargs="+", help="folders, or: acct <folder> <balance_sheet|income_statement|cash_flow|summary|ratios>, call [term...], npl")
     p.add_argument("--folder")
     p.add_argument("--terms", help="term file (JSON)")
     p.add_argument("--coding", help="coding workbook")
     p.add_argument("--sheet", help="regulator workbook")
+    p.add_argument("--landing", default=LANDING, help="folder that keeps the regulator's files")
     p.add_argument("--period", type=int, default=1)
     p.add_argument("--csv")
     p.add_argument("--excel")
@@ -82,7 +92,7 @@ def main(argv: list[str] | None = None) -> None:
         docs, names = documents.scan(spark, a.folder), a.what[1:]
         terms = dims.load_terms(a.terms) if a.terms else dims.curated_terms()
         if names in ([], ["summary"]):
-            out, kind = deck.deck_summary(docs).orderBy("folder", "ord"), "deck"
+            out, kind = deck.deck_summary(docs, official(docs, a.landing, transport)).orderBy("folder", "ord"), "deck"
         else:
             unknown = [n for n in names if n not in terms]
             if unknown:
@@ -92,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
         out = workbooks.read_grid(spark, a.sheet)
     else:
         codes = spark.createDataFrame([(c,) for _, c, *_ in dims.LAYOUT if c] + [(c,) for f in dims.ENTITIES.values() for cs in f[2:] for c in cs], "code string")
-        out = auto(documents.scan(spark, *a.what[:2]), codes)
+        out = auto(documents.scan(spark, *a.what[:2]), codes, a.landing, transport)
         if a.excel:
             columns = ("term", "value", "term_found", "page", "note", "is_percent", "is_scaled")
             print(files.write_workbook([(files.sheet_name(a.what[0], set()), [tuple(r[c] for c in columns) for r in out.toLocalIterator()])], a.excel))

@@ -11,6 +11,8 @@ from . import classify, matching
 from . import tables as X
 
 REGULATOR = ("逾放比率", "備抵呆帳/逾期放款")
+#: What a deck takes from the regulator's table; the two datasets may be of different months.
+FIGURES = {"card_period": "string", "revolving": "double", "npl_period": "string", "npl_ratio": "double", "coverage": "double"}
 
 
 def periods(docs: DataFrame) -> DataFrame:  # O-05, O-61, O-62
@@ -18,6 +20,12 @@ def periods(docs: DataFrame) -> DataFrame:  # O-05, O-61, O-62
     return docs.where("file_ord = 1").select("folder", P.deck_quarter(F.col("content")).alias("quarter"), P.deck_year(F.col("content")).alias("year"))
 
 
+def asked(docs: DataFrame) -> DataFrame:
+    """folder, year, quarter whose regulator figures each deck asks for; both null, for the newest month, when the deck doesn't state both."""
+    known = F.col("year").isNotNull() & F.col("quarter").isNotNull()
+    return periods(docs).select("folder", F.when(known, F.col("year")).alias("year"), F.when(known, F.col("quarter")).alias("quarter"))
+
+
 def recomposed(values: DataFrame, formulas: DataFrame) -> DataFrame:  # O-50, O-161
     """folder, bank, term, value for values (folder, bank, term, value): sums of coefficient times value; null if any input is.  A bank's other terms aren't in the result."""
     need = values.select("folder", "bank").distinct().join(F.broadcast(formulas), "bank")
@@ -51,8 +59,9 @@ def _primary(docs: DataFrame, banks: DataFrame | None) -> DataFrame:
 def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: DataFrame | None = None) -> DataFrame:  # O-116, O-160
     """folder, ord, term, kind, value, matched_label, period_label, source_file, note: 12 rows for each folder.
 
-    regulator: bank (legal name), period, revolving (thousands), npl_ratio, coverage; null or absent figures leave the
-    rows N/A with their reason.
+    regulator: bank (legal name), year, quarter as in asked(), card_period, revolving (thousands), npl_period, npl_ratio,
+    coverage, one row for each bank and asked quarter; null or absent figures leave the rows N/A, with the reason where
+    no name of the regulator's is known.
     """
     spark = docs.sparkSession
     terms = dims.curated_terms()
@@ -64,14 +73,17 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
     legal = F.create_map(*[F.lit(x) for kv in dims.REGULATOR_NAMES.items() for x in kv])
     folders = primary.select("folder", "bank", F.try_element_at(legal, F.coalesce("bank", F.lit(""))).alias("legal"))
     if regulator is None:
-        regulator = spark.createDataFrame([], "bank string, period string, revolving double, npl_ratio double, coverage double")
-    folders = folders.join(F.broadcast(regulator.withColumnRenamed("bank", "legal")), "legal", "left")
+        folders = folders.withColumns({n: F.lit(None).cast(t) for n, t in FIGURES.items()})
+    else:
+        official = F.broadcast(regulator.select("bank", "year", "quarter", *FIGURES).toDF("r_bank", "r_year", "r_quarter", *FIGURES))
+        same = (F.col("legal") == F.col("r_bank")) & F.col("year").eqNullSafe(F.col("r_year")) & F.col("quarter").eqNullSafe(F.col("r_quarter"))
+        folders = folders.join(asked(docs), "folder", "left").join(official, same, "left").select("folder", "bank", "legal", *FIGURES)
     rows = folders.withColumn("w", F.explode(want)).select("*", "w.*").drop("w").join(found.select("folder", "term", "value", "matched_label", "period_label", F.col("file_name").alias("source_file"), "scale"), ["folder", "term"], "left")
     rows = rows.withColumn("value", F.when(F.col("kind") == "ratio", F.col("value")).otherwise(F.col("value") * F.col("scale")))
     card = (F.col("term") == "信用卡循環") & F.col("value").isNull() & F.col("revolving").isNotNull()
     rows = rows.withColumns({
-        "matched_label": F.when(card, F.concat(F.lit("循環信用餘額（金管會"), F.col("period"), F.lit("）"))).otherwise(F.col("matched_label")),
-        "period_label": F.when(card, F.col("period")).otherwise(F.col("period_label")),
+        "matched_label": F.when(card, F.concat(F.lit("循環信用餘額（金管會"), F.col("card_period"), F.lit("）"))).otherwise(F.col("matched_label")),
+        "period_label": F.when(card, F.col("card_period")).otherwise(F.col("period_label")),
         "source_file": F.when(~card, F.col("source_file")),
         "value": F.when(card, F.col("revolving") / 1e6).otherwise(F.col("value")),
     })
@@ -87,6 +99,6 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
     official = []
     for i, (term, figure) in enumerate(zip(REGULATOR, ("npl_ratio", "coverage"))):
         value = F.col(figure)
-        label = F.when(value.isNotNull(), F.concat(F.lit("金管會公布（"), F.col("period"), F.lit("）")))
-        official.append(folders.select("folder", F.lit(11 + i).alias("ord"), F.lit(term).alias("term"), F.lit("ratio").alias("kind"), value.alias("value"), label.alias("matched_label"), F.when(value.isNotNull(), F.col("period")).alias("period_label"), F.lit(None).cast("string").alias("source_file"), F.when(value.isNull(), unmapped).otherwise("").alias("note")))
+        label = F.when(value.isNotNull(), F.concat(F.lit("金管會公布（"), F.col("npl_period"), F.lit("）")))
+        official.append(folders.select("folder", F.lit(11 + i).alias("ord"), F.lit(term).alias("term"), F.lit("ratio").alias("kind"), value.alias("value"), label.alias("matched_label"), F.when(value.isNotNull(), F.col("npl_period")).alias("period_label"), F.lit(None).cast("string").alias("source_file"), F.when(value.isNull(), unmapped).otherwise("").alias("note")))
     return rows.unionByName(official[0]).unionByName(official[1])

@@ -6,16 +6,44 @@ import os
 import ssl
 import urllib.error
 import urllib.request
-from collections.abc import Callable
-from urllib.parse import unquote
+import warnings
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
+from urllib.parse import unquote, urljoin
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import grid
+from ..plans import dims
+from . import workbooks
 
 Transport = Callable[[str, float], bytes]
 
 
+class Dataset(NamedTuple):
+    name: str
+    page: str
+    extension: str
+    pattern: str  # year and month in a decoded file name
+    bank_header: str
+    headers: tuple[str, ...]
+
+
+_SITE = "https://www.banking.gov.tw/ch/home.jsp"
+# The regulator's pages, file names and headers.
+CARD = Dataset(
+    "循環信用餘額", f"{_SITE}?id=591&parentpath=0,590&mcustomize=multimessage_view.jsp&dataserno=21207&aplistdn=ou=disclosure,ou=multisite,ou=chinese,ou=ap_root,o=fsc,c=tw&dtable=Disclosure",
+    "zip", r"(?i)^(\d{3})(\d{2})_[^/]*\.zip", "金融機構名稱", ("循環信用餘額",),
+)
+NPL = Dataset(
+    "逾期放款總額", f"{_SITE}?id=590&parentpath=0&mcustomize=multimessage_view.jsp&dataserno=201202130001&dtable=Disclosure",
+    "xlsx", r"(?i)(\d{3})_(\d{1,2})(?:\(\d+\))?\.xlsx", "銀行別", ("逾期放款總額", "逾放比率(%)", "備抵呆帳/逾期放款(%)"),
+)
+#: NPL amounts are in millions, revolving balances in thousands, ratios in percent.
+TABLE = "bank string, year int, quarter int, card_period string, revolving double, npl_period string, overdue double, npl_ratio double, coverage double"
+Quarter = tuple[int | None, int | None]
+
+
 def fetch(url: str, timeout: float = 60.0) -> bytes:  # O-09
     """GET with a user agent; certificates are always verified."""
     try:
@@ -51,3 +79,57 @@ def figures(cells: DataFrame, bank_header: str, headers: list[str], banks: list[
     spark = cells.sparkSession
     long = grid.columns_by_bank(cells, bank_header, spark.createDataFrame([(h,) for h in headers], "header string"), spark.createDataFrame([(b,) for b in banks], "bank string"))
     return long.groupBy("bank").pivot("header", headers).max("value")
+
+
+def sheet_figures(spark: SparkSession, path: str, dataset: Dataset, banks: list[str]) -> dict[str, list[float | None]]:
+    """The dataset's figures for each bank, from the first sheet of a landed file; an error where a header is missing."""
+    with open(path, "rb") as f:
+        found = list(workbooks.cells(f.read()))  # a row for each bank of the country; the landing folder is the driver's
+    cells = spark.createDataFrame([x for x in found if x[0] == found[0][0]], "sheet string, r int, c int, value string")
+    want = [dataset.bank_header, *dataset.headers]
+    there = {r.header for r in grid.header_column(cells, spark.createDataFrame([(h,) for h in want], "header string")).collect()}
+    if missing := [h for h in want if h not in there]:
+        raise RuntimeError(f"no header {missing} in {path}; its layout may have changed")
+    rows = figures(cells, dataset.bank_header, list(dataset.headers), banks).collect()
+    return {r.bank: [r[h] for h in dataset.headers] for r in rows}
+
+
+def published(spark: SparkSession, dataset: Dataset, asked: list[Quarter], banks: list[str], folder: str, transport: Transport = fetch) -> dict[Quarter, tuple[str, dict[str, list[float | None]]]]:  # O-167
+    """Month used and figures by bank for each asked quarter, by the month that ends it; what can't be had is left out with a warning."""
+    try:
+        wanted = [(i, y and y - 1911, q and 3 * q) for i, (y, q) in enumerate(asked)]
+        found = grid.resolve_period(links(spark, dataset.page, dataset.extension, dataset.pattern, transport), spark.createDataFrame(wanted, "id int, y int, m int")).collect()
+    except Exception as e:
+        warnings.warn(f"{dataset.name} is unavailable: {e}", stacklevel=2)
+        return {}
+    read, out = {}, {}
+    for r in found:
+        if r.url not in read:
+            try:
+                read[r.url] = sheet_figures(spark, landed(urljoin(dataset.page, r.url), folder, transport), dataset, banks)
+            except Exception as e:
+                read[r.url] = None
+                warnings.warn(f"{dataset.name} of {r.y}年{r.m}月 is unavailable: {e}", stacklevel=2)
+        if r.note:
+            warnings.warn(f"{dataset.name}: {r.note}", stacklevel=2)
+        if read[r.url]:
+            out[asked[r.id]] = f"{r.y}年{r.m}月", read[r.url]
+    return out
+
+
+def for_quarters(spark: SparkSession, asked: Iterable[Quarter], folder: str, transport: Transport = fetch) -> DataFrame:  # O-167
+    """The regulator's table for deck_summary: a row for each bank with a known name and asked (year, quarter), (None, None) for the newest month.
+
+    Each dataset and file fails on its own: its figures are null then.
+    """
+    asked, banks = list(dict.fromkeys(asked)), list(dims.REGULATOR_NAMES.values())
+    got = [(published(spark, d, asked, banks, folder, transport) if asked else {}, len(d.headers)) for d in (CARD, NPL)]
+    rows = []
+    for quarter in asked:
+        for bank in banks:
+            row = [bank, *quarter]
+            for by_quarter, n in got:
+                period, values = by_quarter.get(quarter, (None, {}))
+                row += [period, *values.get(bank, [None] * n)]
+            rows.append(tuple(row))
+    return spark.createDataFrame(rows, TABLE)
