@@ -260,7 +260,12 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     prep = stored(prepared(docs, words, bands, rows), "prepared")
     some = prep.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = prep.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", "rep")
+    member = stored(prep.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", "rep"), "member")
+    # a doc_id is one vertex: its texts' classes are linked, and its rows without shingles go with the others
+    held = member.where("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    own = member.join(held.where("lo < hi"), "doc_id").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    bare = F.col("doc_id").isNotNull() & F.col("rep").isNull()
+    member = member.where(~bare).union(member.where(bare).drop("rep").join(held.select("doc_id", "lo"), "doc_id", "left").select("doc_id", "n_shingles", "lo"))
     first = classes.select("fp", F.col("rep").alias("doc_id"))
     key = some.join(first, ["fp", "doc_id"]).select(F.col("doc_id").alias("v"), F.explode("bands").alias("key")).repartition("key")
     shared = key.distinct().withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     texts = among(docs, many).select(F.col("doc_id").cast("long").alias("v"), "text").join(many, "v")
     across = across.union(_crowded_pairs(stored(texts, "crowd"), words, percent)).distinct().join(star, ["a", "b"], "left_anti")
     two = _links(stored(_survivors(across, some, percent, miss, bands * rows), "survivors"), docs, words, percent)
-    near = components(one.union(two))
+    near = components(one.union(two).union(own))
     return (
         member.join(near.withColumnRenamed("v", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, minhash, mixing, quality, toxicity
-from .common import table, without
+from .common import stored, table, without
 
 THRESHOLD = 0.7
 
@@ -27,10 +27,26 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id; of rows of one doc_id, one.  Rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """One text of each near-duplicate group, that of the smallest doc_id; of equal rows of one doc_id and text, one.  Rows without doc_id stay.
+
+    Several texts of one doc_id are judged each by itself: all but one get a vertex of their own.
+    """
+    fingerprint = F.coalesce(F.sha2("text", 256), F.lit(""))
+    named = docs.where("doc_id IS NOT NULL").select("*", fingerprint.alias("_fp"))
+    several = named.groupBy("doc_id").agg(F.min("_fp").alias("lo"), F.max("_fp").alias("hi")).where("lo < hi")
+    more = stored(named.select("doc_id", "_fp").join(several, "doc_id").where("_fp > lo").select("doc_id", "_fp").distinct(), "more")
+    if more.isEmpty():
+        kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+        one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        top = named.agg(F.max("doc_id")).first()[0]
+        vertices = stored(more.withColumn("_v", F.lit(top + 1) + F.monotonically_increasing_id()), "vertices")
+        texts = named.join(vertices, ["doc_id", "_fp"], "left").withColumn("_v", F.coalesce("_v", "doc_id"))
+        found = minhash.near_duplicates(texts.select(F.col("_v").alias("doc_id"), "text")).select(F.col("doc_id").alias("_v"), "component_id").distinct()
+        names = texts.select("_v", "doc_id", "_fp").distinct()
+        kept = found.join(names, "_v").groupBy("component_id").agg(F.min(F.struct("doc_id", "_fp")).alias("x")).select("x.doc_id", "x._fp")
+        one = named.join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
+    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
