@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import os
+import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +35,42 @@ def official(docs: DataFrame, landing: str, transport: regulator.Transport = reg
     return regulator.for_quarters(docs.sparkSession, [tuple(r) for r in asked.collect()], landing, transport)  # as many as quarters
 
 
+def layout_codes(spark: SparkSession) -> DataFrame:
+    """The codes of the summary's layout and composites, for folders without coding workbooks."""
+    return spark.createDataFrame([(c,) for _, c, *_ in dims.LAYOUT if c] + [(c,) for f in dims.ENTITIES.values() for cs in f[2:] for c in cs], "code string")
+
+
+def all_codes(spark: SparkSession, uris: list[str]) -> DataFrame:  # O-73
+    """code: every code of the statements' sheets of all coding workbooks (files or folders of them)."""
+    sheets = [s[0] for s in dims.STATEMENTS.values()]
+
+    def read(merged_ranges: bool) -> DataFrame:
+        every = reduce(DataFrame.unionByName, [workbooks.read_grid(spark, u, merged_ranges) for u in uris])
+        return every.where(F.col("sheet").isin(sheets)).withColumn("sheet", F.concat_ws("/", "file", "sheet")).drop("file")
+
+    return grid.coding_dictionary(grid.unmerged(read(False), read(True))).select("code").distinct()
+
+
 def auto(docs: DataFrame, codes: DataFrame, landing: str = LANDING, transport: regulator.Transport = regulator.fetch) -> DataFrame:
-    """Rows of all folders by kind; one filing and one deck are merged under one order."""
-    kinds = classify.classified(docs, codes)
-    by = {r.folder: r.kind for r in kinds.collect()}  # one row for each folder named on the command line
+    """Rows of all folders by kind; one filing and one deck are merged under one order.  Folders without rows are named on stderr."""
+    found = classify.classified(docs, codes).collect()  # one row for each folder named on the command line
+    by = {r.folder: r.kind for r in found}
+    for r in found:
+        if r.kind is None:
+            print(f"skipped {r.folder}: not a filing or deck (coded rows: {r.code_hits}, files with deck wording: {r.con_hits})", file=sys.stderr)
     filing = docs.where(F.col("folder").isin([f for f, k in by.items() if (k or "").startswith("fin")]))
     talk = docs.where(F.col("folder").isin([f for f, k in by.items() if k == "con_call"]))
-    short = any(k == "fin_report_summary" for k in by.values())
+    for r in classify.identity(filing).collect():
+        if r.bank is None or r.industry not in dims.BANKING:
+            print(f"skipped {r.folder}: {r.message or f'no summary layout for industry {r.industry}'}", file=sys.stderr)
     pair = [sum((k or "").startswith("fin") for k in by.values()), sum(k == "con_call" for k in by.values())] == [1, 1]
     ratios = None
     if pair:
         name = next(f for f, k in by.items() if k != "con_call")
         ratios = deck.deck_ratios(talk).withColumn("folder", F.lit(name))
-    left = merged.export_rows(summary.filing_summary(filing, "summarised" if short else "full", deck_ratios=ratios), True)
+    kinds = {"full": [f for f, k in by.items() if k == "fin_report"], "summarised": [f for f, k in by.items() if k == "fin_report_summary"]}
+    filings = [summary.filing_summary(filing.where(F.col("folder").isin(fs)), kind, deck_ratios=ratios) for kind, fs in kinds.items() if fs or kind == "full"]
+    left = merged.export_rows(reduce(DataFrame.unionByName, filings), True)
     right = merged.export_rows(deck.deck_summary(talk, official(talk, landing, transport)), False)
     if pair:
         return merged.merged(left, right).orderBy("place", "side", "pos")
@@ -63,7 +89,7 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
     p.add_argument("what", nargs="+", help="folders, or: acct <folder> <balance_sheet|income_statement|cash_flow|summary|ratios>, call [term...], npl")
     p.add_argument("--folder")
     p.add_argument("--terms", help="term file (JSON)")
-    p.add_argument("--coding", help="coding workbook")
+    p.add_argument("--coding", action="append", help="coding workbook; repeated for several, whose codes tell filings")
     p.add_argument("--sheet", help="regulator workbook")
     p.add_argument("--landing", default=LANDING, help="folder that keeps the regulator's files")
     p.add_argument("--period", type=int, default=1)
@@ -83,8 +109,10 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
         elif mode in dims.STATEMENTS:
             if not a.coding:
                 p.error("a statement needs --coding")
-            cells = workbooks.read_grid(spark, a.coding)
-            full = grid.unmerged(cells.select("sheet", "r", "c", "value"), workbooks.read_grid(spark, a.coding, True))
+            if len(a.coding) > 1:
+                p.error("a statement needs one --coding")
+            cells = workbooks.read_grid(spark, a.coding[0])
+            full = grid.unmerged(cells.select("sheet", "r", "c", "value"), workbooks.read_grid(spark, a.coding[0], True))
             out, kind = statement(docs, grid.coding_dictionary(full.where(F.col("sheet") == dims.STATEMENTS[mode][0])), mode, a.period), "statement"
         else:
             p.error(f"unknown mode {mode!r}; the statement of equity is not supported")
@@ -101,8 +129,19 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
     elif a.what[0] == "npl":
         out = workbooks.read_grid(spark, a.sheet)
     else:
-        codes = spark.createDataFrame([(c,) for _, c, *_ in dims.LAYOUT if c] + [(c,) for f in dims.ENTITIES.values() for cs in f[2:] for c in cs], "code string")
-        out = auto(documents.scan(spark, *a.what[:2]), codes, a.landing, transport)
+        once: dict[str, str] = {}
+        for f in a.what:
+            once.setdefault(os.path.realpath(f), f)
+        folders = list(once.values())
+        if len(folders) > 2:
+            p.error("at most 2 folders")
+        codes = all_codes(spark, a.coding) if a.coding else layout_codes(spark)
+        docs = documents.scan(spark, *folders)
+        there = {r.folder for r in docs.select("folder").distinct().collect()}
+        for f in folders:
+            if f.rstrip("/") not in there:
+                print(f"skipped {f}: no .md file", file=sys.stderr)
+        out = auto(docs, codes, a.landing, transport)
         if a.excel:
             columns = ("term", "value", "term_found", "page", "note", "is_percent", "is_scaled")
             print(files.write_workbook([(files.sheet_name(a.what[0], set()), [tuple(r[c] for c in columns) for r in out.toLocalIterator()])], a.excel))
