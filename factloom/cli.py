@@ -35,6 +35,30 @@ def official(docs: DataFrame, landing: str, transport: regulator.Transport = reg
     return regulator.for_quarters(docs.sparkSession, [tuple(r) for r in asked.collect()], landing, transport)  # as many as quarters
 
 
+def statements(docs: DataFrame, uri: str, names: list[str], period: int) -> DataFrame:
+    """Rows of the named statements with their section, by the coding workbook."""
+    cells = workbooks.read_grid(docs.sparkSession, uri)
+    full = grid.unmerged(cells.select("sheet", "r", "c", "value"), workbooks.read_grid(docs.sparkSession, uri, True)).persist()
+    parts = [statement(docs, grid.coding_dictionary(full.where(F.col("sheet") == dims.STATEMENTS[n][0])), n, period).withColumn("section", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def warn_of_gaps(rows: DataFrame) -> None:
+    """Names on stderr the folders of whose summary rows most are N/A."""
+    for r in summary.coverage(rows).collect():
+        print(f"WARNING: {r.missing} of {r.n} summary rows are N/A for {r.folder} - check that its layout is read correctly ({r.terms})", file=sys.stderr)
+
+
+def sheets_of(out: DataFrame, first: str) -> list[tuple[str, list[tuple]]]:
+    """A sheet for each folder; one, named after the first folder, for a merged pair."""
+    columns = ("term", "value", "term_found", "page", "note", "is_percent", "is_scaled")
+    by: dict[str, list[tuple]] = {}
+    for r in out.toLocalIterator():  # a few rows for each of two folders
+        by.setdefault(first if "place" in out.columns else r.folder, []).append(tuple(r[c] for c in columns))
+    taken: set[str] = set()
+    return [(files.sheet_name(f, taken), rows) for f, rows in by.items()]
+
+
 def layout_codes(spark: SparkSession) -> DataFrame:
     """The codes of the summary's layout and composites, for folders without coding workbooks."""
     return spark.createDataFrame([(c,) for _, c, *_ in dims.LAYOUT if c] + [(c,) for f in dims.ENTITIES.values() for cs in f[2:] for c in cs], "code string")
@@ -70,7 +94,9 @@ def auto(docs: DataFrame, codes: DataFrame, landing: str = LANDING, transport: r
         ratios = deck.deck_ratios(talk).withColumn("folder", F.lit(name))
     kinds = {"full": [f for f, k in by.items() if k == "fin_report"], "summarised": [f for f, k in by.items() if k == "fin_report_summary"]}
     filings = [summary.filing_summary(filing.where(F.col("folder").isin(fs)), kind, deck_ratios=ratios) for kind, fs in kinds.items() if fs or kind == "full"]
-    left = merged.export_rows(reduce(DataFrame.unionByName, filings), True)
+    told = reduce(DataFrame.unionByName, filings).persist()
+    warn_of_gaps(told)
+    left = merged.export_rows(told, True)
     right = merged.export_rows(deck.deck_summary(talk, official(talk, landing, transport)), False)
     if pair:
         return merged.merged(left, right).orderBy("place", "side", "pos")
@@ -86,7 +112,7 @@ def ratios(docs: DataFrame) -> DataFrame:
 
 def main(argv: list[str] | None = None, transport: regulator.Transport = regulator.fetch) -> None:
     p = argparse.ArgumentParser(prog="factloom")
-    p.add_argument("what", nargs="+", help="folders, or: acct <folder> <balance_sheet|income_statement|cash_flow|summary|ratios>, call [term...], npl")
+    p.add_argument("what", nargs="+", help="folders, or: acct <folder> <balance_sheet|income_statement|cash_flow|all|summary|ratios>, call [term...], npl")
     p.add_argument("--folder")
     p.add_argument("--terms", help="term file (JSON)")
     p.add_argument("--coding", action="append", help="coding workbook; repeated for several, whose codes tell filings")
@@ -103,17 +129,22 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
     if a.what[0] == "acct":
         docs, mode = documents.scan(spark, a.what[1]), a.what[2]
         if mode == "summary":
-            out, kind = summary.filing_summary(docs, period=a.period).orderBy("folder", "ord"), "filing"
+            out, kind = summary.filing_summary(docs, period=a.period).orderBy("folder", "ord").persist(), "filing"
+            warn_of_gaps(out)
         elif mode == "ratios":
-            out, kind = ratios(docs), "ratios"
-        elif mode in dims.STATEMENTS:
+            out = ratios(docs).persist()
+            one = out.select("used_fallback").first()
+            kind = "ratio_error" if one is None else "ratio_fallback" if one.used_fallback else "ratios"
+        elif mode in dims.STATEMENTS or mode == "all":
             if not a.coding:
                 p.error("a statement needs --coding")
             if len(a.coding) > 1:
                 p.error("a statement needs one --coding")
-            cells = workbooks.read_grid(spark, a.coding[0])
-            full = grid.unmerged(cells.select("sheet", "r", "c", "value"), workbooks.read_grid(spark, a.coding[0], True))
-            out, kind = statement(docs, grid.coding_dictionary(full.where(F.col("sheet") == dims.STATEMENTS[mode][0])), mode, a.period), "statement"
+            rows = statements(docs, a.coding[0], list(dims.STATEMENTS) if mode == "all" else [mode], a.period)
+            out, kind = rows.drop("section"), "statement"
+            if mode == "all":
+                order = F.when(F.col("section") == "ratios", len(dims.STATEMENTS)).otherwise(F.array_position(F.array(*map(F.lit, dims.STATEMENTS)), F.col("section")) - 1)
+                out, kind = merged.combined(rows, ratios(docs)).orderBy("folder", order, "code", "file_ord", "pos", "col"), "combined"
         else:
             p.error(f"unknown mode {mode!r}; the statement of equity is not supported")
     elif a.what[0] == "call":
@@ -143,8 +174,7 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
                 print(f"skipped {f}: no .md file", file=sys.stderr)
         out = auto(docs, codes, a.landing, transport)
         if a.excel:
-            columns = ("term", "value", "term_found", "page", "note", "is_percent", "is_scaled")
-            print(files.write_workbook([(files.sheet_name(a.what[0], set()), [tuple(r[c] for c in columns) for r in out.toLocalIterator()])], a.excel))
+            print(files.write_workbook(sheets_of(out, folders[0]), a.excel))
             return
     if a.csv and kind:
         files.write_report(kind, out, a.csv)

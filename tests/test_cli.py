@@ -44,3 +44,34 @@ def test_a_third_folder_is_refused(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main([str(tmp_path / x) for x in "abc"])
     assert "at most 2 folders" in capsys.readouterr().err
+
+
+def test_unpaired_folders_have_a_sheet_each(spark):
+    rows = [("/x/a", "t", 1.0, "", "", "", False, True), ("/x/b", "t", 2.0, "", "", "", False, True)]
+    out = spark.createDataFrame(rows, "folder string, term string, value double, term_found string, page string, note string, is_percent boolean, is_scaled boolean")
+    assert [(n, len(r)) for n, r in cli.sheets_of(out, "/x/a")] == [("a", 1), ("b", 1)]
+    assert [(n, len(r)) for n, r in cli.sheets_of(out.withColumn("place", cli.F.lit(1)), "/x/a")] == [("a", 2)]
+
+
+def test_gaps_are_told_before_a_summary(spark, capsys):
+    cli.warn_of_gaps(spark.createDataFrame([("f", 1, "甲", None), ("f", 2, "乙", None), ("f", 3, "丙", 1.0)], "folder string, ord int, term string, value double"))
+    assert "2 of 3 summary rows are N/A for f" in capsys.readouterr().err
+
+
+def test_all_statements_and_an_approximated_ratio(spark, tmp_path, monkeypatch):
+    uri = coding(tmp_path / "coding.xlsx", "10000", dims.STATEMENTS["balance_sheet"][0])
+    folder = tmp_path / "filing"
+    folder.mkdir()
+    (folder / "1.md").write_text("| 10000 | 資產總計 | 6,120 |", encoding="utf-8")
+    approximated = spark.createDataFrame([(str(folder), None, None, None, None, None, "(approximated)", 4, None, 0.0077, None, 0.09, None, None, True)], "folder string, file_ord int, layout int, pos int, col int, period string, entity string, quarter int, roa_posttax double, roa_posttax_annualized double, roe_posttax double, roe_posttax_annualized double, profit_margin double, source_file string, used_fallback boolean")
+    monkeypatch.setattr(cli, "ratios", lambda docs: approximated)
+    out = tmp_path / "out.csv"
+    read = lambda: out.read_text(encoding="utf-8-sig").splitlines()
+    cli.main(["acct", str(folder), "all", "--coding", uri, "--csv", str(out)])
+    assert read()[0].startswith("section,code,name,label_in_doc,value,confidence,page,period,entity") and read()[1].startswith("balance_sheet,10000,") and read()[-1] == "ratios,,,,,,,,(approximated),4,,0.77%,,9.00%,"
+    cli.main(["acct", str(folder), "ratios", "--csv", str(out)])
+    assert read() == ["metric,value_annualized_approximated", "ROA(稅後年化),0.77%", "ROE(稅後年化),9.00%"]
+    monkeypatch.setattr(cli, "ratios", lambda docs: approximated.limit(0))
+    cli.main(["acct", str(folder), "ratios", "--csv", str(out)])
+    assert len(read()) == 1 and read()[0].startswith("error,")
+    spark.catalog.clearCache()
