@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,14 +27,22 @@ def remainder(key: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names; where it names none (tests), a temporary one."""
+    """A new folder in the shared folder that the session names; where it names none in local mode (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and a cluster has no other")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"factloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are of `BATCH_BYTES` at most, as texts may be long and a task holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
@@ -48,21 +57,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
-def tidy() -> None:
-    """Gives free memory back to the machine: a worker stays alive after its task, and the driver after a training."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
     """At most `rows` labelled documents outside the held-out fold: doc_id, text, label (0 or 1), stored.
 
     The sample is the rows of smallest hash of doc_id.  Several labels of a document count as their maximum and
     several texts of a doc_id as the greatest; null ids, other labels and null texts are left out.
     """
+    small_batches(docs.sparkSession)
     fold = remainder(F.col("doc_id"), modulus)
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))

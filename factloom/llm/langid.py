@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remainder
+from .common import remainder, small_batches
 
 TOP = 300
 _PART = 1 << 20
@@ -133,6 +133,7 @@ def profiles(docs: DataFrame, *, modulus: int = 4, held_out: int = 2, top: int =
 
 def train(docs: DataFrame, *, modulus: int = 4, held_out: int = 2, top: int = TOP) -> LanguageModel:
     """The learned profiles, at most `top` rows a language."""
+    small_batches(docs.sparkSession)
     rows = profiles(docs, modulus=modulus, held_out=held_out, top=top).toArrow()
     languages = tuple(sorted(set(rows["lang"].to_pylist())))
     gram = rows["gram"].to_numpy().view(np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
 TABLES, NEAR, PROBES, SPACING = 24, 5, 26, 0.25
@@ -156,6 +156,7 @@ def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, tables: int = TA
     lengths don't link.  Repeated rows count as vectors of their own for n_links and share a component.  A row without
     vec_id links with nothing, has no component_id and is kept.
     """
+    small_batches(rows.sparkSession)
     prep = stored(_prepared(rows), "vectors")
     some = prep.where("vec_id IS NOT NULL AND fp IS NOT NULL")
     sizes = some.groupBy("fp").agg(F.min("vec_id").alias("v"), F.count("*").alias("size"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
@@ -271,6 +271,7 @@ def stored_media(docs: DataFrame) -> DataFrame:
     """Writes docs to new archives in the shared folder and reads them back: SCHEMA for every row of docs."""
     from pyarrow import fs
 
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/media"
     kept = {r.archive for r in write(docs, path).select("archive").collect()}

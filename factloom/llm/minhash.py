@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
 WORDS = 5
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     wordless text has no shingle and links with nothing.  Rows of equal doc_id are one vertex and get the same
     component; a row without doc_id links with nothing, has no component_id and is kept.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     prep = stored(prepared(docs, words, bands, rows), "prepared")
     some = prep.where("doc_id IS NOT NULL AND n_shingles > 0")

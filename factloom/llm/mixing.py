@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, small_batches, stored
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0x9E3779B97F4A7C15
@@ -83,6 +83,7 @@ def mixed(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float
     size.  Sources in code point order, null last, have the weights in turn.  A source without words has target 0.
     Rows of equal doc_id are documents of their own, ordered by size; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .common import shared_dir, without
+from .common import shared_dir, small_batches, without
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, page_id long, refers_to long, payload_digest string, payload_bytes long, content_length long, payload binary"
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
@@ -277,6 +277,7 @@ def _gzip(data: bytes) -> bytes:
 
 def archived(pages: DataFrame, **options) -> DataFrame:
     """Writes pages to a new folder and reads the records back; files that no successful attempt reported are removed."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc"
     kept = {r.file for r in write(pages, path, **options).select("file").collect()}

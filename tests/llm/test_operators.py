@@ -406,15 +406,73 @@ def test_bpe_chunks_do_not_change_ids(spark, monkeypatch):
     assert ids() == whole
 
 
-def test_quick_and_full_patterns_agree():
-    find = bpe.words_of(public_tokenizers.PATTERN)
+def _class_table():
+    starts, kinds = bpe.class_runs()
+    return np.repeat(kinds, np.diff([*starts, 0x110000]))
+
+
+def _quick(texts):
+    words, counts = bpe.quick_words(pa.array(texts, pa.string()), _class_table())
+    words, ends = words.to_pylist(), np.cumsum(counts)
+    return [words[e - n : e] for n, e in zip(counts, ends)]
+
+
+def test_quick_words_and_the_pattern_agree(monkeypatch):
     import regex
 
-    full = regex.compile(public_tokenizers.PATTERN).findall
-    every = "".join(chr(c) for c in range(0x250))
-    for text in (every, " ".join(every), "a \u0085b  c", "x²y ½ ª º µ"):
-        assert find(text) == full(text)
+    assert public_tokenizers.PATTERN == bpe.QUICK_PATTERN
+    find = regex.compile(bpe.QUICK_PATTERN).findall
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ab'stmdrevl  \n\t\r\u008519.,!-é漢²Ⅷ\u3000\u00a0😀", k=rng.randint(0, 40))) for _ in range(4000)]
+    texts += [None, "", "'", "'l", "'ll", " 's", "\n's", "x\n", "x  ", "  x", "I'll we've 'tis ''s ' 's don't  x's 'rex"]
+    want = [[w.encode() for w in find(t or "")] for t in texts]
+    assert _quick(texts) == want
+    monkeypatch.setattr(bpe, "_BLOCK", 16)  # long texts in parts, and many blocks
+    assert _quick(texts) == want
+    words, counts = bpe.pattern_words(pa.array(texts, pa.string()), bpe.QUICK_PATTERN)
+    assert words.to_pylist() == [w for t in want for w in t] and counts.tolist() == [len(t) for t in want]
+
+
+def test_class_table_is_the_library_s():
+    kinds = _class_table()
+    enc = tiktoken.Encoding("own", pat_str=r"[^\s\p{L}\p{N}]", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert bytes(enc.encode_ordinary(every)).decode() == "".join(c for c in every if kinds[ord(c)] == 3)
 
 
-def test_crc_of_the_fold():
-    assert zlib.crc32(b"7") % 4 in range(4)
+def test_rank_map_holds_every_pair(spark):
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    keys, found = bpe.pairs_of(ranks)
+    shifts, slot, table = bpe.displaced(keys, 50256**2)
+    assert len(set(slot.tolist())) == len(keys) and slot.max() < len(table)
+    assert ((keys % len(table) + shifts[keys % len(shifts)]) % len(table) == slot).all()
+
+
+@pytest.mark.parametrize("size", [254, 255, 256, 257])
+def test_folded_and_heaped_words_agree(spark, size):
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(size)
+    texts = ["a" * size, "".join(rng.choices("etaoin", k=size)), "".join(rng.choices("漢字語", k=size))[: size // 3]]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encoded(docs, ranks, bpe.QUICK_PATTERN).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == enc.encode_ordinary(t) == bpe.heaped(t.encode(), ranks)
+
+
+def test_a_long_unspaced_text_takes_seconds(spark):
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=bpe.QUICK_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    (row,) = bpe.encoded(frame(spark, [(1, text)]), ranks, bpe.QUICK_PATTERN).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == enc.encode_ordinary(text)
+
+
+def test_a_word_that_is_a_token_is_taken_whole(spark):
+    """Even where no chain of merges leads to it."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257}
+    docs = frame(spark, [(1, "abcd"), (2, "xabcd"), (3, "ab abcdab")])
+    enc = tiktoken.Encoding("own", pat_str=bpe.QUICK_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encoded(docs, ranks, bpe.QUICK_PATTERN).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text)
