@@ -358,10 +358,7 @@ def _listed(words: pa.Array, buckets: int) -> tuple[np.ndarray, list[bytes]]:
     """Distinct words dealt to buckets by hash: the buckets that have some, and for each its words and their numbers, packed."""
     data, bounds = K.raw(words)
     data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
-    bucket = np.empty(len(words), np.int64)
-    for i, j in K.groups(bounds):
-        total, inverse = K.prefix(data[bounds[i] : bounds[j]])
-        bucket[i:j] = K.span(total, inverse, bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]) % np.uint64(buckets)
+    bucket = (K.word_hashes(data, bounds[:-1], bounds[1:]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     data, bounds = K.raw(words.take(pa.array(order)))
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))

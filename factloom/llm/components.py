@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, shared_dir, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -22,19 +22,22 @@ def _pull(near: DataFrame, keep_self: bool) -> DataFrame:
     return joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, component): the smallest vertex reachable, for each vertex of edges (a, b) that isn't it.
 
     Large-star and small-star rounds alternate until the edges stop changing.  Each round is written to the shared
-    folder, so lineage stays short.  Loops and repeated edges do no harm; an empty table gives an empty table.
+    folder, so lineage stays short, and the round before it is deleted.  Loops and repeated edges do no harm; an empty
+    table gives an empty table.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = edges.sparkSession
+    folder, number = shared_dir(spark), 0
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0", folder)
     before = None
-    for _ in range(rounds):
+    while True:
         larger = _pull(_both(now), keep_self=False)
-        now = stored(_pull(larger, keep_self=True), "links")
+        now, number = stored(_pull(larger, keep_self=True), str(number + 1), folder), number + 1
+        removed(spark, f"{folder}/{number - 1}")
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if tuple(seen) == before:
             return now.select(F.col("a").alias("v"), F.col("b").alias("component"))
         before = tuple(seen)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

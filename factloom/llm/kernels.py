@@ -3,8 +3,10 @@
 Every function takes a string or binary Arrow array and works on its value buffer directly, in blocks of
 about `BLOCK` bytes, so memory does not follow the size of a batch.  A null text counts as empty.
 
-Strings are hashed with a polynomial over Z/2^64: with prefix sums H, the hash of bytes s..e is
-(H[e] - H[s]) * P^-s, which gives the hash of every word or character n-gram of a block in a few array passes.
+A word's hash is the sum of a mixed number for each of its bytes and that byte's place in the word, mixed again with the
+length: no polynomial, as over Z/2^64 two words of a few thousand letters can agree under every base.  Short byte
+sequences of a fixed length are hashed with such a polynomial: with prefix sums H, that of bytes s..e is
+(H[e] - H[s]) * P^-s, which gives all of a block in a few array passes.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """H and the inverse powers, for span()."""
+    """H and the inverse powers, for grams()."""
     power, inverse = _powers(len(buf))
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
@@ -58,8 +60,15 @@ def prefix(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, inverse
 
 
-def span(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from start to end, which don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    sizes = end - start
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    each = buf[np.repeat(start, sizes) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)
+    return mix(np.add.reduceat(mix(each), firsts) + sizes.astype(np.uint64))
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +95,7 @@ def groups(bounds: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _tokens(buf: np.ndarray, bounds: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def tokens(buf: np.ndarray, bounds: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the tokens of a block; kinds: tokens are runs of one kind instead of runs without white space."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -127,8 +136,8 @@ def words(texts: pa.Array, lower: bool = False, kinds: np.ndarray | None = None)
         rel = bounds[i : j + 1] - bounds[i]
         for s, e in [(0, len(part))] if len(part) <= 2 * BLOCK else _pieces(part, kinds):
             block = part[s:e]
-            at, to = _tokens(block, rel - s, kinds)
-            found.append(span(*prefix(block), at, to))
+            at, to = tokens(block, rel - s, kinds)
+            found.append(word_hashes(block, at, to))
             if j - i == 1:
                 counts[i] += len(at)
             else:

@@ -1,15 +1,16 @@
 """Embedding near-duplicates by lattice hashing.
 
-1. Equal vectors form a class; the smallest vec_id stands for it.
+1. Equal vectors form a class.
 2. In each of `TABLES` tables a unit vector is projected to two random 8-dimensional subspaces, scaled, and decoded to
    the nearest point of the E8 lattice in each; the two points name a cell.  A vector is filed in its own cell.
 3. It also probes neighbouring cells: of the combinations of its own point and the nearest `NEAR` of the 240 minimal
    vectors around it, in both subspaces, the `PROBES` closest.  A bitmap of fixed size tells which cells are in use,
    so few probes leave the task that makes them.
-4. The members of a cell (filed or probing) are compared by cosine in double precision, as matrix products; only links
-   come out.  A crowded cell is cut into blocks, and each pair of blocks is a task's work.  A link found in several
-   tables comes out of the first in which both are filed together.
-5. Components of the links.
+4. The members of a cell (filed or probing) are compared by cosine in double precision, as matrix products.  A crowded
+   cell is cut into blocks, and each pair of blocks is a task's work.  A pair that shares several cells counts in the
+   one of least key.  What comes out is not the links but, for each member, the number of its links, and a spanning
+   forest of them: as many rows as members, however many links a group of copies has.
+5. Components of the forests.
 
 For cosine 0.951 in 64 dimensions a table finds a pair with probability about 0.4 (measured), all 24 miss one in about
 200,000; the tests measure recall against brute force.
@@ -22,12 +23,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import small_batches, stored
+from .common import bitmap, small_batches, stored
 from .components import components
 
 TABLES, NEAR, PROBES, SPACING = 24, 5, 26, 0.25
@@ -98,55 +100,77 @@ def cells(unit: np.ndarray, tables: int = TABLES, spacing: float = SPACING) -> t
     return own, probes
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Usable vectors as float64; None for null, empty, zero, or with a null or non-finite component."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        x = None if v.as_py() is None else np.array([np.nan if c is None else c for c in v.as_py()], np.float64)
-        out.append(None if x is None or not len(x) or not np.isfinite(x).all() or not np.isfinite(x @ x) or x @ x == 0 else x)
-    return out
+def _usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all vectors, their bounds, and which are usable: not null, empty, zero, or with a null or non-finite component."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    count = lambda which: np.diff(np.concatenate([[0], np.cumsum(which)])[bounds])
+    return values, bounds, (count(~np.isfinite(values)) == 0) & (count(values != 0) > 0)
 
 
-def _prepared(rows: DataFrame) -> DataFrame:
+def _prepared(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            found = _vectors(b.column("embedding"))
-            data = [None if x is None else x.astype("<f8").tobytes() for x in found]
+            values, bounds, usable = _usable(b.column("embedding"))
+            values = values.astype(kind)
+            data = [values[s:e].tobytes() if u else None for s, e, u in zip(bounds[:-1], bounds[1:], usable)]
             fp = [None if d is None else hashlib.sha1(d).digest() for d in data]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(fp, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "fp", "vector"])
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, fp binary, vector binary")
+    embedding = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.alias("embedding")).mapInArrow(run, "vec_id long, fp binary, vector binary")
 
 
-def _by_dim(vectors: list[bytes]):
+def _doubles(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of equal length in double precision, each times a power of two that brings its largest component near 1, so squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _by_dim(vectors: list[bytes], kind: str, most: int = 512):
     lengths = np.array([len(v) for v in vectors])
     for size in np.unique(lengths):
         at = np.flatnonzero(lengths == size)
-        for s in range(0, len(at), 512):
-            part = at[s : s + 512]
-            x = np.frombuffer(b"".join(vectors[k] for k in part), "<f8").reshape(len(part), -1)
+        for s in range(0, len(at), most):
+            part = at[s : s + most]
+            x = _doubles([vectors[k] for k in part], kind)
             yield part, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _filed(classes: DataFrame, tables: int, spacing: float) -> DataFrame:
-    """v, key of each own cell, and own: all own cells of v."""
-
-    def run(batches):
-        for b in batches:
-            for part, unit in _by_dim(b.column("vector").to_pylist()):
-                own, _ = cells(unit, tables, spacing)
-                packed = pa.array([o.tobytes() for o in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(part)), packed], ["v", "own"])
-
-    return classes.select("v", "vector").mapInArrow(run, "v long, own binary")
-
-
-def _cells_in_use(filed: DataFrame, bits: int) -> np.ndarray:
-    width = 32768
-    p = F.shiftrightunsigned("key", 64 - (bits - 1).bit_length())
-    maps = filed.select(p.alias("p")).groupBy(F.floor(F.col("p") / width).alias("k")).agg(F.bitmap_construct_agg((F.col("p") % width).cast("long")).alias("m")).toArrow()
-    found = dict(zip(maps["k"].to_pylist(), maps["m"].to_pylist()))
-    return np.frombuffer(b"".join(found.get(k, bytes(width // 8)) for k in range(bits // width)), np.uint8)
+def _links(key: int, x: np.ndarray, keys: list[np.ndarray], mine: np.ndarray | None, cosine: float) -> np.ndarray:
+    """Which members of a cell are linked, but for pairs that share a cell of a lesser key; mine: only pairs of different blocks."""
+    length = np.sqrt((x * x).sum(axis=1))
+    near = (x @ x.T) / np.outer(length, length) >= cosine
+    np.fill_diagonal(near, False)
+    if mine is not None:
+        near &= mine[:, None] != mine
+    if not near.any():
+        return near
+    lesser = [k[k < key] for k in keys]
+    flat, owner = np.concatenate(lesser), np.repeat(np.arange(len(x)), [len(k) for k in lesser])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]) if len(flat) else [True])
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        if e - s > 1:
+            near[np.ix_(owner[s:e], owner[s:e])] = False
+    return near
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what near joins: each member to one that it was reached from."""
+    seen, a, b = ~near.any(axis=1), [], []
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        seen[root], front = True, np.array([root])
+        while len(front):
+            new = np.flatnonzero(near[front].any(axis=0) & ~seen)
+            a.append(new)
+            b.append(front[near[front][:, new].argmax(axis=0)] if len(new) else new)
+            seen[new], front = True, new
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, tables: int = TABLES, spacing: float = SPACING, bitmap_bits: int = BITMAP_BITS, block: int = BLOCK) -> DataFrame:
@@ -156,74 +180,73 @@ def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, tables: int = TA
     lengths don't link.  Repeated rows count as vectors of their own for n_links and share a component.  A row without
     vec_id links with nothing, has no component_id and is kept.
     """
-    small_batches(rows.sparkSession)
-    prep = stored(_prepared(rows), "vectors")
+    spark = rows.sparkSession
+    small_batches(spark)
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    prep = stored(_prepared(rows, kind), "vectors")
     some = prep.where("vec_id IS NOT NULL AND fp IS NOT NULL")
-    sizes = some.groupBy("fp").agg(F.min("vec_id").alias("v"), F.count("*").alias("size"))
-    classes = stored(some.join(sizes.select("fp", F.col("v").alias("vec_id"), "size"), ["fp", "vec_id"]).select(F.col("vec_id").alias("v"), "vector", "size").dropDuplicates(["v"]), "classes")
+    groups = some.groupBy("fp").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector"))
+    classes = stored(groups.withColumn("v", F.monotonically_increasing_id()), "classes")
 
-    def spread(batches):
+    def own_cells(batches):
         for b in batches:
-            own = np.frombuffer(b"".join(b.column("own").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(np.repeat(np.arange(b.num_rows), len(own) // max(1, b.num_rows)))), pa.array(own)], ["v", "key"])
+            for part, unit in _by_dim(b.column("vector").to_pylist(), kind):
+                own, _ = cells(unit, tables, spacing)
+                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(np.repeat(part, tables))), pa.array(own.reshape(-1))], ["v", "key"])
 
-    filed = stored(_filed(classes, tables, spacing), "filed")
-    index = filed.mapInArrow(spread, "v long, key long")
-    shift = 64 - (bitmap_bits - 1).bit_length()
-    used = rows.sparkSession.sparkContext.broadcast(_cells_in_use(index, bitmap_bits))
+    index = stored(classes.select("v", "vector").mapInArrow(own_cells, "v long, key long"), "index")
+    used = spark.sparkContext.broadcast(bitmap(index.select(F.col("key").alias("h")), bitmap_bits))
 
     def probing(batches):
         for b in batches:
-            for part, unit in _by_dim(b.column("vector").to_pylist()):
+            for part, unit in _by_dim(b.column("vector").to_pylist(), kind):
                 _, probes = cells(unit, tables, spacing)
                 flat = probes.reshape(-1)
-                at = (flat.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+                at = flat % bitmap_bits
                 hit = np.flatnonzero((used.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(part[hit // (tables * (PROBES - 1))])), pa.array(flat[hit])], ["v", "key"])
 
     probe = classes.select("v", "vector").mapInArrow(probing, "v long, key long").distinct()
-    both = index.select("v", "key", F.lit(1).alias("filed")).union(probe.select("v", "key", F.lit(0).alias("filed"))).repartition("key")
-    w = Window.partitionBy("key")
-    members = both.withColumn("n", F.count("*").over(w)).withColumn("f", F.max("filed").over(w)).where("n > 1 AND f = 1").select("v", "key", "n")
-    members = stored(members, "members")
-    loaded = members.join(classes.select("v", "vector").join(filed, "v"), "v")
+    both = stored(index.select("v", "key", F.lit(1).alias("filed")).union(probe.select("v", "key", F.lit(0).alias("filed"))), "both")
+    # stored, so that Spark may split the join where a cell is crowded
+    crowds = stored(both.groupBy("key").agg(F.count("*").alias("n"), F.max("filed").alias("f")).where("n > 1 AND f = 1").select("key", "n"), "crowds")
+    members = stored(both.join(crowds, "key").select("v", "key", "n"), "members")
+    # a vector is in at most tables * PROBES cells
+    keys = members.groupBy("v").agg(F.collect_list("key").alias("keys"))
+    loaded = members.join(classes.select("v", "vector", "size").join(keys, "v"), "v")
     # crowded cells: a block for each member, a group for each pair of blocks
     blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    split = loaded.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    split = split.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "vector", "own")
+    split = loaded.withColumn("mine", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    split = split.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "size", "vector", "keys")
     grouped = split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "v")
 
     def compared(batches):
         held: list[pa.RecordBatch] = []
 
-        def links(t: pa.Table):
-            key, i, j, mine = (t[c].to_numpy() for c in ("key", "i", "j", "mine"))
-            v = t["v"].to_numpy()
+        def found(t: pa.Table):
+            key, i, j, mine, v, size = (t[c].to_numpy() for c in ("key", "i", "j", "mine", "v", "size"))
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            vectors, owns = t["vector"].to_pylist(), np.frombuffer(b"".join(t["own"].to_pylist()), np.int64).reshape(len(v), -1)
+            vectors, lists = t["vector"].to_pylist(), t["keys"].combine_chunks()
+            all_keys, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            starts = np.concatenate([[0], ends[:-1]])
             for s, e in zip(new, [*new[1:], len(v)]):
-                if e - s < 2:
-                    continue
-                x = np.frombuffer(b"".join(vectors[s:e]), "<f8").reshape(e - s, -1) if len({len(d) for d in vectors[s:e]}) == 1 else None
-                if x is None:
-                    continue
-                length = np.sqrt((x * x).sum(axis=1))
-                near = np.triu((x @ x.T) / np.outer(length, length) >= cosine, 1)
-                if i[s] != j[s]:
-                    near &= mine[s:e][:, None] != mine[s:e]
-                a, b = np.nonzero(near)
-                same = owns[s:e][a] == owns[s:e][b]
-                first = np.where(same.any(axis=1), owns[s:e][a, same.argmax(axis=1)], key[s])
-                keep = (first == key[s]) & (v[s:e][a] != v[s:e][b])
-                yield v[s:e][a[keep]], v[s:e][b[keep]]
+                lengths = np.array([len(d) for d in vectors[s:e]])
+                for length in np.unique(lengths):
+                    at = s + np.flatnonzero(lengths == length)
+                    if len(at) < 2:
+                        continue
+                    near = _links(key[s], _doubles([vectors[k] for k in at], kind), [all_keys[starts[k] : ends[k]] for k in at], mine[at] if i[s] != j[s] else None, cosine)
+                    linked = np.flatnonzero(near.any(axis=1))
+                    if len(linked):
+                        a, b = _forest(near)
+                        yield v[at[linked]], (near @ size[at])[linked], v[at[a]], v[at[b]]
 
         def out(t: pa.Table):
-            found = list(links(t))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            parts = list(found(t))
+            if parts:
+                v, others, a, b = (np.concatenate(c) for c in zip(*parts))
+                ends = pa.concat_arrays([pa.nulls(len(v), pa.int64()), pa.array(b)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, a])), ends, pa.concat_arrays([pa.array(others), pa.nulls(len(a), pa.int64())])], ["a", "b", "others"])
 
         for b in batches:
             if not b.num_rows:
@@ -238,16 +261,13 @@ def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, tables: int = TA
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    links = stored(grouped.mapInArrow(compared, "a long, b long").distinct(), "links")
-    near = components(links)
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(classes.select(F.col("v").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    facts = classes.select("v", "size").join(degree.withColumnRenamed("a", "v"), "v", "left").join(near, "v", "left")
-    facts = facts.select("v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "v").alias("component"))
-    member = prep.select("vec_id", "fp").join(sizes.select("fp", "v"), "fp", "left")
-    member = member.withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("v")))
-    return (
-        member.join(facts, "v", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    compared_rows = stored(grouped.mapInArrow(compared, "a long, b long, others long"), "compared")
+    near = components(compared_rows.where("b IS NOT NULL").select("a", "b"))
+    degree = compared_rows.where("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
+    facts = classes.select("v", "fp", "least", "size").join(degree.withColumnRenamed("a", "v"), "v", "left").join(near, "v", "left").withColumn("group", F.coalesce("component", "v"))
+    least = facts.groupBy("group").agg(F.min("least").alias("component_id"))
+    facts = stored(facts.select("group", "fp", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).join(stored(least, "least"), "group").drop("group"), "facts")
+    member = prep.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("fp")).alias("fp")).join(facts, "fp", "left")
+    return member.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, small_batches
+from .common import named_files, shared_dir, small_batches, stored
 
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
@@ -174,7 +174,7 @@ class RangePartition(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.uri = options["path"]
+        self.uri, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", 3))
 
@@ -184,10 +184,8 @@ class ArchiveReader(DataSourceReader):
         return fs.FileSystem.from_uri(self.uri)
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, base = self._store()
-        found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.path.endswith(".zip"))
+        store, _ = self._store()
+        found = [(f.path, f.size) for f in store.get_file_info(named_files(self.uri, self.manifest, "archive", (".zip",)))]
         ranges = [(p, s, min(s + self.range_bytes, size)) for p, size in found for s in range(0, size, self.range_bytes)]
         return [RangePartition(r) for r in ranges] or [RangePartition(None)]
 
@@ -217,7 +215,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """format("media_archive"): options path (folder URI), rangeBytes, attempts."""
+    """format("media_archive"): options path (folder URI), manifest (URI of a table of archives), rangeBytes, attempts."""
 
     @classmethod
     def name(cls) -> str:
@@ -262,22 +260,19 @@ def write(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "archive string, n long")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, manifest: str | None = None) -> DataFrame:
+    """Members of all archives under a path, or of those that a manifest table names."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archive").option("path", path).load()
+    source = spark.read.format("media_archive").option("path", path)
+    return (source.option("manifest", manifest) if manifest else source).load()
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
-    """Writes docs to new archives in the shared folder and reads them back: SCHEMA for every row of docs."""
-    from pyarrow import fs
+    """Writes docs to new archives in the shared folder and reads them back: SCHEMA for every row of docs.
 
+    The archives of attempts that succeeded are named by a manifest table beside them; those of others are never read.
+    """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/media"
-    kept = {r.archive for r in write(docs, path).select("archive").collect()}
-    store, base = fs.FileSystem.from_uri(path)
-    store.create_dir(base, recursive=True)
-    for f in store.get_file_info(fs.FileSelector(base)):
-        if f.path not in kept:
-            store.delete_file(f.path)
-    return read(spark, path)
+    path = shared_dir(docs.sparkSession)
+    stored(write(docs, f"{path}/media"), "manifest", path)
+    return read(docs.sparkSession, f"{path}/media", f"{path}/manifest")

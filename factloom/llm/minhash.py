@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-1. Each text becomes the set of its 5-word shingles (64-bit hashes), a 128-bit fingerprint of the set, `BANDS` band
-   keys of `ROWS` minima each, and a signature of the low bytes of all minima.
-2. Texts of equal sets form a class; its smallest doc_id stands for it.  Only classes are compared.
+1. Each text becomes the set of its 5-word shingles (64-bit hashes), a digest of its sequence of words, `BANDS` band keys
+   of `ROWS` minima each, and a signature of the low bytes of all minima.
+2. Texts of equal words form a class; its smallest doc_id stands for it.  Only classes are compared.
 3. Classes that share a band key are candidates.  Round one compares each with one leader of the key, the class that
    shares the most keys, so a group of near copies costs as many pairs as it has members.  Its links give components.
    Round two compares what still shares a key across components: a key of at most `CROWD` classes gives its pairs; the
@@ -11,15 +11,16 @@
    even where thousands of half-alike texts share a key.  So no pair between components is left out.
 4. A candidate pair's signatures are compared in batches.  After each, a pair goes when the posterior probability that
    its similarity reaches the threshold (uniform prior) is below the chosen miss probability.  Survivors are verified
-   on their full shingle sets; only these links count.
+   on their full shingle sets, with words and shingles told apart by their text, not by a hash; only these links count.
 5. Components of the links, by star rounds over tables in the shared folder.
 
-Pairs, links and components stay in Spark.  What the driver holds is a bitmap of fixed size (`FILTER_BITS`), which spares
+Pairs, links and components stay in Spark.  What the driver holds is a bitmap of fixed size (`BITMAP_BITS`), which spares
 texts that no survivor needs from the shuffle; false hits of it are dropped by the join that follows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,14 +31,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import small_batches, stored
+from .common import bitmap, in_bitmap, small_batches, stored
 from .components import components
 
 WORDS = 5
 BANDS, ROWS = 64, 6
 BATCH = 32
 MISS = 1e-6
-FILTER_BITS = 1 << 26
 CROWD = 32
 _COUNTS, _PART = 1 << 20, 1 << 15
 _SHINGLES = 1 << 15
@@ -64,6 +64,43 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), n
 
 
+def exact_shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text as numbers, and their number per text: equal in all of texts where, and only where, the shingles are."""
+    data, bounds = K.raw(texts)
+    data, bounds = K.LOWER[data[bounds[0] : bounds[-1]]], bounds - bounds[0]
+    start, end = K.tokens(data, bounds, None)
+    counts = np.diff(np.searchsorted(start, bounds))
+    spans = np.concatenate([[0], np.cumsum(end - start)])
+    word = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(spans.astype(np.int64)), pa.py_buffer(data[~K.SPACE[data]])])
+    number = word.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    # a text of fewer words is one sequence, filled up with 0
+    sizes = np.where(counts > 0, np.maximum(counts, words), 0)
+    stream = np.zeros(int(sizes.sum()), np.int64)
+    ends, before = np.cumsum(sizes), np.cumsum(counts) - counts
+    stream[np.arange(len(number)) + np.repeat(ends - sizes - before, counts)] = number
+    n = np.maximum(sizes - words + 1, 0)
+    at = np.arange(int(n.sum())) + np.repeat(ends - sizes - (np.cumsum(n) - n), n)
+    key, top = stream[at], len(number) + 1
+    for k in range(1, words):
+        key = pa.array(key * top + stream[at + k]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.cumsum(n)
+    sets = [np.unique(key[e - m : e]) for e, m in zip(cuts, n)]
+    return (np.concatenate(sets) if sets else np.zeros(0, np.int64)), np.array([len(x) for x in sets], np.int64)
+
+
+def word_digests(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128-bit digests of the lower-cased words of each text, one blank between them."""
+    data = K.LOWER[data[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    space = K.SPACE[data]
+    before = np.concatenate([[True], space[:-1]])
+    before[bounds[:-1][bounds[:-1] < len(data)]] = True
+    keep = ~(space & before)
+    at = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    data = np.where(space, np.uint8(32), data)[keep].tobytes()
+    return [hashlib.blake2b(data[s:e].rstrip(b" "), digest_size=16).digest() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _coefficients(n: int) -> np.ndarray:
     return K.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)).astype(np.uint32) | np.uint32(1)
 
@@ -94,12 +131,12 @@ def prepared(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column("text")
-            _, bounds = K.raw(texts)
+            data, bounds = K.raw(texts)
             for i, j in K.groups(bounds, 4 * K.BLOCK):
                 sets, n = shingle_sets(texts.slice(i, j - i), words)
+                digests = word_digests(data, bounds[i : j + 1])
                 m = minima(sets, n, bands * rows)
                 full = np.flatnonzero(n)
-                ends = np.cumsum(n)
                 keys = np.zeros((bands, len(full)), np.uint64)
                 for k in range(bands * rows):
                     keys[k // rows] = keys[k // rows] * np.uint64(0xF1357AEA2E62A9C5) + m[k]
@@ -108,9 +145,7 @@ def prepared(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 sigs, fps, lists = [None] * (j - i), [None] * (j - i), [None] * (j - i)
                 keys = np.ascontiguousarray(keys.T).view(np.int64)
                 for c, d in enumerate(full):
-                    s = sets[ends[d] - n[d] : ends[d]]
-                    fps[d] = np.array([s.sum(), np.bitwise_xor.reduce(K.mix(s + np.uint64(1)))], np.uint64).tobytes() + int(n[d]).to_bytes(4, "little")
-                    sigs[d], lists[d] = low[c].tobytes(), keys[c]
+                    fps[d], sigs[d], lists[d] = digests[d], low[c].tobytes(), keys[c]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(n), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], PREPARED.fieldNames())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREPARED)
@@ -155,25 +190,10 @@ def _survivors(pairs: DataFrame, prep: DataFrame, percent: int, miss: float, tot
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _bit(bits: int):
-    return F.pmod(F.xxhash64("v"), F.lit(bits))
-
-
-def among(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The documents whose doc_id is in wanted (v), and few others: a bitmap of `bits` bits, whatever the size of wanted."""
-    width = 32768
-    maps = wanted.select((_bit(bits)).alias("p")).groupBy((F.floor(F.col("p") / width)).alias("k")).agg(F.bitmap_construct_agg((F.col("p") % width).cast("long")).alias("m"))
-    found = {r.k: bytes(r.m) for r in maps.collect()}
-    empty = bytes(width // 8)
-    flat = np.frombuffer(b"".join(found.get(k, empty) for k in range(bits // width)), np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(flat)
-
-    @F.arrow_udf("boolean")
-    def hit(p: pa.Array) -> pa.Array:
-        at = p.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array((held.value[at >> 3] >> (at & 7)) & 1 > 0)
-
-    return docs.where(hit(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))))
+def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in wanted (v), and few others."""
+    hit = in_bitmap(docs.sparkSession, bitmap(wanted.select(F.xxhash64("v").alias("h"))))
+    return docs.where(hit(F.xxhash64(F.col("doc_id").cast("long"))))
 
 
 def _links(survivors: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,11 +207,13 @@ def _links(survivors: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             ta, tb = b.column("ta"), b.column("tb")
             _, bounds = K.raw(ta)
             for i, j in K.groups(bounds, 4 * K.BLOCK):
-                (sa, na), (sb, nb) = shingle_sets(ta.slice(i, j - i), words), shingle_sets(tb.slice(i, j - i), words)
-                ea, eb = np.cumsum(na), np.cumsum(nb)
-                for k in range(j - i):
-                    both = len(np.intersect1d(sa[ea[k] - na[k] : ea[k]], sb[eb[k] - nb[k] : eb[k]], assume_unique=True))
-                    keep[i + k] = both > 0 and 100 * both >= percent * (na[k] + nb[k] - both)
+                m = j - i
+                sets, n = exact_shingles(pa.concat_arrays([ta.slice(i, m), tb.slice(i, m)]), words)
+                ends = np.cumsum(n)
+                for k in range(m):
+                    x, y = sets[ends[k] - n[k] : ends[k]], sets[ends[m + k] - n[m + k] : ends[m + k]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i + k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
@@ -260,7 +282,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     docs = docs.select("doc_id", "text")
     prep = stored(prepared(docs, words, bands, rows), "prepared")
     some = prep.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    # tables of one row a class or key are stored, so that Spark may split the joins with them where a class or key is hot
+    classes = stored(some.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     member = stored(prep.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", "rep"), "member")
     # a doc_id is one vertex: its texts' classes are linked, and its rows without shingles go with the others
     held = member.where("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
@@ -268,21 +291,22 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = 75, b
     bare = F.col("doc_id").isNotNull() & F.col("rep").isNull()
     member = member.where(~bare).union(member.where(bare).drop("rep").join(held.select("doc_id", "lo"), "doc_id", "left").select("doc_id", "n_shingles", "lo"))
     first = classes.select("fp", F.col("rep").alias("doc_id"))
-    key = some.join(first, ["fp", "doc_id"]).select(F.col("doc_id").alias("v"), F.explode("bands").alias("key")).repartition("key")
-    shared = key.distinct().withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    shared = stored(shared, "shared")
+    key = some.join(first, ["fp", "doc_id"]).dropDuplicates(["fp", "doc_id"]).select(F.col("doc_id").alias("v"), F.explode(F.array_distinct("bands")).alias("key"))
+    key = stored(key, "keys")
+    common = stored(key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    shared = stored(key.join(common, "key").distinct(), "shared")
     popular = shared.groupBy("v").agg(F.sum("c").alias("pop"))
     ranked = shared.select("v", "key").join(popular, "v")
     leader = ranked.groupBy("key").agg(F.max(F.struct("pop", -F.col("v"))).alias("x")).select("key", (-F.col("x.col2")).alias("w"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = shared.select("v", "key").join(leader, "key").where("v <> w").select(*ordered("v", "w")).distinct()
+    star = shared.select("v", "key").join(stored(leader, "leader"), "key").where("v <> w").select(*ordered("v", "w")).distinct()
     star = stored(star, "star")
     one = stored(_links(stored(_survivors(star, some, percent, miss, bands * rows), "survivors"), docs, words, percent), "links")
     near = components(one)
 
     labelled = shared.select("v", "key").join(near, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    still = stored(labelled.join(open_keys, "key"), "open")
+    still = stored(labelled.join(stored(open_keys, "openkeys"), "key"), "open")
     few = still.where(F.col("n") <= CROWD)
     x, y = few.select("key", F.col("v").alias("v"), F.col("component").alias("cv")), few.select("key", F.col("v").alias("w"), F.col("component").alias("cw"))
     across = x.join(y, "key").where("cv < cw").select(*ordered("v", "w")).distinct()

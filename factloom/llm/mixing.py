@@ -2,15 +2,17 @@
 
 1. Sizes are words.  The mix has `share` of all words; sources share it by weight, none above `most` times its own
    size, and what is over is shared again among the others.
-2. Each source is a stream: its documents in an order given by a hash of their ids, as often as needed, cut into blocks
-   of `block` words.  A document's place in the stream is a prefix sum over 4096 hash ranges a source.
-3. The schedule has a slot for each block.  Slot k has the point k * golden ratio mod 1 (exact, in 64-bit integers);
-   the source whose interval of cumulative target weights holds it fills the slot.  Any stretch of the schedule has
-   the sources near their weights.
+2. Each source is a stream: its documents in an order given by a hash of their ids and texts, as often as needed, cut
+   into blocks of equally many words: `BLOCK`, or less for a source whose target has fewer than `LEAST_BLOCKS` of them.
+   A document's place in the stream is a prefix sum.
+3. The schedule has as many slots as blocks are wanted.  Slot k has the point k * golden ratio mod 1 (exact, in 64-bit
+   integers); the source whose interval of cumulative weights (its wanted blocks) holds it fills the slot.  Any stretch
+   of the schedule has the sources near their weights.
 4. Slots are ranked within their source by a prefix sum over chunks of slots; slot r of a source takes block r of its
    stream, modulo the stream's length.  A document gives as many words as its pieces in taken blocks have.
 
-Only a row for each source reaches the driver; more than `max_sources` is an error.
+A small source has a few hundred slots of its own smaller blocks, so the number of slots follows the size of the mix and
+the number of sources, whatever the smallest source is.  A row for each source, some 50 bytes, reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, small_batches, stored
+from .common import BROADCAST_ROWS, WORD, running, stored
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0x9E3779B97F4A7C15
 CHUNK = 1 << 14
+BLOCK, LEAST_BLOCKS = 4096, 400
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -46,17 +49,15 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
     return out
 
 
-def block_words(sizes: list[int], goals: list[float]) -> int:
-    """Small enough that one block is within 1/400 of the smallest target, 4096 words at most."""
-    least = min((g for g in goals if g > 0), default=1.0)
-    return int(min(4096, max(1, least // 400)))
+def block_words(goal: float) -> int:
+    """Words of a block of a source: BLOCK, or so few that the target has LEAST_BLOCKS of them."""
+    return int(min(BLOCK, max(1, goal // LEAST_BLOCKS)))
 
 
-def schedule(spark, goals: list[float], block: int) -> DataFrame:
-    """k (slot), chunk, source_no: the golden-ratio point of each slot through the cumulative targets."""
-    total = sum(goals)
-    slots = int(-(-total // block)) if total > 0 else 0
-    edges = np.cumsum(np.array(goals)) / (total or 1.0)
+def schedule(spark, wanted: list[int]) -> DataFrame:
+    """k (slot), chunk, source_no: the golden-ratio point of each slot through the cumulative numbers of wanted blocks."""
+    slots = sum(wanted)
+    edges = np.cumsum(np.array(wanted, np.float64)) / (slots or 1)
 
     def points(batches):
         for b in batches:
@@ -76,48 +77,47 @@ def ranked(slots: DataFrame) -> DataFrame:
     return slots.join(starts, ["source_no", "chunk"]).withColumn("r", F.col("start") + within).select("k", "source_no", "r")
 
 
-def mixed(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, max_sources: int = 1_000_000) -> DataFrame:
-    """A row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+def mixed(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, and the columns in `keep`.
 
     size: words of the text (null: 0).  taken: words that the mix takes of it, repeats counted, at most `most` times
     size.  Sources in code point order, null last, have the weights in turn.  A source without words has target 0.
-    Rows of equal doc_id are documents of their own, ordered by size; an empty table gives an empty result.
+    Rows of equal doc_id are documents of their own; equal rows share what the mix takes of them in any order.  An empty
+    table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))
-    slim = stored(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes")
-    found = slim.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("mix"))
+    row = F.struct(*keep) if keep else F.lit(None).cast("string")
+    slim = stored(docs.select("doc_id", "source", size.alias("size"), h.alias("h"), row.alias("row")), "sizes")
+    found = slim.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
     sizes = [r.n for r in found]
     goals = targets(sizes, [float(weights[k % len(weights)]) for k in range(len(found))], share, most)
-    block = block or block_words(sizes, goals)
+    blocks = [block or block_words(g) for g in goals]
+    wanted = [int(-(-g // b)) for g, b in zip(goals, blocks)]
     facts = spark.createDataFrame(
-        [(r.source, k, r.n, goals[k], -(-r.n // block)) for k, r in enumerate(found)], "source string, source_no int, source_size long, target double, blocks long"
+        [(r.source, k, r.n, goals[k], blocks[k], -(-r.n // blocks[k])) for k, r in enumerate(found)], "source string, source_no int, source_size long, target double, width long, blocks long"
     )
-    known = slim.join(F.broadcast(facts), slim.source.eqNullSafe(facts.source)).select("doc_id", slim.source, "size", "h", "source_no", "source_size", "target", "blocks")
+    near = F.broadcast if len(found) <= BROADCAST_ROWS else lambda x: x
+    known = slim.join(near(facts), slim.source.eqNullSafe(facts.source)).select("doc_id", slim.source, "size", "h", "row", "source_no", "source_size", "target", "width", "blocks")
     # where each document starts in its source's stream
-    part = known.withColumn("part", F.shiftright("h", 52))
-    sums = part.groupBy("source_no", "part").agg(F.sum("size").alias("n"))
-    before = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source_no").orderBy("part")) - F.col("n")).drop("n")
-    inside = F.sum("size").over(Window.partitionBy("source_no", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = stored(part.join(before, ["source_no", "part"]).withColumn("start", F.col("base") + inside).drop("base", "part", "h"), "placed")
-    b = F.lit(block)
+    placed = stored(running(known, "source_no", "h", "size", "start").drop("h"), "placed")
+    w = F.col("width")
     cut = placed.where("size > 0").select(
-        "source_no", "start", "size", "blocks", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block")
+        "source_no", "start", "size", "width", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor((F.col("start") + F.col("size") - 1) / w))).alias("block")
     )
-    cut = cut.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b))
-    slots = ranked(schedule(spark, goals, block))
+    cut = cut.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * w) - F.greatest(F.col("start"), F.col("block") * w))
+    slots = ranked(schedule(spark, wanted))
     # a block is taken once for each slot that lands on it, at most `most` times
     times = (
-        slots.join(F.broadcast(facts.select("source_no", "blocks")), "source_no")
+        slots.join(near(facts.select("source_no", "blocks")), "source_no")
         .groupBy("source_no", F.pmod("r", "blocks").alias("block"))
         .agg(F.least(F.count("*"), F.lit(int(most))).alias("times"))
     )
     taken = cut.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    some = placed.where("size > 0").join(taken, ["source_no", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    more = [F.col("row")[c].alias(c) for c in keep]
+    some = placed.where("size > 0").join(taken, ["source_no", "start"], "left").select(*out, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *more)
+    none = placed.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), *more)
     return some.union(none)

@@ -88,7 +88,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 4, held_out: int = 2, rows: int = TRAIN_ROWS, bits: int = BITS) -> QualityModel:
     """Learns labels.`label` from at most `rows` labelled documents outside the held-out fold.
 
-    Without labelled rows every score is 0.5; with one class only, it is near that class.
+    Without labelled rows every score is 0.5; with one class only, it is near that class.  Several rows of a doc_id
+    count once: with the greatest label and text.  Long texts count whole.
     """
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
 

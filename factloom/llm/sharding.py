@@ -4,10 +4,9 @@ A key's score on shard s is -ln(u) / weight, where u in (0, 1) comes from 52 bit
 score wins.  Scores of other shards don't depend on how many shards there are, so one more shard only takes rows into
 itself, and a shard of weight w holds about w / total of the keys.
 
-Slots number the rows of a shard from 0 without a gap: rows are ordered by the MD5 of their key, cut into 4096 ranges a
-shard; a count for each range gives the slot it starts at, and only rows of one range are sorted together.  Rows of a
-key that occurs more than `hot` times come last in their shard, cut by the partition that holds them, so no task has to
-sort all copies of a key.
+Slots number the rows of a shard from 0 without a gap, in order of a hash of their key and tie columns, by prefix sums
+over hash ranges.  Rows that agree in all of these are interchangeable, so the slots of the others don't depend on how
+the input is laid out, and no task has to hold all rows of a key or shard.
 """
 
 from __future__ import annotations
@@ -16,16 +15,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import stored, without
+from .common import fresh_name, running, without
 
 SHARDS = 24
-HOT = 100_000
 
 
 def _key(col: Column) -> Column:
-    return F.coalesce(col.cast("string"), F.lit("null"))
+    """The key as text; null has a text that no other key has."""
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
 
 
 def _scored(key: Column, shard: int, weight: float) -> Column:
@@ -40,26 +38,21 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def sharded(rows: DataFrame, key: str, weights: Sequence[float] = (1.0,) * SHARDS, grown_by: float = 1.0) -> DataFrame:
     """rows with shard, and grown_shard: where the key goes once a shard of weight grown_by is added."""
-    best = F.array_min(F.array(*[_scored(F.col(key), s, w) for s, w in enumerate(weights)]))
-    extra = _scored(F.col(key), len(weights), grown_by)
-    found = without(rows, "_best", "shard", "grown_shard").withColumn("_best", best)
-    return found.select("*", F.col("_best.shard").alias("shard"), F.array_min(F.array(F.col("_best"), extra)).getField("shard").alias("grown_shard")).drop("_best")
+    best, extra = F.array_min(F.array(*[_scored(F.col(key), s, w) for s, w in enumerate(weights)])), _scored(F.col(key), len(weights), grown_by)
+    plain = without(rows, "shard", "grown_shard")
+    name = fresh_name(plain, "_best")
+    return plain.withColumn(name, best).select(
+        *[F.col(c) for c in plain.columns], F.col(name)["shard"].alias("shard"), F.array_min(F.array(F.col(name), extra)).getField("shard").alias("grown_shard")
+    )
 
 
-def slotted(rows: DataFrame, key: str, tie: Sequence[str] = (), hot: int = HOT) -> DataFrame:
-    """rows, which have a shard, with slot (long).  Rows of a shard are ordered by key hash, then by the columns `tie`.
+def slotted(rows: DataFrame, key: str, tie: Sequence[str] = ()) -> DataFrame:
+    """rows, which have a shard, with slot (long).  Rows of a shard are ordered by a hash of the key and the columns `tie`.
 
-    An empty table stays empty.  Repeated rows get a slot each; which of two equal rows gets which isn't defined.
+    An empty table stays empty.  Repeated rows get a slot each; which of two equal rows gets which isn't defined.  A column
+    of rows named slot is replaced.
     """
-    hashed = without(rows, "slot", "_h", "_p", "_hot", "_range").withColumn("_h", F.md5(_key(F.col(key)))).withColumn("_p", F.spark_partition_id())
-    base = stored(hashed, "rows")
-    heavy = base.groupBy("_h").count().where(F.col("count") > hot).select("_h", F.lit(True).alias("_hot"))
-    ranges = base.join(heavy, "_h", "left").withColumn("_range", F.when(F.col("_hot"), F.concat(F.lit("~"), "_h", F.lpad(F.col("_p").cast("string"), 10, "0"))).otherwise(F.substring("_h", 1, 3)))
-    counts = ranges.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")).select("shard", "_range", "_start")
-    within = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_h", *tie))
-    return (
-        ranges.join(starts, ["shard", "_range"])
-        .withColumn("slot", (F.col("_start") + within - 1).cast("long"))
-        .select(*[c for c in hashed.columns if c not in ("_h", "_p")], "slot")
-    )
+    plain = without(rows, "slot")
+    hash_, one = fresh_name(plain, "_hash"), fresh_name(plain, "_one")
+    hashed = plain.withColumn(hash_, F.xxhash64(_key(F.col(key)), *[_key(F.col(c)) for c in tie])).withColumn(one, F.lit(1).cast("long"))
+    return running(hashed, "shard", hash_, one, "slot").drop(hash_, one)

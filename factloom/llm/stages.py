@@ -5,25 +5,32 @@ All but encode() return the columns of documents.  Rows without doc_id pass the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, minhash, mixing, quality, toxicity
-from .common import stored, table, without
+from .common import fresh_name, stored, table
 
 THRESHOLD = 0.7
 
 
+def _scored(docs: DataFrame, score: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    name = fresh_name(docs, "_score")
+    return docs.withColumn(name, score).where(keep(F.col(name))).drop(name)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose toxicity score is 0.7 or more."""
+    """Without documents whose toxicity score is 0.7 or more.  A null or empty text has the score of an empty one; repeated rows go or stay together."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return without(docs, "_s").withColumn("_s", toxicity.score(F.col("text"), model)).where(F.col("_s") < THRESHOLD).drop("_s")
+    return _scored(docs, toxicity.score(F.col("text"), model), lambda s: s < THRESHOLD)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose quality score is below 0.7."""
+    """Without documents whose quality score is below 0.7.  A null or empty text has the score of an empty one; repeated rows go or stay together."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return without(docs, "_s").withColumn("_s", quality.score(F.col("text"), model)).where(F.col("_s") >= THRESHOLD).drop("_s")
+    return _scored(docs, quality.score(F.col("text"), model), lambda s: s >= THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Several texts of one doc_id are judged each by itself: all but one get a vertex of their own.
     """
+    columns, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
     fingerprint = F.coalesce(F.sha2("text", 256), F.lit(""))
     named = docs.where("doc_id IS NOT NULL").select("*", fingerprint.alias("_fp"))
     several = named.groupBy("doc_id").agg(F.min("_fp").alias("lo"), F.max("_fp").alias("hi")).where("lo < hi")
@@ -46,22 +54,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         names = texts.select("_v", "doc_id", "_fp").distinct()
         kept = found.join(names, "_v").groupBy("component_id").agg(F.min(F.struct("doc_id", "_fp")).alias("x")).select("x.doc_id", "x._fp")
         one = named.join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return one.select(docs.columns).union(docs.where("doc_id IS NULL")).toDF(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: once for each full pass of the text's words, rounded to the nearest.
 
     Documents without words aren't part of a mix by words; the first pass of a document that is cut at the end of its
-    source's share counts when at least half of it is taken.
+    source's share counts when at least half of it is taken.  Repeated rows are documents of their own.
     """
-    taken = mixing.mixed(docs).where("size > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    times = F.round(F.col("taken") / F.col("size")).cast("int")
-    counted = taken.select("doc_id", "source", "size", times.alias("times")).where("times > 0")
-    size = F.regexp_count(F.col("text"), F.lit(mixing.WORD)).cast("long")
-    same = [docs.doc_id.eqNullSafe(counted.doc_id), docs.source.eqNullSafe(counted.source), size == counted.size]
-    repeated = docs.join(counted, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_pass"))
-    return repeated.select(docs.columns)
+    row = fresh_name(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mixing.mixed(rows, keep=(row,)).where("size > 0")
+    times = taken.select(F.col(row).alias("_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    repeated = rows.join(times, rows[row] == times["_key"]).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(row))
+    return repeated.drop(row)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed byte sequences of 4 to 6 bytes of the lower-cased text with a space at either end, present
-or absent.  Training counts in how many toxic and clean texts each occurs; the smoothed log ratio r of the two is the
-feature's scale.  The `keep` features whose ratio is most significantly above 0 (r over its standard error) stay, and a
-logistic regression is fitted to presence times r.  Scoring hashes every position of a text, looks the hashes up in a
-dense table of weight times r and sums those of the distinct features found.
+Features are the hashed sequences of 4 to 6 characters of the lower-cased text with a space at either end, present or
+absent.  Training counts in how many toxic and clean texts each occurs; the smoothed log ratio r of the two is the
+feature's scale.  Features whose ratio differs from 0 by `SURE` standard errors or more, for either label, stay, however
+many they are, and a logistic regression is fitted to presence times r.  Scoring hashes every position of a text, looks
+the hashes up in a dense table of weight times r and sums those of the distinct features found.
 
 Only the text is read.  Training takes a bounded sample of labelled rows (`rows`); every document is scored, whole.
 """
@@ -26,12 +26,12 @@ from .common import labelled_sample
 BITS = 20
 SIZES = (4, 5, 6)
 TRAIN_ROWS = 12_000
-KEEP = 1024
+SURE = 4.0
 _CHUNK = 1 << 14
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Lower-cased texts between spaces, in blocks: bytes, bounds, number of the first text.  A long text comes in parts that overlap by the longest n-gram less one."""
+    """Lower-cased texts between spaces, in blocks: characters, bounds, number of the first text.  A long text comes in parts that overlap by the longest n-gram less one."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -40,6 +40,9 @@ def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         padded = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.utf8_lower(texts[i:j]), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
         data, ends = K.raw(padded)
         data, ends = data[ends[0] : ends[-1]], ends - ends[0]
+        if data.max() > 127:
+            at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+            data, ends = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4"), np.searchsorted(at, ends)
         if len(data) <= 2 * K.BLOCK:
             yield data, ends, i
             continue
@@ -78,7 +81,7 @@ class ToxicityModel:
 
 
 def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-count ratios, and how many standard errors each is above 0."""
+    """Smoothed log-count ratios, and how many standard errors each is from 0, below it with a minus."""
     p, q = toxic + alpha, clean + alpha
     r = np.log(p / (n_toxic + 2 * alpha)) - np.log(q / (n_clean + 2 * alpha))
     return r, r / np.sqrt(1 / p + 1 / q)
@@ -101,10 +104,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, epochs: in
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS, keep: int = KEEP, bits: int = BITS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS, sure: float = SURE, bits: int = BITS) -> ToxicityModel:
     """Learns labels.`label` from at most `rows` labelled documents outside the held-out fold.
 
-    Without labelled rows every score is 0.5; with one class only, every score is near that class.
+    Without labelled rows every score is 0.5; with one class only, every score is near that class.  Several rows of a
+    doc_id count once: with the greatest label and text.  Long texts count whole.
     """
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
 
@@ -132,10 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
         return ToxicityModel(np.zeros(1 << bits), 0.0, bits)
     counts = np.concatenate([np.frombuffer(c, np.uint32).reshape(2, _CHUNK) for c in parts["counts"].to_pylist()], axis=1)
     r, above = ratios(counts[1].astype(float), counts[0].astype(float), parts["toxic"][0].as_py(), parts["clean"][0].as_py())
-    best = np.argsort(-above, kind="stable")[:keep]
-    best = best[above[best] > 0]
-    chosen = np.zeros(1 << bits, np.int8)
-    chosen[best] = 1
+    chosen = (np.abs(above) >= sure).astype(np.int8)
 
     def selected(batches):
         for b in batches:

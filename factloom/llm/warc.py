@@ -1,9 +1,11 @@
 """WARC archives as a PySpark Python data source, and a writer for pages.
 
 Reading plans one partition a file.  Filters on `record_type` and on the header columns are pushed down: a record's
-header is parsed first, and when it fails a filter the block is skipped without decoding it (in an uncompressed file
-by seeking; in a file of gzip members, by dropping the bytes as they are inflated).  Filters that the source can't
-take stay with Spark.  With option payload=false no payload is returned, but digests and lengths still are.
+header is parsed first, and when it fails a filter the block is skipped without decoding it: in an uncompressed file by
+seeking, and in a file of gzip members whose headers carry the skip lengths of the format's annex (field SL), by seeking
+to the next member, with a few KB inflated at most.  In other gzip files the bytes are dropped as they are inflated.
+Filters that the source can't take stay with Spark.  With option payload=false no payload is returned, but digests and
+lengths still are.  A record without a SHA-1 digest in its header is filtered by the digest of its payload.
 
 Files come from the shared folder through pyarrow's file systems, so a path may be a URI.
 """
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .common import shared_dir, small_batches, without
+from .common import bitmap, in_bitmap, named_files, shared_dir, small_batches, stored, without
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, page_id long, refers_to long, payload_digest string, payload_bytes long, content_length long, payload binary"
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
 FILE_BYTES = 64 << 20
-_PIECE = 1 << 20
+_PIECE, _RAW, _FIRST = 1 << 20, 1 << 14, 1 << 12
 _ID = "<urn:x-page:{}>"
 
 
@@ -45,8 +49,10 @@ class _Inflated:
     """The bytes of a file of gzip members, or of a plain file, with read, line and skip."""
 
     def __init__(self, file, packed: bool):
-        self.file, self.packed, self.held, self.at, self.member = file, packed, b"", 0, None
-        self.raw = b""
+        self.file, self.packed = io.BufferedReader(file, _PIECE), packed
+        self.held, self.at, self.member = b"", 0, None
+        #: Of the current member: where it starts, its packed and plain bytes if it says so, and the bytes inflated.
+        self.start, self.lengths, self.made = 0, None, 0
 
     def _more(self) -> bool:
         if not self.packed:
@@ -55,16 +61,20 @@ class _Inflated:
             data = b""
             while not data:
                 if self.member is None or self.member.eof:
-                    self.raw = (self.member.unused_data if self.member else b"") or self.file.read(_PIECE)
-                    if not self.raw:
+                    if self.member is not None:
+                        self.file.seek(-len(self.member.unused_data), 1)
+                    self.start, raw = self.file.tell(), self.file.read(_RAW)
+                    if not raw:
+                        self.member = None
                         return False
-                    self.member = zlib.decompressobj(31)
-                    data = self.member.decompress(self.raw, _PIECE)
+                    self.lengths, self.made, self.member = _skip_lengths(raw), 0, zlib.decompressobj(31)
+                    data = self.member.decompress(raw, _FIRST)
                 else:
-                    raw = self.member.unconsumed_tail or self.file.read(_PIECE)
+                    raw = self.member.unconsumed_tail or self.file.read(_RAW)
                     if not raw:
                         raise EOFError("archive ends within a record")
                     data = self.member.decompress(raw, _PIECE)
+            self.made += len(data)
         self.held, self.at = self.held[self.at :] + data, 0
         return bool(data)
 
@@ -87,11 +97,14 @@ class _Inflated:
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        have = min(n, len(self.held) - self.at)
-        self.at += have
-        n -= have
-        if n and not self.packed:
-            self.file.seek(n, 1)
+        have = len(self.held) - self.at
+        if n > have and not self.packed:
+            self.file.seek(n - have, 1)
+            self.held, self.at = b"", 0
+            return
+        if n > have and self.lengths and self.made - have + n + 4 >= self.lengths[1]:  # what is skipped ends the member
+            self.file.seek(self.start + self.lengths[0])
+            self.held, self.at, self.member = b"", 0, None
             return
         while n:
             if self.at == len(self.held) and not self._more():
@@ -101,6 +114,19 @@ class _Inflated:
             n -= part
 
 
+def _skip_lengths(raw: bytes) -> tuple[int, int] | None:
+    """Packed and plain bytes of a gzip member, from field SL of its header."""
+    if len(raw) < 12 or not raw[3] & 4:
+        return None
+    end, at = 12 + int.from_bytes(raw[10:12], "little"), 12
+    while at + 4 <= end <= len(raw):
+        size = int.from_bytes(raw[at + 2 : at + 4], "little")
+        if raw[at : at + 2] == b"SL" and size == 8:
+            return struct.unpack_from("<2I", raw, at + 4)
+        at += 4 + size
+    return None
+
+
 def _number(text: str | None, before: str = "", after: str = "") -> int | None:
     text = (text or "").removeprefix(before).removesuffix(after)
     return int(text) if text.lstrip("-").isdigit() else None
@@ -120,8 +146,10 @@ def records(file, packed: bool, wanted: dict[str, set], payload: bool) -> Iterat
             head[name.strip().lower()] = value.strip()
         length = int(head["content-length"])
         got = {c: head.get(h) for c, h in HEADERS.items()}
-        got["payload_digest"] = (got["payload_digest"] or "").removeprefix("sha1:") or None
-        if any(got[c] not in values for c, values in wanted.items()):
+        kind, _, digest = (got["payload_digest"] or "").rpartition(":")
+        got["payload_digest"] = digest if digest and kind.lower() in ("", "sha1") else None
+        late = got["payload_digest"] is None and got["record_type"] in ("response", "resource")
+        if any(got[c] not in values for c, values in wanted.items() if not (late and c == "payload_digest")):
             source.skip(length)
             continue
         size, body = _number(head.get("x-payload-length")), None
@@ -131,6 +159,8 @@ def records(file, packed: bool, wanted: dict[str, set], payload: bool) -> Iterat
             if got["payload_digest"] not in (None, digest := sha1_base32(body)):
                 raise ValueError(f"payload of {got['record_id']} has digest {digest}, not {got['payload_digest']}")
             got["payload_digest"], size = digest, len(body)
+            if late and digest not in wanted.get("payload_digest", {digest}):
+                continue
         else:
             source.skip(length)
         yield (*(got[c] for c in ("record_type", "record_id", "target_uri", "date")), _number(got["record_id"], "<urn:x-page:", ">"), _number(head.get("warc-refers-to"), "<urn:x-page:", ">"), got["payload_digest"], size, length, body if payload else None)
@@ -142,7 +172,7 @@ class FilePartition(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.manifest = options["path"], options.get("manifest")
         self.payload = options.get("payload", "true").lower() != "false"
         self.wanted: dict[str, set] = {}
 
@@ -157,12 +187,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, path = opened(self.path)
-        if store.get_file_info(path).type == fs.FileType.File:
-            return [FilePartition((self.path, path))]
-        found = sorted(f.path for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.path.endswith((".warc", ".warc.gz")))
+        found = named_files(self.path, self.manifest, "file", (".warc", ".warc.gz"))
         return [FilePartition((self.path, f)) for f in found] or [FilePartition((self.path, None))]
 
     def read(self, partition):
@@ -189,7 +214,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """format("warc"): option path (file or folder URI), payload (true)."""
+    """format("warc"): options path (file or folder URI), manifest (URI of a table of files), payload (true)."""
 
     @classmethod
     def name(cls) -> str:
@@ -202,11 +227,12 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of all archives under a path.  Filters reach the source (spark.sql.python.filterPushdown.enabled is set)."""
+def read(spark: SparkSession, path: str, payload: bool = True, manifest: str | None = None) -> DataFrame:
+    """Records of all archives under a path, or of those that a manifest table names.  Filters reach the source (spark.sql.python.filterPushdown.enabled is set)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    source = spark.read.format("warc").option("path", path).option("payload", str(payload).lower())
+    return (source.option("manifest", manifest) if manifest else source).load()
 
 
 def _record(kind: str, page_id, url, digest: str, html: bytes, refers_to, size: int) -> bytes:
@@ -223,15 +249,17 @@ def _record(kind: str, page_id, url, digest: str, html: bytes, refers_to, size:
 
 
 def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, size, sha1 (hex), head: pages with, for payloads of at least `least` bytes, the largest page_id of equal payloads.
+    """page_id, url, html, size, sha1 (hex), head: pages with, for payloads of at least `least` bytes that occur more than once, the largest page_id of equal payloads.
 
-    The largest ids are combined before the shuffle, and the join that brings them to the pages may be split where one
-    payload holds many of them.
+    Digests and ids are shuffled, and of the texts only those of repeated payloads: a bitmap of fixed size tells which
+    pages have one.  The heads are a stored table, so Spark may split the join where one payload holds many pages.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("sha1"))
-    heads = known.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("head"))
-    return known.join(heads, "sha1", "left")
+    heads = known.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = stored(heads, "heads")
+    hit = in_bitmap(pages.sparkSession, bitmap(heads.select(F.xxhash64("sha1").alias("h"))))(F.xxhash64("sha1"))
+    return known.where(hit).join(heads, "sha1", "left").unionByName(known.where(~hit).withColumn("head", F.lit(None).cast("long")))
 
 
 def write(pages: DataFrame, path: str, *, least: int = 0, packed: bool = True, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -271,21 +299,23 @@ def write(pages: DataFrame, path: str, *, least: int = 0, packed: bool = True, f
 
 
 def _gzip(data: bytes) -> bytes:
-    z = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    """A gzip member with its skip lengths in field SL, where they fit."""
+    z = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    tail = struct.pack("<2I", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    size = 24 + len(body) + 8
+    if max(size, len(data)) >= 1 << 32:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    return b"\x1f\x8b\x08\4\0\0\0\0\0\xff" + struct.pack("<H2sH2I", 12, b"SL", 8, size, len(data)) + body + tail
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
-    """Writes pages to a new folder and reads the records back; files that no successful attempt reported are removed."""
-    small_batches(pages.sparkSession)
-    spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc"
-    kept = {r.file for r in write(pages, path, **options).select("file").collect()}
-    store, base = opened(path)
-    from pyarrow import fs
+    """Writes pages to a new folder and reads the records back.
 
-    store.create_dir(base, recursive=True)
-    for f in store.get_file_info(fs.FileSelector(base)):
-        if f.path not in kept:
-            store.delete_file(f.path)
-    return read(spark, path, payload=False)
+    The files of attempts that succeeded are named by a manifest table beside them; those of others are never read.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
+    path = shared_dir(spark)
+    stored(write(pages, f"{path}/warc", **options), "manifest", path)
+    return read(spark, f"{path}/warc", payload=False, manifest=f"{path}/manifest")

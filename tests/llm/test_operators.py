@@ -156,6 +156,39 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, edits, crowd):
     assert got == {i: (n, c, i == c) for i, (n, c) in brute_links(docs).items()}
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words agree under every polynomial over Z/2^64; as documents they are different."""
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    assert len(x) == 2048 and len(set(kernels.words(pa.array([x, y]))[0].tolist())) == 2
+    docs = [(1, x), (2, y), (3, f"p q r s {x} t u"), (4, f"p q r s {y} t u")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_exact_shingles_against_sets():
+    rng = random.Random(9)
+    texts = [None, "", " \t", "A b", "a  B", "a b c d", *[" ".join(rng.choices("abÉ", k=rng.randint(1, 30))) + rng.choice(["", " ", "\n"]) for _ in range(200)]]
+    found, sizes = minhash.exact_shingles(pa.array(texts))
+    ends = np.cumsum(sizes)
+    mine = [set(found[e - n : e].tolist()) for e, n in zip(ends, sizes)]
+    sets = []
+    for t in texts:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    for (a, x), (b, y) in itertools.combinations(zip(mine, sets), 2):
+        assert len(a) == len(x) and len(a & b) == len(x & y)
+
+
+def test_digests_are_of_the_words():
+    texts = ["A b", " a\tB \n", "ab", "", None, " ", "a b ", "a b c"]
+    data, bounds = kernels.raw(pa.array(texts))
+    got = minhash.word_digests(data, bounds)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert (got[i] == got[j]) == (words((texts[i] or "").lower()) == words((texts[j] or "").lower()))
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -255,6 +288,26 @@ def test_lattice_points_are_nearest():
     assert (own <= near + 1e-9).all()
 
 
+def test_forest_and_least_cell():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(1, 16)) + rng.normal(size=(12, 16)) * 0.02, rng.normal(size=(5, 16))])
+    keys = [np.array([3, 5]) if k % 2 else np.array([5, 9]) for k in range(17)]
+    near = lattice._links(5, x, keys, None, 0.95)
+    both_odd = np.arange(17) % 2 == 1
+    want = np.zeros((17, 17), bool)
+    want[:12, :12] = True
+    np.fill_diagonal(want, False)
+    assert (near == (want & ~(both_odd[:, None] & both_odd))).all()  # odd ones share cell 3, where their pairs count
+    a, b = lattice._forest(near)
+    assert len(a) == 11 and near[a, b].all()
+
+
+def test_vectors_of_great_and_small_norm(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (4, [-1.0, 1.0]), (5, [-2.0, 2.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (4, 1, 4), (5, 1, 4)]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64))
@@ -307,13 +360,29 @@ def test_mix_meets_its_targets_and_repeats_itself(spark, odd, empty):
 
 
 def test_schedule_has_low_discrepancy(spark):
-    goals = [300.0, 100.0, 200.0]
-    seen = [r.source_no for r in mixing.ranked(mixing.schedule(spark, goals, 1)).orderBy("k").collect()]
+    goals = [300, 100, 200]
+    seen = [r.source_no for r in mixing.ranked(mixing.schedule(spark, goals)).orderBy("k").collect()]
     for n in (50, 200, 600):
         for s, g in enumerate(goals):
             assert abs(seen[:n].count(s) - n * g / 600) <= 4
 
 
+def test_one_tiny_source_does_not_shrink_all_blocks(spark):
+    docs = [(i, "w " * 5000, "en", "big") for i in range(400)] + [(1000 + i, "w " * 10, "en", "tiny") for i in range(10)]
+    assert mixing.block_words(3_000_000.0) == 4096 and mixing.block_words(200.0) == 1
+    rows = mixing.mixed(frame(spark, docs)).collect()
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in ("big", "tiny")}
+    goals = {r.source: r.target for r in rows}
+    assert all(abs(taken[s] - goals[s]) <= 0.01 * goals[s] for s in goals)
+
+
+def test_equal_rows_and_null_ids_fill_a_stream(spark):
+    docs = [(None, "a b c", "en", "s")] * 200 + [(1, "d " * 50, "en", "s")] * 30
+    rows = mixing.mixed(frame(spark, docs), block=7).collect()
+    assert len(rows) == 230 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 7 * 4
+
+
 # 7
 
 
@@ -351,22 +420,59 @@ def test_warc_of_no_pages(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_records_without_a_sha1_digest_are_filtered_by_their_payload(spark, tmp_path):
+    def record(extra):
+        return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:1>\r\n" + extra + b"Content-Length: 5\r\n\r\nhello\r\n\r\n"
+
+    (tmp_path / "a.warc").write_bytes(record(b"") + record(b"WARC-Payload-Digest: md5:abc\r\n") + record(b"WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"hello").encode() + b"\r\n"))
+    found = warc.read(spark, f"file://{tmp_path}")
+    assert found.where(F.col("payload_digest") == warc.sha1_base32(b"hello")).count() == 3
+    assert found.where(F.col("payload_digest") == "other").count() == 0
+
+
+def test_skipped_gzip_members_are_not_inflated(tmp_path):
+    rng = random.Random(4)
+    bodies = [rng.randbytes(300_000) for _ in range(6)]
+    members = [warc._gzip(warc._record("response", k, None, warc.sha1_base32(d), d, None, len(d))) for k, d in enumerate(bodies)]
+    plain = [zlib.decompress(m, 31) for m in members]
+    assert all(warc._skip_lengths(m) == (len(m), len(p)) for m, p in zip(members, plain))
+    foreign = zlib.compressobj(4, zlib.DEFLATED, 31)
+    foreign = foreign.compress(plain[0]) + foreign.flush()
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join([*members, foreign]))
+    made = []
+
+    class Counted(warc._Inflated):
+        def _more(self):
+            got = super()._more()
+            made.append(len(self.held) - self.at)
+            return got
+
+    old, warc._Inflated = warc._Inflated, Counted
+    try:
+        with open(path, "rb", buffering=0) as f:
+            rows = list(warc.records(f, True, {"record_id": {"<urn:x-page:3>"}}, True))
+    finally:
+        warc._Inflated = old
+    assert [r[-1] for r in rows] == [bodies[3]] and sum(1 for m in made if m) < 50  # one piece for each skipped member, some 20 for the wanted and the foreign one
+
+
 # 8
 
 
 def brute_shard(key, weights):
     def score(s):
-        bits = int(hashlib.md5(f"{'null' if key is None else key}/{s}".encode()).hexdigest()[:13], 16)
+        bits = int(hashlib.md5(f"{'null' if key is None else f'={key}'}/{s}".encode()).hexdigest()[:13], 16)
         return -math.log((bits + 0.5) / 2**52) / weights[s]
 
     return min(range(len(weights)), key=score)
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_rendezvous_shards_and_slots(spark, odd, empty, hot):
-    rows = frame(spark, [(i, "t", "en", "s") for i in range(500)] + [(7, "t", "en", "s")] * 40).unionByName(odd)
+def test_rendezvous_shards_and_slots(spark, odd, empty):
+    rows = frame(spark, [(i, "t" if i else "long " * 200_000, "en", "s") for i in range(500)] + [(7, "t", "en", "s")] * 40).unionByName(odd)
     weights = [1.0, 2.0, 0.5, 1.0]
-    got = sharding.slotted(sharding.sharded(rows, "doc_id", weights), "doc_id", ["text"], hot=hot).collect()
+    run = lambda x: sharding.slotted(sharding.sharded(x, "doc_id", weights), "doc_id", ["text"]).collect()
+    got = run(rows)
     assert len(got) == rows.count() and "n_chars" in got[0]
     slots = defaultdict(list)
     for r in got:
@@ -374,9 +480,18 @@ def test_rendezvous_shards_and_slots(spark, odd, empty, hot):
         assert r.grown_shard in (r.shard, 4)
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    placed = lambda found: sorted((str(r.doc_id), str(r.text)[:20], r.shard, r.slot) for r in found)
+    assert placed(run(rows.repartition(7, "n_chars", F.rand(3)))) == placed(got)  # whatever the input's layout
     assert sharding.slotted(sharding.sharded(empty, "doc_id"), "doc_id").count() == 0
 
 
+def test_shards_keep_other_columns_and_tell_null_from_its_name(spark):
+    rows = spark.createDataFrame([("null", 1, 2, 3, 4), (None, 5, 6, 7, 8)], "k string, _best int, _hash int, _one int, _piece int")
+    got = sharding.slotted(sharding.sharded(rows, "k", [1.0] * 1000), "k").collect()
+    assert {(r.k, r._best, r._hash, r._one, r._piece) for r in got} == {("null", 1, 2, 3, 4), (None, 5, 6, 7, 8)}
+    assert len({r.shard for r in got}) == 2
+
+
 def test_weighted_shares(spark):
     got = Counter(r.s for r in spark.range(6000).select(sharding.shard_of(F.col("id"), [1.0, 3.0]).alias("s")).collect())
     assert abs(got[1] / 6000 - 0.75) < 0.03
