@@ -64,8 +64,8 @@ class QualityModel:
         return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """FTRL-Proximal with a step size per coordinate; the last coordinate is the bias."""
+def ftrl(numbers: np.ndarray, values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """FTRL-Proximal with a step size per coordinate.  Row k has the features numbers[bounds[k]:bounds[k + 1]], likewise values; the last coordinate is the bias."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(seed)
@@ -74,8 +74,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            at, x = rows[k]
+        for k in order.permutation(len(labels)):
+            at, x = np.append(numbers[bounds[k] : bounds[k + 1]], size - 1), np.append(values[bounds[k] : bounds[k + 1]], 1.0)
             w = solved(z[at], n[at])
             gradient = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - labels[k]) * x
             grown = n[at] + gradient * gradient
@@ -100,12 +100,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
             cut = [(number[e - s : e].astype("<i4").tobytes(), value[e - s : e].astype("<f4").tobytes()) for s, e in zip(sizes, ends)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("label"), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["doc_id", "label", "at", "x"])
 
-    found = sample.mapInArrow(hashed, "doc_id string, label int, at binary, x binary").toArrow().sort_by("doc_id")
-    bias = 1 << bits
-    data = [(np.append(np.frombuffer(a, "<i4"), bias), np.append(np.frombuffer(x, "<f4"), 1.0)) for a, x in zip(found["at"].to_pylist(), found["x"].to_pylist())]
-    if not data:
+    # the driver reads the sample's features where Arrow holds them
+    found = sample.orderBy("doc_id").mapInArrow(hashed, "doc_id string, label int, at binary, x binary").drop("doc_id").toArrow().combine_chunks()
+    if not found.num_rows:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return QualityModel(*ftrl(data, found["label"].to_numpy(), bits), bits)
+    (numbers, bounds), (values, _) = (K.raw(found[c]) for c in ("at", "x"))
+    first = int(bounds[0])
+    numbers, values = numbers[first : bounds[-1]].view("<i4"), values[first : bounds[-1]].view("<f4")
+    return QualityModel(*ftrl(numbers, values, (bounds - first) // 4, found["label"].to_numpy(), bits), bits)
 
 
 def score(text: Column, model: QualityModel) -> Column:
