@@ -27,7 +27,7 @@ _MARKS = K.mix(np.array([11, 12], np.uint64))
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers and weights of all texts, one text after another, and the number of features of each."""
+    """Feature numbers and counts of all texts, one text after another, and the number of features of each."""
     hashes, counts = K.words(texts, kinds=K.KIND)
     text = np.repeat(np.arange(len(counts)), counts)
     keys, owners = [hashes], [text]
@@ -43,9 +43,14 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     both = (np.concatenate(owners).astype(np.uint64) << np.uint64(bits)) | key
     both, times = np.unique(both, return_counts=True)
     owner, number = (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return number, times, np.bincount(owner, minlength=len(counts))
+
+
+def weighed(times: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weights of features that occur so many times, for texts of so many features one after another: of length 1 for each text."""
     value = 1 + np.log(times)
-    length = np.sqrt(np.bincount(owner, value * value, len(counts)))
-    return number, value / length[owner], np.bincount(owner, minlength=len(counts))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return value / np.sqrt(np.bincount(owner, value * value, len(sizes)))[owner]
 
 
 @dataclass(frozen=True)
@@ -58,14 +63,14 @@ class QualityModel:
         data, bounds = K.raw(texts)
         out = np.empty(len(texts))
         for i, j in K.groups(bounds, 4 * K.BLOCK):
-            number, value, sizes = features(texts[i:j] if isinstance(texts, pa.Array) else texts.slice(i, j - i), self.bits)
-            dots = np.bincount(np.repeat(np.arange(j - i), sizes), self.weights[number] * value, j - i)
+            number, times, sizes = features(texts.slice(i, j - i), self.bits)
+            dots = np.bincount(np.repeat(np.arange(j - i), sizes), self.weights[number] * weighed(times, sizes), j - i)
             out[i:j] = 1 / (1 + np.exp(-np.clip(dots + self.bias, -35, 35)))
         return out
 
 
-def ftrl(numbers: np.ndarray, values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """FTRL-Proximal with a step size per coordinate.  Row k has the features numbers[bounds[k]:bounds[k + 1]], likewise values; the last coordinate is the bias."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """FTRL-Proximal with a step size per coordinate, on rows of feature numbers and counts; the last coordinate is the bias."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(seed)
@@ -74,8 +79,8 @@ def ftrl(numbers: np.ndarray, values: np.ndarray, bounds: np.ndarray, labels: np
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for k in order.permutation(len(labels)):
-            at, x = np.append(numbers[bounds[k] : bounds[k + 1]], size - 1), np.append(values[bounds[k] : bounds[k + 1]], 1.0)
+        for k in order.permutation(len(rows)):
+            at, x = np.append(rows[k][0], size - 1), np.append(weighed(rows[k][1], np.array([len(rows[k][1])])), 1.0)
             w = solved(z[at], n[at])
             gradient = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - labels[k]) * x
             grown = n[at] + gradient * gradient
@@ -95,19 +100,21 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
 
     def hashed(batches):
         for b in batches:
-            number, value, sizes = features(b.column("text"), bits)
+            number, times, sizes = features(b.column("text"), bits)
             ends = np.cumsum(sizes)
-            cut = [(number[e - s : e].astype("<i4").tobytes(), value[e - s : e].astype("<f4").tobytes()) for s, e in zip(sizes, ends)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("label"), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["doc_id", "label", "at", "x"])
+            at = [number[e - s : e].astype("<i4").tobytes() for s, e in zip(sizes, ends)]
+            n = [times[e - s : e].astype("<u1" if times[e - s : e].max(initial=0) < 256 else "<u4").tobytes() for s, e in zip(sizes, ends)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["label", "at", "times"])
 
     # the driver reads the sample's features where Arrow holds them
-    found = sample.orderBy("doc_id").mapInArrow(hashed, "doc_id string, label int, at binary, x binary").drop("doc_id").toArrow().combine_chunks()
-    if not found.num_rows:
+    found = sample.orderBy("doc_id").mapInArrow(hashed, "label int, at binary, times binary").toArrow()
+    rows = []
+    for a, n in zip(found["at"], found["times"]):
+        a, n = a.as_buffer(), n.as_buffer()
+        rows.append((np.frombuffer(a, "<i4"), np.frombuffer(n, "<u1" if 4 * n.size == a.size else "<u4")))
+    if not rows:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    (numbers, bounds), (values, _) = (K.raw(found[c]) for c in ("at", "x"))
-    first = int(bounds[0])
-    numbers, values = numbers[first : bounds[-1]].view("<i4"), values[first : bounds[-1]].view("<f4")
-    return QualityModel(*ftrl(numbers, values, (bounds - first) // 4, found["label"].to_numpy(), bits), bits)
+    return QualityModel(*ftrl(rows, found["label"].to_numpy(), bits), bits)
 
 
 def score(text: Column, model: QualityModel) -> Column:

@@ -88,13 +88,56 @@ def test_classifiers_on_held_out_rows(spark, odd, empty, op, label, modulus, out
 def test_quality_scores_are_sparse_dot_products():
     text = "The cat the CAT !! !! the"
     w = np.random.default_rng(0).normal(size=1 << 18).astype(np.float32)
-    number, value, sizes = quality.features(pa.array([text, None]))
+    number, times, sizes = quality.features(pa.array([text, None]))
+    value = quality.weighed(times, sizes)
     assert sizes.tolist() == [len(number), 0] and abs((value**2).sum() - 1) < 1e-9
     model = quality.QualityModel(w, 0.25)
     want = 1 / (1 + math.exp(-(sum(w[n] * v for n, v in zip(number, value)) + 0.25)))
     assert abs(model.scores(pa.array([text]))[0] - want) < 1e-9
 
 
+def test_ftrl_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 16, 5)), None) for _ in range(60)]
+    rows = [(a, rng.integers(1, 4, len(a))) for a, _ in rows] + [(np.zeros(0, int), np.zeros(0, int))]
+    labels = np.array([int(3 in a) for a, _ in rows])
+    weights, bias = quality.ftrl(rows, labels, 4)
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 1e-4
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(5):
+        for k in order.permutation(len(rows)):
+            raw = {int(i): 1 + math.log(c) for i, c in zip(*rows[k])}
+            length = math.sqrt(sum(v * v for v in raw.values()))
+            x = {i: v / length for i, v in raw.items()} | {16: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[k]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(weights, [weight(i) for i in range(16)], atol=1e-5) and abs(bias - weight(16)) < 1e-5
+
+
+def test_toxicity_scores_against_plain_character_ngrams():
+    texts = ["Ünï cödé 漢字 is TOXIC", "toxic toxic", None, "", "abc"]
+    rng = np.random.default_rng(2)
+    table = np.where(rng.random(1 << 20) < 0.5, rng.normal(size=1 << 20), 0.0)
+    model = toxicity.ToxicityModel(table, 0.1)
+    for t, score in zip(texts, model.scores(pa.array(texts))):
+        full = f" {(t or '').lower()} "
+        found = {full[i : i + n] for n in (4, 5, 6) for i in range(len(full) - n + 1)}
+        numbers = set()
+        for g in found:
+            points = np.array([ord(c) for c in g], np.uint32)
+            numbers.add(int(kernels.grams(points, np.array([0, len(g)]), len(g))[0][0] >> np.uint64(44)))
+        assert abs(score - 1 / (1 + math.exp(-(sum(table[k] for k in numbers) + 0.1)))) < 1e-9
+
+
 def test_toxicity_ratios_are_log_count_ratios():
     r, _ = toxicity.ratios(np.array([3.0, 0.0]), np.array([1.0, 4.0]), 4, 8)
     assert np.allclose(r, [math.log((4 / 6) / (2 / 10)), math.log((1 / 6) / (5 / 10))])
