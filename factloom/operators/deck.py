@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import period as P
 from ..plans import dims
+from ..sources.staged import staged
 from . import classify, matching
 from . import tables as X
 
@@ -65,9 +66,9 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
     """
     spark = docs.sparkSession
     terms = dims.curated_terms()
-    primary = _primary(docs, banks)
+    primary = staged(_primary(docs, banks), "primary")
     groups = [([terms[k] for k in dims.RATIO_TERMS], True, False), ([terms[k] for k in dims.BALANCE_TERMS + dims.HELPER_TERMS], False, True)]
-    found = matching.best(matching.in_lines(X.doc_lines(docs).persist(), groups), primary.select("folder", "primary"))
+    found = staged(matching.best(matching.in_lines(staged(X.doc_lines(docs), "lines"), groups), primary.select("folder", "primary")), "found")
     names = dims.RATIO_TERMS + dims.BALANCE_TERMS + dims.HELPER_TERMS
     want = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("term"), F.lit("ratio" if n in dims.RATIO_TERMS else "balance" if n in dims.BALANCE_TERMS else "helper").alias("kind")) for i, n in enumerate(names)])
     legal = F.create_map(*[F.lit(x) for kv in dims.REGULATOR_NAMES.items() for x in kv])
@@ -78,6 +79,7 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
         official = F.broadcast(regulator.select("bank", "year", "quarter", *FIGURES).toDF("r_bank", "r_year", "r_quarter", *FIGURES))
         same = (F.col("legal") == F.col("r_bank")) & F.col("year").eqNullSafe(F.col("r_year")) & F.col("quarter").eqNullSafe(F.col("r_quarter"))
         folders = folders.join(asked(docs), "folder", "left").join(official, same, "left").select("folder", "bank", "legal", *FIGURES)
+    folders = staged(folders, "folders")
     rows = folders.withColumn("w", F.explode(want)).select("*", "w.*").drop("w").join(found.select("folder", "term", "value", "matched_label", "period_label", F.col("file_name").alias("source_file"), "scale"), ["folder", "term"], "left")
     rows = rows.withColumn("value", F.when(F.col("kind") == "ratio", F.col("value")).otherwise(F.col("value") * F.col("scale")))
     card = (F.col("term") == "信用卡循環") & F.col("value").isNull() & F.col("revolving").isNotNull()

@@ -15,6 +15,12 @@ def code_facts(entries: DataFrame, period: int = 1) -> DataFrame:
     return entries.select("folder", "file_ord", "file_name", "entry_ord", "code", label.alias("label"), nth_value(F.col("cells"), period, F.col("stride")).alias("value"))
 
 
+def in_periods(facts: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+    """A row for each row of facts (cells, stride) and period, with the value of that period."""
+    each = F.array(*[F.struct(F.lit(p).alias("period"), nth_value(F.col("cells"), p, F.col("stride")).alias("value")) for p in periods])
+    return facts.withColumn("p", F.explode(each)).select("*", "p.period", "p.value").drop("p")
+
+
 def _first(facts: DataFrame, *keys: str) -> DataFrame:
     """The first fact with a value by file and line: label, value, file_name."""
     best = F.min_by(F.struct("label", "value", "file_name"), F.struct("file_ord", "entry_ord"))

@@ -13,11 +13,11 @@ from pyspark.sql.window import Window
 from ..functions import numeric as N
 from ..functions import period as P
 from ..functions import text as T
+from ..sources.staged import staged
 from . import tables as X
 
 
 
-
 def strength(term: Column, text: Column) -> Column:  # O-83, O-108, O-131
     """0 vetoed or no match, 1 weighted components, 2 alias within the text, 3 alias is the text."""
     text = F.coalesce(text, F.lit(""))
@@ -40,17 +40,24 @@ def entity_tier(entity: Column, primary: Column) -> Column:  # O-85
 
 
 def with_orientation(tables: DataFrame) -> DataFrame:  # O-134
-    """tables with period_col (periods down that column) or null, and by_column (periods across the header)."""
+    """tables with period_col (periods down that column) or null, and by_column (periods across the header).
+
+    Also header_periods and row_periods: what the cells of the header and the first three of each row say as periods,
+    parsed once.
+    """
+    parsed = T.computed(
+        tables, header_periods=F.transform("header", P.parse_period_label), row_periods=F.transform("rows", lambda r: F.transform(F.slice(r, 1, 3), P.parse_period_label))
+    )
 
     def votes(col: int) -> Column:
-        cells = F.filter(F.transform(F.col("rows"), lambda r: F.get(r, F.lit(col))), lambda c: F.coalesce(c, F.lit("")) != "")
-        hits = F.size(F.filter(cells, lambda c: P.parse_period_label(c).isNotNull()))
-        return F.when((hits > 0) & (2 * hits >= F.size(cells)), F.struct(hits.alias("hits"), F.lit(-col).alias("at")))
+        cells = F.size(F.filter("rows", lambda r: F.coalesce(F.get(r, F.lit(col)), F.lit("")) != ""))
+        hits = F.size(F.filter("row_periods", lambda r: F.get(r, F.lit(col)).isNotNull()))
+        return F.when((hits > 0) & (2 * hits >= cells), F.struct(hits.alias("hits"), F.lit(-col).alias("at")))
 
     best = F.array_max(F.array(*[votes(c) for c in range(3)]))
-    rest = F.filter(F.slice("header", 2, 1 << 20), lambda c: c != "")
-    hits = F.size(F.filter(rest, lambda c: P.parse_period_label(c).isNotNull()))
-    voted = T.computed(tables, period_col=-best["at"], header_votes=(hits > 0) & (2 * hits >= F.size(rest)))
+    rest = F.size(F.filter(F.slice("header", 2, 1 << 20), lambda c: c != ""))
+    hits = F.size(F.filter(F.slice("header_periods", 2, 1 << 20), lambda p: p.isNotNull()))
+    voted = T.computed(parsed, period_col=-best["at"], header_votes=(hits > 0) & (2 * hits >= rest))
     return voted.withColumn("by_column", F.col("period_col").isNull() & F.col("header_votes")).drop("header_votes")
 
 
@@ -61,10 +68,12 @@ def candidates(tables: DataFrame, terms: Column, desired: str | None = None) ->
     """
     t = with_orientation(tables).where("period_col IS NOT NULL OR by_column")
     h0 = F.get("header", F.lit(0))
-    own = F.when((F.coalesce(h0, F.lit("")) != "") & P.parse_period_label(h0).isNull() & T.names_company(h0), h0)
+    own = F.when((F.coalesce(h0, F.lit("")) != "") & F.get("header_periods", F.lit(0)).isNull() & T.names_company(h0), h0)
     entity = F.coalesce(own, F.when(T.names_company(F.col("heading")), F.col("heading")))
-    header_periods = F.filter(F.transform("header", lambda c, i: F.struct(P.parse_period_label(c).alias("period"), i.alias("pos"), c.alias("label"))), lambda x: x.period.isNotNull() & (x.pos > 0))
-    row_periods = F.filter(F.transform("rows", lambda r, i: F.struct(P.parse_period_label(F.get(r, F.col("period_col"))).alias("period"), i.alias("pos"), F.get(r, F.col("period_col")).alias("label"))), lambda x: x.period.isNotNull())
+    dated = lambda p, i, label: F.struct(p.alias("period"), i.alias("pos"), label.alias("label"))
+    header_periods = F.filter(F.transform("header_periods", lambda p, i: dated(p, i, F.get("header", i))), lambda x: x.period.isNotNull() & (x.pos > 0))
+    down = F.transform("row_periods", lambda r, i: dated(F.get(r, F.col("period_col")), i, F.get(F.get("rows", i), F.col("period_col"))))
+    row_periods = F.filter(down, lambda x: x.period.isNotNull())
     periods = F.when(F.col("by_column"), header_periods).otherwise(row_periods)
     if desired is not None:
         periods = F.filter(periods, lambda x: x.label == desired)
@@ -119,14 +128,16 @@ def in_lines(lines: DataFrame, groups: list[tuple[list, bool, bool]], desired: s
     for terms, quarterly, absolute in groups:
         for key in dict.fromkeys((t.start, t.end) for t in terms):
             sections.setdefault(key, []).append(wanted([t for t in terms if (t.start, t.end) == key], quarterly, absolute))
-    out = None
-    for (start, end), columns in sections.items():
+    found = None
+    for number, (start, end) in enumerate(sections):
         some = X.restrict_section(lines, F.array(*map(F.lit, start)), F.array(*map(F.lit, end)).cast("array<string>")) if start else lines
         if start:  # tables are numbered anew within the section, as headings before it are out of sight
             some = some.withColumn("line_no", F.row_number().over(Window.partitionBy(*X.KEY).orderBy("line_no")) - 1)
-        one = candidates(X.tables(some), F.concat(*columns) if len(columns) > 1 else columns[0], desired)
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = X.tables(some).withColumn("section_no", F.lit(number))
+        found = one if found is None else found.unionByName(one)
+    # each table meets the terms of its section
+    by_section = [F.concat(*columns) if len(columns) > 1 else columns[0] for columns in sections.values()]
+    return candidates(staged(found, "tables"), F.get(F.array(*by_section), F.col("section_no")), desired)
 
 
 def best(found: DataFrame, primary: DataFrame | None = None) -> DataFrame:  # O-110, O-146

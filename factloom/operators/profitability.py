@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import numeric as N
 from ..functions import period as P
 from ..functions import text as T
+from ..sources.staged import staged
 from . import tables as X
 
 METRICS = ("roa_pretax", "roa_posttax", "roe_pretax", "roe_posttax", "profit_margin")
@@ -43,9 +44,11 @@ def _dated(tables: DataFrame) -> DataFrame:
     dates = F.filter(F.transform("header", lambda c, i: F.struct(P.parse_header_date(c).alias("date"), i.alias("col"))), lambda x: x.date.isNotNull())
     t = T.computed(tables, dates=dates, metric_rows=F.filter(F.transform("rows", lambda r: F.struct(T.metric_of_row(r).alias("metric"), r.alias("cells"))), lambda x: x.metric.isNotNull()))
     t = t.where(F.size("dates") > 0)
-    two = t.where("numbered IS NOT NULL").withColumn("layout", F.lit(2)).withColumn("entity", F.col("numbered"))
-    three = t.where(~F.col("company_before") & (F.size("metric_rows") > 0)).withColumn("layout", F.lit(3)).withColumn("entity", F.lit(None).cast("string"))
-    x = two.unionByName(three).select("*", F.posexplode(F.array_sort("dates", lambda a, b: F.when(a.date > b.date, -1).when(a.date < b.date, 1).otherwise(a.col - b.col))).alias("rank", "d")).select("*", "d.date", F.col("d.col").alias("at")).drop("d")
+    layout = lambda n, entity: F.struct(F.lit(n).alias("layout"), entity.cast("string").alias("entity"))
+    two = F.when(F.col("numbered").isNotNull(), layout(2, F.col("numbered")))
+    three = F.when(~F.col("company_before") & (F.size("metric_rows") > 0), layout(3, F.lit(None)))
+    both = t.withColumn("read", F.explode(F.array_compact(F.array(two, three)))).select("*", "read.layout", "read.entity").drop("read")
+    x = both.select("*", F.posexplode(F.array_sort("dates", lambda a, b: F.when(a.date > b.date, -1).when(a.date < b.date, 1).otherwise(a.col - b.col))).alias("rank", "d")).select("*", "d.date", F.col("d.col").alias("at")).drop("d")
 
     def last(metric: str) -> Column:  # of several rows of a metric the last that reaches the column
         some = F.filter("metric_rows", lambda r: (r.metric == metric) & (F.size(r.cells) > F.col("at")))
@@ -59,7 +62,7 @@ def entries(docs: DataFrame, lines: DataFrame) -> DataFrame:  # O-06, O-153, O-1
     """Disclosed entries of files that mention the section: folder, file_ord, file_name, layout, pos, col, entity, period_label, quarter_num and metrics."""
     some = docs.where(F.col("content").contains("獲利能力")).select(*X.KEY)
     within = lines.join(some, X.KEY, "left_semi")
-    return _entries(within).unionByName(_dated(X.tables(within)))
+    return staged(_entries(within).unionByName(_dated(staged(X.tables(within), "tables"))), "disclosed")
 
 
 def chosen(found: DataFrame, banks: DataFrame) -> DataFrame:  # O-117

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import period as P
+from ..functions import text as T
 from ..plans import dims
+from ..sources.staged import staged
 from . import classify, lookup, profitability
 from . import tables as X
 
@@ -72,13 +74,16 @@ def manual_inputs(docs: DataFrame, entries: DataFrame, rows: DataFrame, folders:
     spark = docs.sparkSession
     income = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b, m in dims.OVERRIDES["full"].items() for x in (b, m["64000"])]), F.col("bank")), F.lit("64000"))
     wanted = folders.select("folder", F.explode(F.array(F.struct(income.alias("code"), F.lit("income").alias("what"), F.lit("64000").alias("slot")), *[F.struct(F.lit(c).alias("code"), F.lit(w).alias("what"), F.lit(c).alias("slot")) for c, w in (("10000", "assets"), ("30000", "equity"))])).alias("w")).select("folder", "w.*")
-    fall = wanted.join(F.broadcast(dims.fallbacks(spark)), "slot")
-    facts = []
-    for period in (1, 2):
-        code = lookup._first(lookup.code_facts(entries, period).join(wanted, ["folder", "code"]), "folder", "what")
-        rest = fall.join(code, ["folder", "what"], "left_anti")
-        facts.append(code.unionByName(lookup._first(lookup.label_facts(rows, period).join(rest, ["folder", "label"]), "folder", "what")).withColumn("period", F.lit(period)))
-    both = facts[0].unionByName(facts[1])
+    both = (1, 2)
+    label = F.coalesce(F.get("cells", F.lit(1)), F.col("code"))
+    coded = lookup.in_periods(entries.join(wanted, ["folder", "code"]).withColumn("label", label), both)
+    code = staged(lookup._first(coded, "folder", "what", "period"), "coded")
+    fall = wanted.join(F.broadcast(dims.fallbacks(spark)), "slot").withColumn("period", F.explode(F.array(*map(F.lit, both)))).join(code, ["folder", "what", "period"], "left_anti")
+    rest = rows.where(F.col("line").startswith("|") & (F.size("cells") >= 2)).withColumn("entry_ord", F.col("line_no"))
+    sides = [F.struct(F.lit(side).alias("side"), T.strip_footnote_suffix(F.get("cells", F.lit(1 - side))).alias("label")) for side in (0, 1)]
+    named = rest.withColumn("x", F.explode(F.array(*sides))).withColumn("label", F.col("x.label")).drop("x")
+    labelled = lookup.in_periods(named, both).join(fall.select("folder", "label", "what", "period"), ["folder", "label", "period"])
+    both = code.unionByName(lookup._first(labelled, "folder", "what", "period"))
     pick = lambda what, p: F.max(F.when((F.col("what") == what) & (F.col("period") == p), F.col("value")))
     file = F.max(F.when((F.col("what") == "assets") & (F.col("period") == 1), F.col("file_name")))
     x = both.groupBy("folder").agg(pick("income", 1).alias("income"), pick("assets", 1).alias("assets1"), pick("assets", 2).alias("assets2"), pick("equity", 1).alias("equity1"), pick("equity", 2).alias("equity2"), file.alias("file_name"))
@@ -86,27 +91,39 @@ def manual_inputs(docs: DataFrame, entries: DataFrame, rows: DataFrame, folders:
     return x.join(quarters, ["folder", "file_name"], "left").drop("file_name")
 
 
+def parsed(docs: DataFrame, banks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """folders (folder, bank) whose bank and industry are known, lines, rows, entries: parsed once, and staged."""
+    folders = (classify.identity(docs) if banks is None else banks).where(F.col("bank").isNotNull() & F.col("industry").isin(*dims.BANKING)).select("folder", "bank")
+    lines = staged(X.doc_lines(docs), "lines")
+    rows = staged(X.row_lines(lines), "rows")
+    return staged(folders, "folders"), lines, rows, staged(X.code_entries(rows), "entries")
+
+
+def layout_rows(folders: DataFrame, rows: DataFrame, entries: DataFrame, kind: str = "full", period: int = 1) -> DataFrame:
+    """The 15 rows of each folder that come from codes and labels."""
+    spark = folders.sparkSession
+    needed = needed_codes(spark, folders, kind)
+    fall = needed.where("slot IS NOT NULL").join(F.broadcast(dims.fallbacks(spark)), "slot").select("folder", "code", "label").distinct()
+    index = staged(lookup.code_index(rows, entries, needed.select("folder", "code").distinct(), fall, period), "index")
+    deposit = spark.createDataFrame([("活存比", x) for x in dims.DEPOSIT_LABELS], "term string, label string")
+    return staged(laid_out(spark, folders, index, lookup.find_labels(rows, F.broadcast(deposit), period), kind), "laid")
+
+
 def filing_summary(docs: DataFrame, kind: str = "full", period: int = 1, deck_ratios: DataFrame | None = None, banks: DataFrame | None = None) -> DataFrame:  # O-162
     """folder, ord, term, value, matched_label, source_file, is_percent, crosscheck_value, note: 18 rows for each folder whose bank and industry are known.
 
     deck_ratios: folder, roa, roe of an earnings deck.  banks: folder, bank, industry, when already known.
     """
     spark = docs.sparkSession
-    folders = (classify.identity(docs) if banks is None else banks).where(F.col("bank").isNotNull() & F.col("industry").isin(*dims.BANKING)).select("folder", "bank")
-    lines = X.doc_lines(docs).persist()  # parsed once; all that follows are joins
-    rows = X.row_lines(lines)
-    entries = X.code_entries(rows).persist()
-    needed = needed_codes(spark, folders, kind)
-    fall = needed.where("slot IS NOT NULL").join(F.broadcast(dims.fallbacks(spark)), "slot").select("folder", "code", "label").distinct()
-    index = lookup.code_index(rows, entries, needed.select("folder", "code").distinct(), fall, period)
-    deposit = spark.createDataFrame([("活存比", x) for x in dims.DEPOSIT_LABELS], "term string, label string")
-    laid = laid_out(spark, folders, index, lookup.find_labels(rows, F.broadcast(deposit), period), kind)
+    folders, lines, rows, entries = parsed(docs, banks)
+    laid = layout_rows(folders, rows, entries, kind, period)
     names = F.broadcast(dims.aliases(spark).groupBy("bank").agg(F.collect_list("alias").alias("names")))
     scoped = folders.join(names, "bank", "left")
     entry = profitability.chosen(profitability.entries(docs, lines), scoped)
     manual = profitability.manual_ratios(manual_inputs(docs, entries, rows, folders))
     x = folders.join(entry.select("folder", "roa_posttax", "roe_posttax", "period_label", "file_name"), "folder", "left").join(manual, "folder", "left")
     x = x.join(deck_ratios, "folder", "left") if deck_ratios is not None else x.withColumns({"roa": F.lit(None).cast("double"), "roe": F.lit(None).cast("double")})
+    x = staged(x, "ratios")
     out = laid.unionByName(cost_income(laid))
     for ord_, term, disclosed, deck, formula in ((17, "ROA", "roa_posttax", "roa", "manual_roa"), (18, "ROE", "roe_posttax", "roe", "manual_roe")):
         p = profitability.prioritised(term, F.col(disclosed), F.col(deck), F.col(formula), F.col("period_label"), F.col("file_name"))

@@ -73,21 +73,19 @@ LOAN_FORMULAS = (
 )
 LOAN_PARTS = ("企業放款", "房貸", "個人放款", "信用卡循環")
 LOAN_TOLERANCE = 2.5
-_LEND = ["放款", "貸款", "授信"]
-_FX = ["台幣", "臺幣", "外幣", "新台幣", "新臺幣"]
 #: The terms that the deck summary and the ROA/ROE lookup need, in the shape of the term file.
 TERMS = {
     "NIM": {"type": "exact", "aliases": ["淨利息收益率", "淨息差", "淨利差", "淨利息邊際", "NIM", "Net Interest Margin"]},
-    "放款均率": {"type": "composite", "aliases": ["放款均率", "放款平均利率", "放款利率", "單季放款利率", "放款收益率"], "negative_terms": _FX, "components": [{"terms": [*_LEND, "Loan", "Loans", "Lending"], "weight": 0.5}, {"terms": ["均率", "平均利率", "收益率", "殖利率", "Yield", "Average Rate", "Rate"], "weight": 0.5}]},
-    "存款均率": {"type": "composite", "aliases": ["存款均率", "存款平均利率", "存款利率", "單季存款利率", "存款成本率"], "negative_terms": _FX, "components": [{"terms": ["存款", "存", "Deposit", "Deposits"], "weight": 0.5}, {"terms": ["均率", "平均利率", "成本率", "付息率", "資金成本", "Cost of Deposits", "Average Rate"], "weight": 0.5}]},
-    "存放利差": {"type": "exact", "aliases": ["存放利差", "單季存放利差", "整體利差", "Spread"], "negative_terms": _FX},
-    "企業放款": {"type": "composite", "aliases": ["企業放款"], "components": [{"terms": ["企業", "法人", "公司戶", "商業", "企金", "Corporate", "Commercial", "Business"], "weight": 0.6}, {"terms": [*_LEND, "融資", "Loans", "Lending", "Credit"], "weight": 0.4}], "negative_terms": ["合併基礎"]},
+    "放款均率": {"type": "composite", "aliases": ["放款均率", "放款平均利率", "放款利率", "單季放款利率", "放款收益率"], "negative_terms": ["台幣", "臺幣", "外幣", "新台幣", "新臺幣"], "components": [{"terms": ["放款", "貸款", "授信", "Loan", "Loans", "Lending"], "weight": 0.5}, {"terms": ["均率", "平均利率", "收益率", "殖利率", "Yield", "Average Rate", "Rate"], "weight": 0.5}]},
+    "存款均率": {"type": "composite", "aliases": ["存款均率", "存款平均利率", "存款利率", "單季存款利率", "存款成本率"], "negative_terms": ["台幣", "臺幣", "外幣", "新台幣", "新臺幣"], "components": [{"terms": ["存款", "存", "Deposit", "Deposits"], "weight": 0.5}, {"terms": ["均率", "平均利率", "成本率", "付息率", "資金成本", "Cost of Deposits", "Average Rate"], "weight": 0.5}]},
+    "存放利差": {"type": "exact", "aliases": ["存放利差", "單季存放利差", "整體利差", "Spread"], "negative_terms": ["台幣", "臺幣", "外幣", "新台幣", "新臺幣"]},
+    "企業放款": {"type": "composite", "aliases": ["企業放款"], "components": [{"terms": ["企業", "法人", "公司戶", "商業", "企金", "Corporate", "Commercial", "Business"], "weight": 0.6}, {"terms": ["放款", "貸款", "授信", "融資", "Loans", "Lending", "Credit"], "weight": 0.4}], "negative_terms": ["合併基礎"]},
     "房貸": {"type": "exact", "aliases": ["房貸", "房屋貸款", "住宅貸款", "購屋貸款", "房屋融資", "住宅抵押貸款", "不動產擔保放款", "Mortgage", "Housing Loan", "Home Loan", "Residential Mortgage"], "negative_terms": ["合併基礎"]},
-    "個人放款": {"type": "composite", "aliases": ["個人放款"], "components": [{"terms": ["個人", "消費者", "消費性", "消費金融", "零售", "消金", "Consumer", "Retail", "Personal"], "weight": 0.6}, {"terms": [*_LEND, "Loans", "Lending"], "weight": 0.4}]},
+    "個人放款": {"type": "composite", "aliases": ["個人放款"], "components": [{"terms": ["個人", "消費者", "消費性", "消費金融", "零售", "消金", "Consumer", "Retail", "Personal"], "weight": 0.6}, {"terms": ["放款", "貸款", "授信", "Loans", "Lending"], "weight": 0.4}]},
     "信用卡循環": {"type": "composite", "aliases": ["信用卡循環", "信用卡循環信用餘額", "信用卡循環額", "信用卡循環餘額"], "components": [{"terms": ["信用卡", "卡", "Credit Card", "Card"], "weight": 0.55}, {"terms": ["循環", "循環信用", "循環餘額", "應收帳款", "Revolving", "Revolving Credit", "Revolving Balance"], "weight": 0.45}]},
-    "法說會放款餘額合計": {"type": "composite", "aliases": ["法說會放款餘額合計", "放款餘額合計", "總放款"], "components": [{"terms": [*_LEND, "Loans", "Loan", "Lending"], "weight": 0.45}, {"terms": ["餘額", "總額", "Balance", "Balances", "Outstanding"], "weight": 0.3}, {"terms": ["合計", "總", "總計", "Total", "Gross"], "weight": 0.25}], "negative_terms": ["合併基礎"]},
-    "法說會外幣放款": {"type": "composite", "aliases": ["法說會外幣放款", "外幣放款"], "components": [{"terms": ["外幣", "外匯", "外幣別", "Foreign Currency", "FC", "FX"], "weight": 0.55}, {"terms": [*_LEND, "餘額", "Loans", "Loan", "Lending"], "weight": 0.45}], "negative_terms": ["合併基礎"]},
-    "其他放款": {"type": "composite", "aliases": ["其他放款"], "components": [{"terms": [*_LEND, "Loans", "Lending"], "weight": 0.5}, {"terms": ["其他", "Other", "Others"], "weight": 0.5}], "negative_terms": ["合併基礎"]},
+    "法說會放款餘額合計": {"type": "composite", "aliases": ["法說會放款餘額合計", "放款餘額合計", "總放款"], "components": [{"terms": ["放款", "貸款", "授信", "Loans", "Loan", "Lending"], "weight": 0.45}, {"terms": ["餘額", "總額", "Balance", "Balances", "Outstanding"], "weight": 0.3}, {"terms": ["合計", "總", "總計", "Total", "Gross"], "weight": 0.25}], "negative_terms": ["合併基礎"]},
+    "法說會外幣放款": {"type": "composite", "aliases": ["法說會外幣放款", "外幣放款"], "components": [{"terms": ["外幣", "外匯", "外幣別", "Foreign Currency", "FC", "FX"], "weight": 0.55}, {"terms": ["放款", "貸款", "授信", "餘額", "Loans", "Loan", "Lending"], "weight": 0.45}], "negative_terms": ["合併基礎"]},
+    "其他放款": {"type": "composite", "aliases": ["其他放款"], "components": [{"terms": ["放款", "貸款", "授信", "Loans", "Lending"], "weight": 0.5}, {"terms": ["其他", "Other", "Others"], "weight": 0.5}], "negative_terms": ["合併基礎"]},
     "政府放款": {"type": "exact", "aliases": ["政府"], "search_start": ["授信餘額組成"]},
     "信貸": {"type": "exact", "aliases": ["信貸"], "search_start": ["其他個人授信餘額"]},
     "其他個人授信其他": {"type": "exact", "aliases": ["其他"], "search_start": ["其他個人授信餘額"]},

@@ -49,7 +49,8 @@ def _filing_oracle() -> str:
 
 
 def derived_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summary.filing_summary(R.filings(spark, sf_dir)).where(F.col("term") == "營業費用")
+    folders, _, lines, entries = summary.parsed(R.filings(spark, sf_dir))
+    rows = summary.layout_rows(folders, lines, entries).where(F.col("term") == "營業費用")
     return rows.select("folder", "value", F.col("note").startswith("derived").alias("derived"))
 
 

@@ -12,8 +12,9 @@ from ..functions.text import lenient_utf8
 def ordered(files: DataFrame) -> DataFrame:
     """files (folder, path, content) with file_name and file_ord: 1 for the folder's first path, part by part."""
     parts = F.split("path", "/")
-    within = Window.partitionBy("folder").orderBy(parts)
-    return files.select("folder", F.element_at(parts, -1).alias("file_name"), F.dense_rank().over(within).alias("file_ord"), "content")
+    # paths alone are numbered, so contents aren't sorted
+    numbered = files.select("folder", "path").distinct().select("folder", "path", F.row_number().over(Window.partitionBy("folder").orderBy(parts)).alias("file_ord"))
+    return files.join(numbered, ["folder", "path"]).select("folder", F.element_at(parts, -1).alias("file_name"), "file_ord", "content")
 
 
 def scan(spark: SparkSession, *folders: str) -> DataFrame:  # O-01, O-02

@@ -10,13 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import lenient_utf8
 from ..sources.documents import ordered
+from ..sources.staged import staged
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
+def files(spark: SparkSession, root: str, most_files: int = 10_000) -> DataFrame:
     """A stream of root/<folder>/**.md: folder, path, content."""
-    raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", most_files).load(root)
     return _keyed(raw, root)
 
 
@@ -27,13 +28,27 @@ def _keyed(raw: DataFrame, root: str) -> DataFrame:
     return raw.select(folder.alias("folder"), F.expr(f"substring(substring_index(path, '/{name}/', -1), length(substring_index(substring_index(path, '/{name}/', -1), '/', 1)) + 2)").alias("path"), lenient_utf8(F.col("content")).alias("content"))
 
 
-def extract_changed(spark: SparkSession, root: str, checkpoint: str, sink: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """For each batch of new files, extract(docs) over all files of the folders they are in; written to sink/batch=<id>, so a repeated batch replaces its own output."""
+def _removed(spark: SparkSession, sink: str, folder: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{sink}/folder={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(folder)}")
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
-    def batch(new: DataFrame, number: int) -> None:
-        changed = new.select("folder").distinct()
-        every = _keyed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root), root)
-        docs = ordered(every.join(changed, "folder", "left_semi"))
-        extract(docs).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return files(spark, root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+def extract_changed(spark: SparkSession, root: str, checkpoint: str, sink: str, extract: Callable[[DataFrame], DataFrame], most_files: int = 10_000) -> StreamingQuery:
+    """For each batch of at most `most_files` new files, extract(docs) over all files of the folders they are in.
+
+    Results (with a column folder) are kept in sink/folder=<name>: those of a changed folder replace the ones before, so a
+    repeated batch changes nothing, and only the files of changed folders are read.
+    """
+
+    def batch(new: DataFrame, number: int) -> None:
+        changed = [r.folder for r in new.select("folder").distinct().collect()]  # most_files at most
+        if not changed:
+            return
+        every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load([f"{root.rstrip('/')}/{f}" for f in changed])
+        rows = staged(extract(ordered(_keyed(every, root))), "extracted")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(sink)
+        for folder in set(changed) - {r.folder for r in rows.select("folder").distinct().collect()}:
+            _removed(spark, sink, folder)  # it has no rows any more
+
+    return files(spark, root, most_files).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()

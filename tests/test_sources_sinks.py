@@ -64,8 +64,12 @@ def test_streaming_extracts_changed_folders(spark, tmp_path):
     ingest.extract_changed(*args).awaitTermination()
     write(root, "f1/b.md", "more")
     ingest.extract_changed(*args).awaitTermination()
-    out = sorted((r.batch, r.folder, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert out == [(0, "f1", 1), (0, "f2", 1), (1, "f1", 2)]
+    rows = lambda: sorted((r.folder, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows() == [("f1", 2), ("f2", 1)]
+    write(root, "f2/b.md", "more")
+    none = lambda docs: count(docs).where("folder <> 'f2'")
+    ingest.extract_changed(*args[:-1], none).awaitTermination()
+    assert rows() == [("f1", 2)]
 
 
 @pytest.mark.parametrize("spec", [{"aliases": [" "]}, {"components": [{"terms": []}]}, {"type": "fuzzy"}])
