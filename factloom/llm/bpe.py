@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .common import shared_dir, small_batches, stored
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 _PLACE = 8
 LONG = (1 << _PLACE) - 1
 _ALL = 1 << 30
@@ -128,7 +128,7 @@ def _parts(data: np.ndarray, s: int, e: int) -> Iterator[tuple[int, int]]:
 def quick_words(texts: pa.Array, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts in order, and the number of words of each text."""
     data, bounds = K.raw(texts)
-    starts = []
+    starts, place = [], np.int32 if bounds[-1] < 1 << 31 else np.int64
     for i, j in K.groups(bounds, _BLOCK):
         for s, e in _parts(data, int(bounds[i]), int(bounds[j])) if j - i == 1 else [(int(bounds[i]), int(bounds[j]))]:
             if s == e:
@@ -140,9 +140,9 @@ def quick_words(texts: pa.Array, kinds: np.ndarray) -> tuple[pa.Array, np.ndarra
             else:
                 at = np.append(np.flatnonzero((block & 0xC0) != 0x80), len(block))  # where characters begin
                 cuts = at[_cuts(np.frombuffer(block.tobytes().decode("utf-8").encode("utf-32-le"), "<u4"), np.searchsorted(at, ends), kinds)]
-            starts.append(cuts[:-1] + s)
-    cuts = np.concatenate([*starts, bounds[-1:]])
-    words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+            starts.append((cuts[:-1] + s).astype(place))
+    cuts = np.concatenate([*starts, bounds[-1:].astype(place)])
+    words = pa.Array.from_buffers(pa.binary() if place == np.int32 else pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
     return words, np.diff(np.searchsorted(cuts[:-1], bounds))
 
 
@@ -380,6 +380,7 @@ def coded(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int = CHUNK_
         def chunked(held: list[pa.RecordBatch]):
             chunk = uuid.uuid4().int >> 66
             texts, ids = (pa.concat_arrays([b.column(c) for b in held]) for c in ("text", "doc_id"))
+            held.clear()
             words, counts = quick_words(texts, kinds) if runs else pattern_words(texts, pattern)
             once = words.dictionary_encode()
             numbers, ends = once.indices.to_numpy(), np.cumsum(counts)
@@ -399,7 +400,7 @@ def coded(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int = CHUNK_
             size += b.nbytes
             if size >= chunk_bytes:
                 yield from chunked(held)
-                held, size = [], 0
+                size = 0
         if sum(b.num_rows for b in held):
             yield from chunked(held)
 

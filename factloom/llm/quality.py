@@ -106,15 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
             n = [times[e - s : e].astype("<u1" if times[e - s : e].max(initial=0) < 256 else "<u4").tobytes() for s, e in zip(sizes, ends)]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["label", "at", "times"])
 
-    # the driver reads the sample's features where Arrow holds them
-    found = sample.orderBy("doc_id").mapInArrow(hashed, "label int, at binary, times binary").toArrow()
-    rows = []
-    for a, n in zip(found["at"], found["times"]):
-        a, n = a.as_buffer(), n.as_buffer()
-        rows.append((np.frombuffer(a, "<i4"), np.frombuffer(n, "<u1" if 4 * n.size == a.size else "<u4")))
+    # one partition of the sample at a time comes to the driver
+    rows, found = [], []
+    for row in sample.orderBy("doc_id").mapInArrow(hashed, "label int, at binary, times binary").toLocalIterator():
+        rows.append((np.frombuffer(row.at, "<i4"), np.frombuffer(row.times, "<u1" if 4 * len(row.times) == len(row.at) else "<u4")))
+        found.append(row.label)
     if not rows:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return QualityModel(*ftrl(rows, found["label"].to_numpy(), bits), bits)
+    return QualityModel(*ftrl(rows, np.array(found), bits), bits)
 
 
 def score(text: Column, model: QualityModel) -> Column:

@@ -26,7 +26,7 @@ from .common import labelled_sample
 BITS = 20
 SIZES = (4, 5, 6)
 TRAIN_ROWS = 12_000
-SURE = 4.0
+SURE = 2.75
 _CHUNK = 1 << 14
 
 
@@ -74,12 +74,22 @@ class ToxicityModel:
     bias: float
     bits: int = BITS
 
+    def __reduce__(self):
+        some = np.flatnonzero(self.table)  # few, so a task is sent no more
+        return _filled, (some.astype("<i4"), self.table[some], self.bias, self.bits)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         owner, number = occurrences(texts, self.table, self.bits)
         dots = np.bincount(owner, self.table[number], len(texts))
         return 1 / (1 + np.exp(-np.clip(dots + self.bias, -35, 35)))
 
 
+def _filled(some: np.ndarray, values: np.ndarray, bias: float, bits: int) -> ToxicityModel:
+    table = np.zeros(1 << bits, values.dtype)
+    table[some] = values
+    return ToxicityModel(table, bias, bits)
+
+
 def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed log-count ratios, and how many standard errors each is from 0, below it with a minus."""
     p, q = toxic + alpha, clean + alpha
@@ -88,7 +98,7 @@ def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, alp
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, *, epochs: int = 8, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled features, by AdaGrad; rows: feature numbers of each text."""
+    """Logistic regression on the scaled features (r: their ratios), by AdaGrad; rows: feature numbers of each text."""
     w, seen, bias, seen_bias = np.zeros(len(r)), np.full(len(r), 1e-8), 0.0, 1e-8
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -136,18 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
         return ToxicityModel(np.zeros(1 << bits), 0.0, bits)
     counts = np.concatenate([np.frombuffer(c, np.uint32).reshape(2, _CHUNK) for c in parts["counts"].to_pylist()], axis=1)
     r, above = ratios(counts[1].astype(float), counts[0].astype(float), parts["toxic"][0].as_py(), parts["clean"][0].as_py())
-    chosen = (np.abs(above) >= sure).astype(np.int8)
+    best = np.flatnonzero(np.abs(above) >= sure)
+    chosen = np.zeros(1 << bits, np.int8)
+    chosen[best] = 1
+    r, kind = r[best], "<u2" if len(best) <= 1 << 16 else "<u4"
+    del counts, parts, above
 
     def selected(batches):
         for b in batches:
             owner, number = occurrences(b.column("text"), chosen, bits)
-            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            at = [number[s:e].astype("<i4").tobytes() for s, e in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("label"), pa.array(at, pa.binary())], ["doc_id", "label", "at"])
-
-    found = sample.mapInArrow(selected, "doc_id string, label int, at binary").toArrow().sort_by("doc_id")
-    w, bias = fit([np.frombuffer(a, "<i4") for a in found["at"].to_pylist()], found["label"].to_numpy(), r)
-    return ToxicityModel(np.where(chosen > 0, w * r, 0.0), bias, bits)
+            cuts, place = np.searchsorted(owner, np.arange(b.num_rows + 1)), np.searchsorted(best, number).astype(kind)
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([place[s:e].tobytes() for s, e in zip(cuts, cuts[1:])], pa.binary())], ["label", "at"])
+
+    # one partition of the sample at a time comes to the driver
+    found = [(row.label, np.frombuffer(row.at, kind)) for row in sample.orderBy("doc_id").mapInArrow(selected, "label int, at binary").toLocalIterator()]
+    w, bias = fit([at for _, at in found], np.array([label for label, _ in found]), r)
+    table = np.zeros(1 << bits, np.float32)
+    table[best] = w * r
+    return ToxicityModel(table, bias, bits)
 
 
 def score(text: Column, model: ToxicityModel) -> Column:

@@ -86,3 +86,23 @@ def test_mix_repeats_each_document_as_often_as_it_is_taken(spark):
     want = {i: int(taken[i] / size[i] + 0.5) for i in size if size[i]}
     got = Counter(x.doc_id for x in stages.mix_sources(spark, docs, "").collect())
     assert got == Counter({i: n for i, n in want.items() if n}) and len(set(want.values())) > 1
+
+
+def test_stages_keep_columns_whose_names_they_might_use(spark, monkeypatch):
+    """Extra columns stay as they are, and every row of a repeated document is one of its own."""
+    monkeypatch.setattr(toxicity, "train", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score", lambda text, model: text.cast("double"))
+    odd = ["_score", "_s", "_fp", "_v", "_row", "_pass", "_key", "_times", "_piece", "h", "size", "taken", "row", "lo", "rep"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in odd)
+    rows = [(i, "0.1" if i % 2 else "0.9", "s", *range(len(odd))) for i in range(6)]
+    got = stages.drop_toxic(spark, spark.createDataFrame(rows, schema), DATA)
+    assert got.columns == ["doc_id", "text", "source", *odd]
+    assert sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[1] == "0.1"]
+    docs = spark.createDataFrame([(1, A, "s", *range(len(odd))), (2, near(A), "s", *range(len(odd))), (3, B, "s", *range(len(odd)))], schema)
+    found = stages.drop_near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns and sorted((r.doc_id, r._v, r.rep) for r in found.collect()) == [(1, 3, 14), (3, 3, 14)]
+    same = spark.createDataFrame([(1, A, "s", *range(len(odd)))] * 5 + [(None, B, "s", *range(len(odd)))] * 4, schema)
+    mixed = stages.mix_sources(spark, same, "")
+    assert mixed.columns == same.columns
+    out = mixed.collect()
+    assert abs(len(out) - 13) <= 2 and all(tuple(r)[3:] == tuple(range(len(odd))) for r in out)  # one and a half times 9 rows
