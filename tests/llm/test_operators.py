@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, common, kernels, langid, lattice, media, minhash, mixing, quality, sharding, toxicity, warc
+from factloom.llm import bpe, common, components, kernels, langid, lattice, media, minhash, mixing, quality, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, key string"
 ODD = [None, "", " \t\n", "one", "Ünï cödé — ß 漢字", "a b c d e", "x " * 3000, "'s 12 ...   end  "]
@@ -232,6 +232,24 @@ def test_digests_are_of_the_words():
         assert (got[i] == got[j]) == (words((texts[i] or "").lower()) == words((texts[j] or "").lower()))
 
 
+def test_components_against_union_find(spark):
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300), (5, 4), (5, 4)]
+    edges += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: root(v) for v in parent if root(v) != v}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
