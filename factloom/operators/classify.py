@@ -50,7 +50,7 @@ def classified(docs: DataFrame, codes: DataFrame, threshold: int = 5, most_files
     )
     lines = docs.select("folder", F.explode(F.split("content", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line")).where(F.col("line").startswith("|"))
     first = lines.select("folder", T.strip(F.get(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), F.lit(0))).alias("code"))
-    hits = first.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi").groupBy("folder").agg(F.count("*").alias("code_hits"))
+    hits = first.join(codes.select("code"), "code", "left_semi").groupBy("folder").agg(F.count("*").alias("code_hits"))
     x = marks.join(hits, "folder", "left").withColumn("code_hits", F.coalesce("code_hits", F.lit(0)))
     kind = F.when(F.col("code_hits") >= threshold, F.when(F.col("short") & (F.col("files") <= most_files), "fin_report_summary").otherwise("fin_report")).when(F.col("con_hits") > 0, "con_call")
     return x.select("folder", kind.alias("kind"), "code_hits", "con_hits")

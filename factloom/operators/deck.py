@@ -76,7 +76,7 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
     if regulator is None:
         folders = folders.withColumns({n: F.lit(None).cast(t) for n, t in FIGURES.items()})
     else:
-        official = F.broadcast(regulator.select("bank", "year", "quarter", *FIGURES).toDF("r_bank", "r_year", "r_quarter", *FIGURES))
+        official = regulator.select("bank", "year", "quarter", *FIGURES).toDF("r_bank", "r_year", "r_quarter", *FIGURES)
         same = (F.col("legal") == F.col("r_bank")) & F.col("year").eqNullSafe(F.col("r_year")) & F.col("quarter").eqNullSafe(F.col("r_quarter"))
         folders = folders.join(asked(docs), "folder", "left").join(official, same, "left").select("folder", "bank", "legal", *FIGURES)
     folders = staged(folders, "folders")

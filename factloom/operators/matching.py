@@ -142,7 +142,7 @@ def in_lines(lines: DataFrame, groups: list[tuple[list, bool, bool]], desired: s
 
 def best(found: DataFrame, primary: DataFrame | None = None) -> DataFrame:  # O-110, O-146
     """The best match of each folder and term: strength, tier, quarterly bonus, then file and table order.  primary: folder, primary (names)."""
-    x = found.join(F.broadcast(primary), "folder", "left") if primary is not None else found.withColumn("primary", F.lit(None).cast("array<string>"))
+    x = found.join(primary, "folder", "left") if primary is not None else found.withColumn("primary", F.lit(None).cast("array<string>"))
     x = x.withColumn("tier", entity_tier(F.col("entity"), F.col("primary"))).where("tier > 0")
     bonus = F.when(F.col("prefer_quarterly") & (F.col("period_rank") < 5), 1).otherwise(0)
     order = Window.partitionBy("folder", "term").orderBy(F.desc("strength"), F.desc("tier"), bonus.desc(), "file_ord", "header_line")

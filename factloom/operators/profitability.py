@@ -67,7 +67,7 @@ def entries(docs: DataFrame, lines: DataFrame) -> DataFrame:  # O-06, O-153, O-1
 
 def chosen(found: DataFrame, banks: DataFrame) -> DataFrame:  # O-117
     """The entry of each folder (banks: folder, bank, names): in scope, with a value, of the latest date, the first of equals."""
-    x = found.join(F.broadcast(banks.select("folder", "names")), "folder", "left")
+    x = found.join(banks.select("folder", "names"), "folder", "left")
     scope = F.col("entity").isNull() | F.coalesce(F.exists("names", lambda a: F.col("entity").contains(a)), F.lit(False))
     has = F.col("roa_posttax").isNotNull() | F.col("roe_posttax").isNotNull()
     date = F.coalesce(P.parse_single_date(F.col("period_label")), F.struct(F.lit(0).alias("y"), F.lit(0).alias("m"), F.lit(0).alias("d")))
