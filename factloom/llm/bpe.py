@@ -43,7 +43,7 @@ _PLACE = 8
 LONG = (1 << _PLACE) - 1
 _ALL = 1 << 30
 _BLOCK = 1 << 20
-_SLICE = 500
+_SLICE, _SOME = 500, 1 << 16
 
 #: The one pattern that words() cuts with array operations; others go through a regular expression.  Fixed value.
 QUICK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -544,49 +544,72 @@ def _spread(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarr
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens in order of id, and their bounds."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        pieces[v] = k
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+
+
+def _concatenated(ids: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> bytes:
+    """The pieces of all ids, one after another; many ids in parts."""
+    return b"".join(_spread(flat, bounds, ids[s : s + _SOME].astype(np.int64)).tobytes() for s in range(0, len(ids), _SOME))
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, decode: bool = False) -> DataFrame:
     """doc_id, ids for every row of docs (doc_id, text): ids as little-endian unsigned 32-bit integers in one binary.
 
-    A null or empty text has empty ids; repeated rows are encoded each; other columns are ignored.
+    With decode also `decoded`: the bytes that these ids decode to, by the same task, so no ids travel for it.  A null or
+    empty text has empty ids; repeated rows are encoded each; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with _short_plans(docs.sparkSession):
         table = stored(coded(docs, pattern, parts), "coded")
         path = dictionaries(table.where("bucket IS NOT NULL").select("chunk", "bucket", "words"), ranks, parts)
+    pieces = _pieces(ranks) if decode else None
+    names = ["doc_id", "ids", "decoded"] if decode else ["doc_id", "ids"]
 
     def run(batches):
         last: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
         for b in batches:
             ids: list[bytes] = []
+            texts: list[bytes] = []
             done, held = 0, 0
-            for chunk, codes in zip(b.column("chunk"), b.column("codes")):
+
+            def out():
+                columns = [b.column("doc_id").slice(done, len(ids)), pa.array(ids, pa.binary())]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())] if decode else columns, names)
+
+            for chunk, codes in zip(b.column("chunk").to_pylist(), b.column("codes")):
                 codes = codes.as_py()
-                if not codes:
-                    ids.append(b"")
-                else:
-                    if last is None or last[0] != chunk.as_py():
-                        last = chunk.as_py(), _loaded(path, parts, chunk.as_py())
-                    ids.append(_spread(*last[1], _numbers(codes).astype(np.int64)).tobytes())
+                found = np.zeros(0, "<u4")
+                if codes:
+                    if last is None or last[0] != chunk:
+                        last = None
+                        last = chunk, _loaded(path, parts, chunk)
+                    codes = _numbers(codes)
+                    found = np.concatenate([_spread(*last[1], codes[s : s + _SOME].astype(np.int64)) for s in range(0, len(codes), _SOME)])
+                ids.append(found.tobytes())
                 held += len(ids[-1])
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    done, ids, held = done + len(ids), [], 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                if decode:
+                    texts.append(_concatenated(found, *pieces))
+                    held += len(texts[-1])
+                if held > 1 << 21:
+                    yield out()
+                    done, ids, texts, held = done + len(ids), [], [], 0
+            yield out()
 
-    return table.where("bucket IS NULL").select("chunk", "doc_id", "codes").mapInArrow(run, "doc_id long, ids binary")
+    return table.where("bucket IS NULL").select("chunk", "doc_id", "codes").mapInArrow(run, "doc_id long, ids binary" + (", decoded binary" if decode else ""))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of packed ids: the pieces of all ids concatenated; null for null."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for k, v in ranks.items():
-        pieces[v] = k
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+    pieces = _pieces(ranks)
 
     @F.arrow_udf("binary")
     def decode(packed: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else _spread(flat, bounds, np.frombuffer(p, "<u4").astype(np.int64)).tobytes() for p in packed.to_pylist()], pa.binary())
+        return pa.array([None if p is None else _concatenated(np.frombuffer(p, "<u4"), *pieces) for p in packed.to_pylist()], pa.binary())
 
     return decode(ids)

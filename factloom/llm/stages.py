@@ -76,5 +76,5 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = bpe.encoded(docs, ranks, public_tokenizers.PATTERN)
-    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("text_sha256"))
+    found = bpe.encoded(docs, ranks, public_tokenizers.PATTERN, decode=True)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
