@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lattice, media, minhash, mixing, quality, sharding, sql, toxicity, warc
+from . import bpe, extraction, langid, lattice, media, minhash, mixing, quality, resampling, sharding, sql, toxicity, trie, warc
 from .common import remainder, table
 
 THRESHOLD = 0.7
@@ -89,6 +89,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -100,9 +112,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_extraction": op12_extraction,
+    "op13_trie": op13_trie,
 }
 ORACLES: dict[str, str] = {
     "op2_minhash": sql.OP2_MINHASH,
     "op5_lattice": sql.OP5_LATTICE,
     "op7_warc": sql.OP7_WARC,
+    "op11_resampling": sql.OP11_RESAMPLING,
+    "op12_extraction": sql.OP12_EXTRACTION,
+    "op13_trie": sql.OP13_TRIE,
 }

@@ -62,3 +62,90 @@ WITH RECURSIVE usable AS (
 SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN least_id c ON c.vec_id = e.vec_id LEFT JOIN degree d ON d.vec_id = e.vec_id
 """
+
+#: CTE crc_table: t, the list of the 256 steps of CRC-32.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, i) AS c FROM range(0, 256) AS r(i)
+  )
+)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, beside crc_table."""
+    codes = f"[CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, octet_length(encode({text})))]"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+OP11_RESAMPLING = rf"""
+WITH {_CRC_TABLE}, doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), doc_word AS (
+  SELECT doc_id, unnest(w) AS word FROM doc_words
+), target_word AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), buckets AS (
+  SELECT word, {_crc32("word")} % 10000 AS b FROM (SELECT word FROM doc_word UNION SELECT word FROM target_word), crc_table
+), source_count AS (
+  SELECT b, count(*) AS s FROM doc_word JOIN buckets USING (word) GROUP BY b
+), target_count AS (
+  SELECT b, count(*) AS t FROM target_word JOIN buckets USING (word) GROUP BY b
+), sums AS (
+  SELECT CAST((SELECT count(*) FROM doc_word) AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM target_word) AS DOUBLE) AS t_all
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM source_count FULL JOIN target_count USING (b), sums
+), weights AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM doc_word JOIN buckets USING (word) JOIN gains USING (b) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM doc_words LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+OP12_EXTRACTION = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages
+), plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM articles
+), decoded AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM plain
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded
+"""
+
+OP13_TRIE = rf"""
+WITH {_CRC_TABLE}, own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), built AS (
+  SELECT ids.conv_id, 0 AS part, i, x FROM ids JOIN own ON own.conv_id = ids.base AND own.i < ids.h
+  UNION ALL
+  SELECT ids.conv_id, 1, i, x FROM ids JOIN own ON own.conv_id = ids.conv_id AND own.i >= ids.h
+), sequences AS (
+  SELECT ids.conv_id, coalesce(list(x ORDER BY part, i) FILTER (x IS NOT NULL), []) AS s FROM ids LEFT JOIN built ON built.conv_id = ids.conv_id GROUP BY ids.conv_id
+), prefixes AS (
+  SELECT conv_id, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM sequences
+), nodes AS (
+  SELECT s[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(s[d].text)) END AS saved
+  FROM prefixes GROUP BY s[1:d], d
+), children AS (
+  SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY k[1:d - 1], d - 1
+), marked AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children ON children.k = nodes.k AND children.d = nodes.d
+), above AS (
+  SELECT k[1:a] AS k, a, n_children = 0 AS leaf, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM marked)
+), subtrees AS (
+  SELECT k, a AS d, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY k, a
+)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(m.n_children AS BIGINT) AS n_children,
+  CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM marked m JOIN subtrees t ON t.k = m.k AND t.d = m.d LEFT JOIN nodes p ON m.d > 0 AND p.d = m.d - 1 AND p.k = m.k[1:m.d - 1]
+"""
