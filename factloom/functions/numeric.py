@@ -50,8 +50,36 @@ def format_value(value: Column) -> Column:  # O-43
     return F.coalesce(F.call_function("format_number", value, F.lit("#,##0.##########")), F.lit("N/A"))
 
 
+def two_decimals(value: Column) -> Column:
+    """A number with two decimals: its exact binary value, rounded to even at ties.
+
+    value * 100 is a rounded product p and an exact error e, which Dekker's split of the factor gives.  Below 2^52 rint(p)
+    is right but where p is a tie that e breaks; beyond, p is whole and e is what is rounded.  From 2^52 on a number has
+    no decimals.
+    """
+
+    def shown(v: Column) -> Column:
+        a = F.abs(v)
+        c = a * 134217729.0
+        high = c - (c - a)
+        p = a * 100.0
+        e = (high * 100.0 - p) + (a - high) * 100.0
+        r = F.rint(p)
+        small = r.cast("long") + F.when((p - r == 0.5) & (e > 0), 1).when((p - r == -0.5) & (e < 0), -1).otherwise(0)
+        k = F.rint(e)
+        large = p.cast("long") + k.cast("long")
+        large += F.when((F.abs(e - k) == 0.5) & (F.pmod(large, F.lit(2)) == 1), F.signum(e - k).cast("long")).otherwise(0)
+        digits = F.when(p < 4503599627370496.0, small).otherwise(large).cast("string")
+        digits = F.concat(F.repeat(F.lit("0"), 3 - F.length(digits)), digits)
+        minus = F.when((v < 0) | (F.signum(v).cast("string") == "-0.0"), "-").otherwise("")
+        text = F.concat(minus, digits.substr(F.lit(1), F.length(digits) - 2), F.lit("."), F.substring(digits, -2, 2))
+        return F.when(F.isnan(v) | (a >= 4503599627370496.0), F.format_string("%.2f", v)).otherwise(text)
+
+    return let(value.cast("double"), shown)
+
+
 def format_pct(value: Column) -> Column:  # O-44
-    return F.coalesce(F.format_string("%.2f%%", value), F.lit("N/A"))
+    return F.coalesce(F.concat(two_decimals(value), F.lit("%")), F.lit("N/A"))
 
 
 def format_maybe_pct(value: Column, is_percent: Column) -> Column:

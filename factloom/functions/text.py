@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The patterns of this module and the wording in them, which must match the documents' own.
+
 #: White space as Unicode has it, with the four information separators that Python's strip() also removes.
 _W = r"[\s\x1c-\x1f]"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"

@@ -89,13 +89,13 @@ def deck_summary(docs: DataFrame, regulator: DataFrame | None = None, banks: Dat
         "source_file": F.when(~card, F.col("source_file")),
         "value": F.when(card, F.col("revolving") / 1e6).otherwise(F.col("value")),
     })
-    unmapped = F.when(F.col("bank").isNull(), "no entity resolved for this deck, so no regulator lookup was attempted").when(F.col("legal").isNull(), F.concat(F.lit("'"), F.col("bank"), F.lit("' has no regulator name mapped"))).otherwise("")
+    unmapped = F.when(F.col("bank").isNull(), "the deck names no known bank; the regulator was not asked").when(F.col("legal").isNull(), F.concat(F.lit("the regulator's name of "), F.col("bank"), F.lit(" is unknown"))).otherwise("")
     new = recomposed(rows.where("kind <> 'ratio'"), dims.loan_formulas(spark)).select("folder", "term", F.col("value").alias("nvalue"), "formula")
     rows = rows.withColumn("note", F.when((F.col("term") == "信用卡循環") & F.col("value").isNull(), unmapped).otherwise(""))
     rows = rows.join(new, ["folder", "term"], "left").where("kind <> 'helper'")
     rows = rows.withColumn("value", F.when(F.col("formula").isNotNull(), F.col("nvalue")).otherwise(F.col("value")))
     rows = rows.withColumn("matched_label", F.coalesce(F.concat(F.lit("重組："), F.col("formula")), "matched_label"))
-    off = reconciled(rows).select("folder", F.lit("法說會放款餘額合計").alias("term"), F.format_string("components sum to %,.1f vs total %,.1f (off by %,.1f)", "parts", "total", "gap").alias("warn"))
+    off = reconciled(rows).select("folder", F.lit("法說會放款餘額合計").alias("term"), F.format_string("the parts add up to %,.1f, the stated total is %,.1f: %,.1f apart", "parts", "total", "gap").alias("warn"))
     columns = ["folder", "ord", "term", "kind", "value", "matched_label", "period_label", "source_file", "note"]
     rows = rows.join(off, ["folder", "term"], "left").withColumn("note", F.coalesce("warn", "note")).select(columns)
     official = []

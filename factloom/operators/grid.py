@@ -92,8 +92,9 @@ def resolve_period(links: DataFrame, asked: DataFrame) -> DataFrame:  # O-115, O
     x = x.where(F.size("all") > 0).withColumn("l", pick)
     exact = any_month | ((F.col("l.y") == F.col("ay")) & (F.col("l.m") == F.col("am")))
     later = (F.col("l.y") > F.col("ay")) | ((F.col("l.y") == F.col("ay")) & (F.col("l.m") > F.col("am")))
+    # fixed values: these two reasons
     why = F.when(later, "that month is no longer in the published dataset").otherwise("that month isn't published yet")
-    note = F.when(exact, "").otherwise(F.concat(F.lit("requested "), F.col("ay"), F.lit("年"), F.col("am"), F.lit("月 but "), why, F.lit(" - used "), F.col("l.y"), F.lit("年"), F.col("l.m"), F.lit("月 instead")))
+    note = F.when(exact, "").otherwise(F.concat(F.lit("figures of "), F.col("l.y"), F.lit("年"), F.col("l.m"), F.lit("月 in place of "), F.col("ay"), F.lit("年"), F.col("am"), F.lit("月: "), why))
     return x.select("id", "l.y", "l.m", "l.url", exact.alias("exact"), note.alias("note"))
 
 

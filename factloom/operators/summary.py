@@ -49,7 +49,7 @@ def laid_out(spark, folders: DataFrame, index: DataFrame, labels: DataFrame, kin
     plus = F.regexp_replace("labels", r"\+", " + ")
     reason = (
         F.when(is_code & stated, "")
-        .when(is_code & F.col("sum").isNotNull(), F.concat(F.lit("derived: this filing states no "), F.col("term"), F.lit(" total, so this is "), plus))
+        .when(is_code & F.col("sum").isNotNull(), F.concat(F.lit("derived: "), F.col("term"), F.lit(" has no line of its own; sum of "), plus))
         .when(is_code, F.concat(F.lit("code "), F.col("code"), F.lit(" ("), F.col("term"), F.lit(") not found in any file")))
         .when(is_comp & F.col("csum").isNotNull(), "")
         .when(is_comp & F.col("miss").isNull(), F.concat(F.lit("'"), F.col("term"), F.lit("' has no formula for this bank")))

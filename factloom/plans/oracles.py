@@ -27,7 +27,28 @@ def _merged_rows() -> list:
     return [*rows, (n, "甲", 90.0, 0), (n + 1, "乙", 91.0, 1)]
 
 
+# the lines of one document with all order lines: d.n is a line's place among them
+_LONG = """WITH o AS (
+  SELECT l_orderkey AS k, l_linenumber AS ln, trunc(l_quantity) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
+    row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS n FROM lineitem
+), d AS (
+  SELECT *, r = 1 AND k % 1777 = 0 AS heads, r = 1 AND k % 997 = 0 AS starts FROM o
+), s AS (
+  SELECT *, coalesce(last_value(CASE WHEN starts THEN k % 2 END IGNORE NULLS) OVER (ORDER BY n), 0) = 0 AS percent, max(CASE WHEN starts THEN k END) OVER (ORDER BY n) AS t,
+    max(CASE WHEN heads THEN k END) OVER (ORDER BY n) AS h, n + sum(heads::INT + 2 * starts::INT) OVER (ORDER BY n) AS place FROM d
+)
+"""
+
 ORACLES = {
+    "long_document_facts": _LONG + """, f AS (
+  SELECT k, r, q AS v, 0 AS part FROM s UNION ALL SELECT k, r, ln, 1 FROM s WHERE (k // 997) % 2 = 0
+), nums AS (
+  SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY r, part) AS i FROM f
+), e AS (SELECT k, percent FROM s WHERE r = 1)
+SELECT printf('N%07d', e.k) AS code, 'item' AS label, CAST(nums.v AS DOUBLE) AS value FROM e LEFT JOIN nums ON nums.k = e.k AND nums.i = CASE WHEN percent THEN 3 ELSE 2 END""",
+    "long_document_tables": _LONG + """, g AS (SELECT t, h, place, q, n, heads, starts, max(CASE WHEN heads AND NOT starts THEN n END) OVER (PARTITION BY t ORDER BY n) AS broken FROM s WHERE t IS NOT NULL)
+SELECT CAST(min(CASE WHEN starts THEN place END) - 2 AS BIGINT) AS header_line, 'part－' || any_value(th) AS heading, count(*) FILTER (broken IS NULL) AS n_rows, count(*) FILTER (broken IS NULL) AS n, CAST(sum(q) FILTER (broken IS NULL) AS DOUBLE) AS amount
+FROM (SELECT *, max(CASE WHEN starts THEN h END) OVER (PARTITION BY t) AS th FROM g) GROUP BY t""",
     "filing_summary": _filing_oracle(),
     "derived_total": _AMOUNTS + f"SELECT folder, CASE WHEN k % 3 <> 0 THEN {_v(60)} ELSE {_v(30)} + {_v(12)} + {_v(18)} END AS value, k % 3 = 0 AS derived FROM a",
     "coverage_warning": _AMOUNTS + "SELECT folder, CAST(k % 10 AS BIGINT) AS missing, CAST(10 AS BIGINT) AS n, array_to_string(['t' || i FOR i IN range(0, k % 10)], ', ') AS terms FROM a WHERE k % 10 > 5",

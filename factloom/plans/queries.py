@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import period as P
 from ..functions import text as T
-from ..operators import classify, deck, grid, lookup, matching, merged, profitability, summary
+from ..operators import classify, deck, grid, lookup, matching, merged, profitability, segments, summary
 from ..operators import tables as X
+from ..sources.staged import staged
 from . import dims
 from . import rendered as R
 from .cases import frame
@@ -284,6 +286,38 @@ def profitability_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("folder", "layout", "entity", "period_label", "quarter_num", "roa_posttax", "roe_posttax", "profit_margin")
 
 
+def _long_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one document with all order lines: an order is an entry that begins with its first line, each 997th begins a table, with a % column where it is even, and each 1777th has a heading."""
+    li = R.table(spark, sf_dir, "lineitem")
+    order, row = F.col("l_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = staged(li.select(order, row.alias("_row")).repartitionByRange(tasks, "l_orderkey", "_row").withColumn("_range", F.spark_partition_id()), "ranges")
+    first = li.select(order, row.alias("_row")).groupBy("l_orderkey").agg(F.min("_row").alias("_first"))
+    x = ranges.join(first, "l_orderkey")
+    opens, percent = F.col("_row") == F.col("_first"), F.pmod("l_orderkey", F.lit(2)) == 0
+    twin = F.row_number().over(Window.partitionBy("_range", "l_orderkey", "_row").orderBy(F.lit(1))) == 1
+    line = R.pipe(F.when(opens, F.format_string("N%07d", "l_orderkey")).otherwise(""), "item", F.col("_row.l_quantity").cast("long"), F.when(F.pmod(F.floor(order / 997), F.lit(2)) == 0, F.col("_row.l_linenumber").cast("string")).otherwise("-"))
+    x = x.withColumn("_new", opens & twin)
+    head = F.when(F.col("_new") & (F.pmod(order, F.lit(1777)) == 0), F.format_string("## part－%d", "l_orderkey"))
+    table = F.when(F.col("_new") & (F.pmod(order, F.lit(997)) == 0), F.when(percent, "| 代碼 | item | amount | % |").otherwise("| 代碼 | item | amount | n |"))
+    lines = F.array_compact(F.array(head, table, F.when(table.isNotNull(), "|---|---|---|---|"), line))
+    each = x.select("_range", "l_orderkey", "_row", F.posexplode(lines).alias("_part", "line"))
+    named = each.select(F.lit("all").alias("folder"), F.lit(1).alias("file_ord"), F.lit("all.md").alias("file_name"), "_range", "l_orderkey", "_row", "_part", "line")
+    return segments.numbered(named, X.KEY, ["l_orderkey", "_row", "_part"], "_range").select(*X.KEY, "file_name", "line_no", "line")
+
+
+def long_document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second figures of all orders, from one document that no task holds."""
+    rows = segments.row_lines(_long_document(spark, sf_dir), 4096)
+    return segments.code_facts(rows, 2).select("code", "label", "value")
+
+
+def long_document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table of one long document, its heading, the number of its rows, and the sum of their amounts."""
+    t = segments.table_lines(_long_document(spark, sf_dir), 4096).where("row_idx IS NOT NULL")
+    return t.groupBy("header_line").agg(F.max("heading").alias("heading"), (F.max("row_idx") + 1).alias("n_rows"), F.count("*").alias("n"), F.sum(N.parse_numeric(F.get("cells", F.lit(2)))).alias("amount"))
+
+
 GRID = [("s", 0, 0, "資產負債表"), ("s", 1, 0, "修正前會計項目及代碼"), ("s", 1, 2, "修正後會計項目及代碼"), ("s", 1, 4, "修正說明"), ("s", 2, 0, "代碼"), ("s", 2, 1, "會計項目"), ("s", 3, 0, "10000"), ("s", 3, 1, "資產總計"), ("s", 3, 2, "10000"), ("s", 3, 3, "資產總額"), ("s", 3, 4, "改名改名改名"), ("s", 4, 0, "11000"), ("s", 4, 1, "現金"), ("s", 5, 2, "12000"), ("s", 5, 3, "存放央行及拆借"), ("s", 6, 0, "13000")]
 CODES = [("s", "10000", "資產總額"), ("s", "11000", "現金"), ("s", "12000", "存放央行及拆借")]
 SHEET = [("s", 0, 0, "統計表"), ("s", 1, 0, "銀行 名稱"), ("s", 1, 1, "逾放"), ("s", 2, 1, "比率"), ("s", 1, 2, "餘額"), ("s", 4, 0, "甲銀行"), ("s", 4, 1, "0.15"), ("s", 4, 2, "1,234"), ("s", 5, 0, "乙銀行"), ("s", 5, 2, "x"), ("s", 6, 0, "甲銀行"), ("s", 6, 2, "9")]
@@ -300,4 +334,4 @@ def regulator_header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.columns_by_bank(cells, "銀行名稱", frame(spark, [("逾放比率",), ("餘額",)], "header string"), frame(spark, [("甲銀行",), ("乙銀行",), ("丙銀行",)], "bank string"))
 
 
-QUERIES = {f.__name__: f for f in (filing_summary, derived_total, coverage_warning, table_roundtrip, adjacent_tables_split, dual_column_unfold, code_extract_first_value, stride_period2, code_index_with_label_fallback, statement_rows, annualize_orders, term_match_strength, deck_summary, orientation_detect, heading_asof, row_sections_ffill, section_restrict, loan_recomposition, loan_reconciliation, resolve_period_asof, export_scaling, page_num, classify_folders, bank_detection, merged_order, combined_sections_union, profitability_layouts, coding_grid_blocks, regulator_header_lookup)}
+QUERIES = {f.__name__: f for f in (long_document_facts, long_document_tables, filing_summary, derived_total, coverage_warning, table_roundtrip, adjacent_tables_split, dual_column_unfold, code_extract_first_value, stride_period2, code_index_with_label_fallback, statement_rows, annualize_orders, term_match_strength, deck_summary, orientation_detect, heading_asof, row_sections_ffill, section_restrict, loan_recomposition, loan_reconciliation, resolve_period_asof, export_scaling, page_num, classify_folders, bank_detection, merged_order, combined_sections_union, profitability_layouts, coding_grid_blocks, regulator_header_lookup)}
