@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import lenient_utf8
-from ..sources.documents import ordered
+from ..sources.documents import below, literal_glob, ordered
 from ..sources.staged import staged
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -17,15 +17,15 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 def files(spark: SparkSession, root: str, most_files: int = 10_000) -> DataFrame:
     """A stream of root/<folder>/**.md: folder, path, content."""
-    raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", most_files).load(root)
-    return _keyed(raw, root)
+    raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", most_files).load(literal_glob(root))
+    return keyed(raw, root)
 
 
-def _keyed(raw: DataFrame, root: str) -> DataFrame:
-    name = root.rstrip("/").rpartition("/")[2]
-    rel = F.substring_index("path", f"/{name}/", -1)
-    folder = F.substring_index(rel, "/", 1)
-    return raw.select(folder.alias("folder"), F.expr(f"substring(substring_index(path, '/{name}/', -1), length(substring_index(substring_index(path, '/{name}/', -1), '/', 1)) + 2)").alias("path"), lenient_utf8(F.col("content")).alias("content"))
+def keyed(raw: DataFrame, root: str, *more: Column | str) -> DataFrame:
+    """folder, path, content and more of files below root's folders; files of the root itself are in none."""
+    rel = raw.withColumn("path", below(raw.sparkSession, root)).where(F.col("path").contains("/"))
+    folder = F.substring_index("path", "/", 1)
+    return rel.select(folder.alias("folder"), F.col("path").substr(F.length(folder) + 2, F.length("path")).alias("path"), lenient_utf8(F.col("content")).alias("content"), *more)
 
 
 def _removed(spark: SparkSession, sink: str, folder: str) -> None:
@@ -45,8 +45,8 @@ def extract_changed(spark: SparkSession, root: str, checkpoint: str, sink: str,
         changed = [r.folder for r in new.select("folder").distinct().collect()]  # most_files at most
         if not changed:
             return
-        every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load([f"{root.rstrip('/')}/{f}" for f in changed])
-        rows = staged(extract(ordered(_keyed(every, root))), "extracted")
+        every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load([literal_glob(f"{root.rstrip('/')}/{f}") for f in changed])
+        rows = staged(extract(ordered(keyed(every, root))), "extracted")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(sink)
         for folder in set(changed) - {r.folder for r in rows.select("folder").distinct().collect()}:
             _removed(spark, sink, folder)  # it has no rows any more
