@@ -54,7 +54,24 @@ def cells(data: bytes, merged: bool = False) -> Iterator[tuple]:
 
 
 class FilePartition(InputPartition):
-    pass
+    """Paths of files that one task reads."""
+
+
+#: Bytes and number of files up to which they share a task.
+PACK_BYTES, PACK_FILES = 8 << 20, 64
+
+
+def packed(files: list[tuple[str, int]]) -> list[FilePartition]:
+    """Files (path, size) in packs for one task each."""
+    packs: list[list[str]] = []
+    held = 0
+    for path, size in sorted(files):
+        if not packs or held + size > PACK_BYTES or len(packs[-1]) >= PACK_FILES:
+            packs.append([])
+            held = 0
+        packs[-1].append(path)
+        held += size
+    return [FilePartition(p) for p in packs]
 
 
 class GridReader(DataSourceReader):
@@ -66,17 +83,18 @@ class GridReader(DataSourceReader):
 
         store, path = fs.FileSystem.from_uri(self.uri)
         if store.get_file_info(path).type == fs.FileType.File:
-            return [FilePartition(path)]
-        return [FilePartition(f.path) for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.path.lower().endswith((".xlsx", ".zip"))]
+            return [FilePartition([path])]
+        return packed([(f.path, f.size or 0) for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.path.lower().endswith((".xlsx", ".zip"))])
 
     def read(self, partition):
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.uri)
-        with store.open_input_file(partition.value) as f:
-            data = f.read()
-        for row in cells(data, self.merged):
-            yield (partition.value, *row)
+        for path in partition.value:
+            with store.open_input_file(path) as f:
+                data = f.read()
+            for row in cells(data, self.merged):
+                yield (path, *row)
 
 
 class GridSource(DataSource):
