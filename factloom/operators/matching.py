@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import multipattern as M
 from ..functions import numeric as N
 from ..functions import period as P
 from ..functions import text as T
@@ -32,6 +33,33 @@ def strength(term: Column, text: Column) -> Column:  # O-83, O-108, O-131
     )
 
 
+def strengths(labels: DataFrame, terms: list) -> DataFrame:  # O-22, O-83, O-108, O-131
+    """label, term, strength (1 to 3) for labels (label) and terms that match, as strength() has it: all wordings of all terms in one pass over each distinct label.
+
+    A wording is a pattern of one automaton; what each says of its terms is a small table that the hits are joined with.
+    """
+    spark = labels.sparkSession
+    uses: dict[str, list[tuple]] = {}
+    for number, t in enumerate(terms):
+        for role, words, part, weight in [("veto", t.negatives, 0, 0.0), ("alias", t.aliases, 0, 0.0), *[("part", w, k, x) for k, (w, x) in enumerate(t.components if t.composite else ())]]:
+            for w in dict.fromkeys(map(str.lower, words)):
+                uses.setdefault(w, []).append((number, role, part, float(weight)))
+    empty = uses.pop("", [])  # an empty wording is in every label
+    patterns = list(uses)
+    known = spark.createDataFrame([(i, *u, len(w)) for i, w in enumerate(patterns) for u in uses[w]] + [(-1, *u, 0) for u in empty], "pattern int, number int, role string, part int, weight double, length int")
+    facts = spark.createDataFrame([(i, t.name, t.threshold) for i, t in enumerate(terms)], "number int, term string, threshold double")
+    text = F.lower(F.coalesce("label", F.lit("")))
+    each = labels.select("label").distinct().select("label", F.length(T.strip(text)).alias("chars"), F.concat(F.array(F.lit(-1)), M.found(text, M.automaton(patterns))).alias("hits"))
+    hits = each.select("label", "chars", F.explode("hits").alias("pattern")).join(F.broadcast(known), "pattern")  # as many rows as the terms have wordings
+    role = lambda r, c=F.lit(True): F.max((F.col("role") == r) & c)
+    parts = F.array_sort(F.collect_set(F.when(F.col("role") == "part", F.struct("part", "weight"))))
+    by = hits.groupBy("label", "number").agg(role("veto").alias("veto"), role("alias").alias("alias"), role("alias", F.col("length") == F.col("chars")).alias("whole"), parts.alias("parts"))
+    x = by.join(F.broadcast(facts), "number")
+    score = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p.weight)
+    how = F.when(F.col("veto"), 0).when(F.col("whole"), 3).when(F.col("alias"), 2).when((F.size("parts") > 0) & (score >= F.col("threshold")), 1).otherwise(0)
+    return x.select("label", "term", how.alias("strength")).where("strength > 0")
+
+
 def entity_tier(entity: Column, primary: Column) -> Column:  # O-85
     """2 the reporting entity, 1 unnamed or neutral, 0 another company; primary: its names, null if unknown."""
     unknown = F.when(entity.contains("銀行"), 2).when(entity.contains("金控"), 0).otherwise(1)
