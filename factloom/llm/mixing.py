@@ -37,7 +37,7 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
     open_ = [k for k, s in enumerate(sizes) if s > 0]
     while open_ and left > 0:
         total = sum(weights[k] for k in open_)
-        full = [k for k in open_ if left * weights[k] / total >= most * sizes[k]]
+        full = {k for k in open_ if left * weights[k] / total >= most * sizes[k]}
         if not full:
             for k in open_:
                 out[k] = left * weights[k] / total
@@ -80,11 +80,14 @@ def ranked(slots: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, and the columns in `keep`.
 
+    `most` must be whole, as a block is taken whole or not at all; another raises ValueError.
     size: words of the text (null: 0).  taken: words that the mix takes of it, repeats counted, at most `most` times
     size.  Sources in code point order, null last, have the weights in turn.  A source without words has target 0.
     Rows of equal doc_id are documents of their own; equal rows share what the mix takes of them in any order.  An empty
     table gives an empty result.
     """
+    if most < 1 or most != int(most):
+        raise ValueError(f"most is {most}; a document can be taken a whole number of times at most")
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("mix"))

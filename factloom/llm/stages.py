@@ -36,7 +36,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each near-duplicate group, that of the smallest doc_id; of equal rows of one doc_id and text, one.  Rows without doc_id stay.
 
-    Several texts of one doc_id are judged each by itself: all but one get a vertex of their own.
+    Several texts of one doc_id are judged each by itself: each text of each doc_id gets a vertex of its own then.  An
+    empty table stays empty; texts of any length are compared whole, and columns of any name come back as they were.
     """
     columns, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
     fingerprint = F.coalesce(F.sha2("text", 256), F.lit(""))
@@ -47,9 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
         one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     else:
-        top = named.agg(F.max("doc_id")).first()[0]
-        vertices = stored(more.withColumn("_v", F.lit(top + 1) + F.monotonically_increasing_id()), "vertices")
-        texts = named.join(vertices, ["doc_id", "_fp"], "left").withColumn("_v", F.coalesce("_v", "doc_id"))
+        vertices = stored(named.select("doc_id", "_fp").distinct().withColumn("_v", F.monotonically_increasing_id()), "vertices")
+        texts = named.join(vertices, ["doc_id", "_fp"])
         found = minhash.near_duplicates(texts.select(F.col("_v").alias("doc_id"), "text")).select(F.col("doc_id").alias("_v"), "component_id").distinct()
         names = texts.select("_v", "doc_id", "_fp").distinct()
         kept = found.join(names, "_v").groupBy("component_id").agg(F.min(F.struct("doc_id", "_fp")).alias("x")).select("x.doc_id", "x._fp")

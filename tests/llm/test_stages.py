@@ -106,3 +106,17 @@ def test_stages_keep_columns_whose_names_they_might_use(spark, monkeypatch):
     assert mixed.columns == same.columns
     out = mixed.collect()
     assert abs(len(out) - 13) <= 2 and all(tuple(r)[3:] == tuple(range(len(odd))) for r in out)  # one and a half times 9 rows
+
+
+def test_near_duplicates_of_the_largest_ids(spark):
+    big = 2**63 - 2
+    rows = [(big, f"text number {k} of this id with words of its own {k * 7}") for k in range(6)] + [(big + 1, "text number 0 of this id with words of its own 0"), (-(2**63), "another text altogether, far from all the others here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([r for r in rows if r[0] != big + 1])
+
+
+def test_a_broken_number_of_times_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="1.5"):
+        mixing.mixed(docs, most=1.5)
