@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import shared_dir, small_batches, stored
+from .common import frugal, give_back, shared_dir, small_batches, stored
 
 CHUNK_BYTES = 32 << 20
+#: Bytes of text for each bucket of words; a bucket's distinct words take no more than these bytes, and some 100 more for each word.
+BUCKET_BYTES = 64 << 20
 _PLACE = 8
 LONG = (1 << _PLACE) - 1
 _ALL = 1 << 30
@@ -374,6 +376,7 @@ def coded(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int = CHUNK_
     runs = class_runs() if pattern == QUICK_PATTERN else None
     names = CODED.fieldNames()
 
+    @frugal
     def run(batches):
         kinds = np.repeat(runs[1], np.diff([*runs[0], 0x110000])) if runs else None
 
@@ -425,6 +428,7 @@ def _met(ranks: dict[bytes, int], long: int):
     A word's place is twice its number among the bucket's folded words, or twice that among those of known ids and one.
     """
 
+    @frugal
     def run(batches):
         bucket, seen, sizes = None, {}, [0, 0]
         for b in batches:
@@ -480,6 +484,7 @@ class _Grown:
         self.n, self.size = self.n + len(sizes), self.size + len(ids)
 
 
+@frugal
 def _returned(batches):
     """Of _met's rows with ids for words: for each list its numbers and their ids, packed."""
     bucket, kinds = None, (_Grown(), _Grown())
@@ -564,13 +569,17 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, decode: b
     empty text has empty ids; repeated rows are encoded each; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket holds its distinct words in a task's memory, so there are as many as the text asks for
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     with _short_plans(docs.sparkSession):
         table = stored(coded(docs, pattern, parts), "coded")
         path = dictionaries(table.where("bucket IS NOT NULL").select("chunk", "bucket", "words"), ranks, parts)
+    give_back()
     pieces = _pieces(ranks) if decode else None
     names = ["doc_id", "ids", "decoded"] if decode else ["doc_id", "ids"]
 
+    @frugal
     def run(batches):
         last: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
         for b in batches:
