@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import bitmap, in_bitmap, small_batches, stored
+from .common import bitmap, frugal, in_bitmap, small_batches, stored
 from .components import components
 
 WORDS = 5
@@ -128,6 +128,7 @@ def minima(sets: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 
 
 def prepared(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    @frugal
     def run(batches):
         for b in batches:
             texts = b.column("text")
@@ -171,6 +172,7 @@ def _survivors(pairs: DataFrame, prep: DataFrame, percent: int, miss: float, tot
     t = percent / 100
     steps = fewest_matches(total, BATCH, t + (1 - t) / 256, miss)
 
+    @frugal
     def run(batches):
         for b in batches:
             na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
@@ -201,6 +203,7 @@ def _links(survivors: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     ids = survivors.select(F.col("a").alias("v")).union(survivors.select(F.col("b").alias("v"))).distinct()
     texts = among(docs, ids).select(F.col("doc_id").cast("long").alias("v"), "text")
 
+    @frugal
     def run(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
@@ -225,6 +228,7 @@ def _links(survivors: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 def _rarity(crowd: DataFrame, words: int) -> np.ndarray:
     """How often shingles occur in the texts of crowd, by 20 bits of their hash: a table of fixed size, only used to order shingles."""
 
+    @frugal
     def counted(batches):
         counts = np.zeros(_COUNTS, np.uint32)
         for b in batches:
@@ -247,6 +251,7 @@ def _crowded_pairs(crowd: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): a superset of the linked pairs across components among crowd (v, component, text)."""
     rarity = crowd.sparkSession.sparkContext.broadcast(_rarity(crowd, words))
 
+    @frugal
     def prefixes(batches):
         for b in batches:
             _, bounds = K.raw(b.column("text"))

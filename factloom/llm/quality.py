@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import labelled_sample
+from .common import frugal, give_back, labelled_sample
 
 BITS = 18
 TRAIN_ROWS = 8_000
@@ -98,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
     """
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
 
+    @frugal
     def hashed(batches):
         for b in batches:
             number, times, sizes = features(b.column("text"), bits)
@@ -113,7 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
         found.append(row.label)
     if not rows:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return QualityModel(*ftrl(rows, np.array(found), bits), bits)
+    model = QualityModel(*ftrl(rows, np.array(found), bits), bits)
+    del rows
+    give_back()
+    return model
 
 
 def score(text: Column, model: QualityModel) -> Column:
@@ -121,6 +125,8 @@ def score(text: Column, model: QualityModel) -> Column:
 
     @F.arrow_udf("double")
     def quality_score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts), pa.float64())
+        scores = pa.array(model.scores(texts), pa.float64())
+        give_back()
+        return scores
 
     return quality_score(text)

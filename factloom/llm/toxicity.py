@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import labelled_sample
+from .common import frugal, give_back, labelled_sample
 
 BITS = 20
 SIZES = (4, 5, 6)
@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
     """
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
 
+    @frugal
     def counted(batches):
         counts, rows_of = np.zeros((2, 1 << bits), np.uint32), np.zeros(2, np.int64)
         for b in batches:
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
     r, kind = r[best], "<u2" if len(best) <= 1 << 16 else "<u4"
     del counts, parts, above
 
+    @frugal
     def selected(batches):
         for b in batches:
             owner, number = occurrences(b.column("text"), chosen, bits)
@@ -163,6 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
     w, bias = fit([at for _, at in found], np.array([label for label, _ in found]), r)
     table = np.zeros(1 << bits, np.float32)
     table[best] = w * r
+    del found
+    give_back()
     return ToxicityModel(table, bias, bits)
 
 
@@ -171,6 +175,8 @@ def score(text: Column, model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def toxicity_score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts), pa.float64())
+        scores = pa.array(model.scores(texts), pa.float64())
+        give_back()
+        return scores
 
     return toxicity_score(text)
