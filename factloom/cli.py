@@ -1,4 +1,4 @@
-"""Command line: python -m factloom.cli <folder> [<folder>] | acct <folder> <mode> | call [term...] --folder F | npl --sheet F."""
+"""Command line: python -m factloom.cli <folder> [<folder>] | acct <folder> <mode> | call [term...] --folder F | npl [--year Y --quarter Q | --sheet F]."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import classify, deck, grid, lookup, matching, merged, profitability, summary
 from .operators import tables as X
 from .plans import dims
-from .sinks import files
+from .sinks import console, files, reports
 from .sources import documents, regulator, workbooks
 
 LANDING = "npl_cache"
@@ -28,9 +28,34 @@ def statement(docs: DataFrame, dictionary: DataFrame, name: str, period: int = 1
     return lookup.statement_rows(X.code_entries(X.row_lines(inside.unionByName(outside))), dictionary, period)
 
 
-def official(docs: DataFrame, landing: str, transport: regulator.Transport = regulator.fetch) -> DataFrame:
+def known(docs: DataFrame, bank: str | None, industry: str | None = None) -> DataFrame | None:
+    """Identities of the folders with a bank or industry that the user names in place of what is detected; None when they name neither."""
+    if bank is None and industry is None:
+        return None
+    found = classify.identity(docs)
+    if bank is not None:
+        found = found.withColumn("bank", F.lit(dims.resolve_bank(bank))).withColumn("industry", F.coalesce("industry", F.lit(dims.BANKING[0])))
+    return found.withColumn("industry", F.lit(industry)) if industry is not None else found
+
+
+def coding_path(docs: DataFrame, coding: list[str] | None, folder: str | None, industry: str | None) -> str:  # O-74
+    """The coding workbook: the one given, else that in a folder of workbooks whose name has the industry given, else the industry detected."""
+    if coding:
+        if len(coding) > 1:
+            raise ValueError("a statement needs one --coding")
+        return coding[0]
+    if not folder:
+        raise ValueError("a statement needs --coding, or --coding-dir")
+    named = industry or next((r.industry for r in classify.identity(docs).collect()), None)  # one folder
+    fitting = sorted(n for n in os.listdir(folder) if named and named in n and n.lower().endswith(".xlsx"))
+    if not fitting:
+        raise ValueError(f"no coding workbook for industry {named!r} in {folder}; name one with --coding, or --industry one of {', '.join(n for n, _ in dims.INDUSTRY_WORDS)}")
+    return f"file://{os.path.abspath(os.path.join(folder, fitting[0]))}"
+
+
+def official(docs: DataFrame, landing: str, transport: regulator.Transport = regulator.fetch, banks: DataFrame | None = None) -> DataFrame:
     """The regulator's table for the decks of banks that it names."""
-    named = classify.identity(docs).where(F.col("bank").isin(*dims.REGULATOR_NAMES)).select("folder")
+    named = (classify.identity(docs) if banks is None else banks).where(F.col("bank").isin(*dims.REGULATOR_NAMES)).select("folder")
     asked = named.join(deck.asked(docs), "folder", "left").select("year", "quarter").distinct().orderBy("year", "quarter")
     return regulator.for_quarters(docs.sparkSession, [tuple(r) for r in asked.collect()], landing, transport)  # as many as quarters
 
@@ -116,11 +141,17 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
     p.add_argument("--folder")
     p.add_argument("--terms", help="term file (JSON)")
     p.add_argument("--coding", action="append", help="coding workbook; repeated for several, whose codes tell filings")
-    p.add_argument("--sheet", help="regulator workbook")
+    p.add_argument("--coding-dir", help="folder of coding workbooks named after their industries")
+    p.add_argument("--industry", choices=[n for n, _ in dims.INDUSTRY_WORDS], help="industry, in place of the one detected")
+    p.add_argument("--bank", help="reporting bank, in place of the one detected")
+    p.add_argument("--sheet", help="regulator workbook to show as it is, in place of the published figures")
+    p.add_argument("--year", type=int, help="with --quarter: the quarter of the regulator's figures; the newest month without")
+    p.add_argument("--quarter", type=int, choices=[1, 2, 3, 4])
+    p.add_argument("--reports", help="folder for a report of each folder: workbooks, or CSV where the mode has no workbook")
     p.add_argument("--landing", default=LANDING, help="folder that keeps the regulator's files")
     p.add_argument("--period", type=int, default=1)
-    p.add_argument("--csv")
-    p.add_argument("--excel")
+    p.add_argument("--csv", help="one CSV file; in automatic mode a folder, with one for each folder")
+    p.add_argument("--excel", help="one workbook with a sheet for each folder")
     a = p.parse_args(argv)
     if a.period < 1:
         p.error("--period counts from 1")
@@ -129,18 +160,18 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
     if a.what[0] == "acct":
         docs, mode = documents.scan(spark, a.what[1]), a.what[2]
         if mode == "summary":
-            out, kind = summary.filing_summary(docs, period=a.period).orderBy("folder", "ord").persist(), "filing"
+            out, kind = summary.filing_summary(docs, period=a.period, banks=known(docs, a.bank, a.industry)).orderBy("folder", "ord").persist(), "filing"
             warn_of_gaps(out)
         elif mode == "ratios":
             out = ratios(docs).persist()
             one = out.select("used_fallback").first()
             kind = "ratio_error" if one is None else "ratio_fallback" if one.used_fallback else "ratios"
         elif mode in dims.STATEMENTS or mode == "all":
-            if not a.coding:
-                p.error("a statement needs --coding")
-            if len(a.coding) > 1:
-                p.error("a statement needs one --coding")
-            rows = statements(docs, a.coding[0], list(dims.STATEMENTS) if mode == "all" else [mode], a.period)
+            try:
+                coding = coding_path(docs, a.coding, a.coding_dir, a.industry)
+            except ValueError as e:
+                p.error(str(e))
+            rows = statements(docs, coding, list(dims.STATEMENTS) if mode == "all" else [mode], a.period)
             out, kind = rows.drop("section"), "statement"
             if mode == "all":
                 order = F.when(F.col("section") == "ratios", len(dims.STATEMENTS)).otherwise(F.array_position(F.array(*map(F.lit, dims.STATEMENTS)), F.col("section")) - 1)
@@ -151,14 +182,17 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
         docs, names = documents.scan(spark, a.folder), a.what[1:]
         terms = dims.load_terms(a.terms) if a.terms else dims.curated_terms()
         if names in ([], ["summary"]):
-            out, kind = deck.deck_summary(docs, official(docs, a.landing, transport)).orderBy("folder", "ord"), "deck"
+            banks = known(docs, a.bank)
+            out, kind = deck.deck_summary(docs, official(docs, a.landing, transport, banks), banks).orderBy("folder", "ord"), "deck"
         else:
             unknown = [n for n in names if n not in terms]
             if unknown:
                 raise KeyError(f"unknown terms: {unknown}")
             out, kind = matching.all_matches(X.doc_lines(docs), [terms[n] for n in names]), "matches"
     elif a.what[0] == "npl":
-        out = workbooks.read_grid(spark, a.sheet)
+        if (a.year is None) != (a.quarter is None):
+            p.error("--year and --quarter go together")
+        out = workbooks.read_grid(spark, a.sheet) if a.sheet else regulator.for_quarters(spark, [(a.year, a.quarter)], a.landing, transport).orderBy("bank")
     else:
         once: dict[str, str] = {}
         for f in a.what:
@@ -173,13 +207,37 @@ def main(argv: list[str] | None = None, transport: regulator.Transport = regulat
             if f.rstrip("/") not in there:
                 print(f"skipped {f}: no .md file", file=sys.stderr)
         out = auto(docs, codes, a.landing, transport)
+        out = out.persist()
         if a.excel:
             print(files.write_workbook(sheets_of(out, folders[0]), a.excel))
-            return
+        each = out if "place" not in out.columns else out.withColumn("folder", F.lit(folders[0])).withColumn("pos", F.col("place") * 2 + F.col("side"))
+        each = each.select("folder", "pos", *reports.WORKBOOK)
+        if a.csv:
+            reports.write_reports(each, uri(a.csv), "csv", ["pos"])
+        if a.reports:
+            reports.write_reports(each, uri(a.reports), "xlsx", ["pos"])
+        if not (a.csv or a.excel or a.reports):
+            show(out)
+        return
     if a.csv and kind:
         files.write_report(kind, out, a.csv)
-    else:
-        out.show(200, truncate=False)
+    if a.reports and kind:
+        if kind.startswith("ratio_"):
+            p.error("an approximated ratio table goes to --csv")
+        reports.write_reports(files.with_folder(kind, out), uri(a.reports), "csv", [files.ORDER])
+    if not (a.csv or a.reports):
+        show(out)
+
+
+def uri(path: str) -> str:
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
+
+
+def show(out: DataFrame) -> None:
+    """All rows as a table, lists as text."""
+    flat = out.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in out.dtypes])
+    for line in console.printed(flat):
+        print(line)
 
 
 if __name__ == "__main__":

@@ -75,7 +75,7 @@ def columns_by_bank(grid: DataFrame, bank_header: str, headers: DataFrame, banks
     spark = grid.sparkSession
     at = header_column(grid, headers.unionByName(spark.createDataFrame([(bank_header,)], "header string")))
     place = at.where(F.col("header") == bank_header).select("sheet", "c")
-    names = grid.join(F.broadcast(place), ["sheet", "c"]).withColumn("bank", T.strip(F.col("value"))).join(F.broadcast(banks), "bank", "left_semi")
+    names = grid.join(F.broadcast(place), ["sheet", "c"]).withColumn("bank", T.strip(F.col("value"))).join(banks, "bank", "left_semi")
     first = names.groupBy("sheet", "bank").agg(F.min("r").alias("r"))
     value = first.join(F.broadcast(at.where(F.col("header") != bank_header)), "sheet").join(grid, ["sheet", "r", "c"], "left").select("bank", "header", parse_plain(F.col("value")).alias("value"))
     every = banks.select("bank", F.explode(F.array(*[F.lit(h.header) for h in headers.distinct().collect()])).alias("header"))
@@ -107,5 +107,8 @@ def period_links(pages: DataFrame, extension: str, pattern: str) -> DataFrame:
     return x.groupBy("page_url", "y", "m").agg(F.max_by("url", "pos").alias("url"))
 
 
-def first_window(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:  # O-143
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def page_links(pages: DataFrame) -> DataFrame:  # O-10, O-36
+    """page_url, pos, url, name for every link of pages (page_url, html): in page order, with the decoded last part of its path."""
+    hrefs = pages.select("page_url", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("pos", "url"))
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    return hrefs.select("page_url", "pos", "url", F.try_url_decode(F.element_at(F.split(bare, "/"), -1)).alias("name"))

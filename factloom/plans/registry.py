@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, oracles, queries
+from . import cases, oracles, queries, tabled
 
-QUERIES = {**cases.QUERIES, **queries.QUERIES}
-ORACLES = {**cases.ORACLES, **oracles.ORACLES}
+QUERIES = {**cases.QUERIES, **queries.QUERIES, **tabled.QUERIES}
+ORACLES = {**cases.ORACLES, **oracles.ORACLES, **tabled.ORACLES}

@@ -75,3 +75,54 @@ def test_all_statements_and_an_approximated_ratio(spark, tmp_path, monkeypatch):
     cli.main(["acct", str(folder), "ratios", "--csv", str(out)])
     assert len(read()) == 1 and read()[0].startswith("error,")
     spark.catalog.clearCache()
+
+
+DECK = "# 玉山金控 2025年第四季法人說明會\n## 放款結構\n單位：新台幣百萬元\n| 項目 | 4Q24 | 4Q25 |\n|---|---|---|\n| 企業放款 | 1000 | 1050 |\n"
+
+
+def refused(url, timeout):
+    raise OSError("no network")
+
+
+@pytest.fixture
+def deck_folder(tmp_path):
+    (tmp_path / "deck").mkdir()
+    (tmp_path / "deck" / "001.md").write_text(DECK)
+    return tmp_path
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_all_rows_are_printed_and_reports_written(spark, deck_folder, capsys):
+    at = str(deck_folder / "deck")
+    cli.main([at, "--landing", str(deck_folder / "l")], refused)
+    lines = [line for line in capsys.readouterr().out.splitlines() if line.strip()]
+    assert len(lines) == 13 and lines[0].startswith("folder") and any("企業放款" in line and "1.05" in line for line in lines)
+    cli.main([at, "--landing", str(deck_folder / "l"), "--csv", str(deck_folder / "c"), "--reports", str(deck_folder / "r"), "--excel", str(deck_folder / "x.xlsx")], refused)
+    made = {p.suffix for d in ("c", "r") for p in (deck_folder / d).iterdir()}
+    assert made == {".csv", ".xlsx"} and (deck_folder / "x.xlsx").exists()
+    cli.main(["call", "summary", "--folder", at, "--landing", str(deck_folder / "l"), "--reports", str(deck_folder / "k"), "--bank", "玉山"], refused)
+    (only,) = (deck_folder / "k").iterdir()
+    text = only.read_text(encoding="utf-8-sig").splitlines()
+    assert len(text) == 13 and text[0] == "row,term,value,label_in_doc,period,page,note"
+    spark.catalog.clearCache()
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_npl_shows_the_published_figures(spark, tmp_path, capsys):
+    cli.main(["npl", "--landing", str(tmp_path / "l"), "--year", "2025", "--quarter", "4"], refused)
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 1 + len(dims.REGULATOR_NAMES) and "N/A" in lines[1]
+    with pytest.raises(SystemExit):
+        cli.main(["npl", "--year", "2025"], refused)
+
+
+def test_coding_workbooks_are_found_by_industry(spark, tmp_path):
+    docs = ordered(spark.createDataFrame([("f", "1.md", "玉山商業銀行股份有限公司")], "folder string, path string, content string"))
+    for name in ("代碼-金融業.xlsx", "代碼-保險業.xlsx", "notes.txt"):
+        (tmp_path / name).write_bytes(b"")
+    assert cli.coding_path(docs, None, str(tmp_path), None).endswith("代碼-金融業.xlsx")
+    assert cli.coding_path(docs, None, str(tmp_path), "保險業").endswith("代碼-保險業.xlsx")
+    assert cli.coding_path(docs, ["x.xlsx"], str(tmp_path), "保險業") == "x.xlsx"
+    with pytest.raises(ValueError, match="金控業"):
+        cli.coding_path(docs, None, str(tmp_path), "金控業")
+    assert [r.bank for r in cli.known(docs, "中國信託").collect()] == ["中信"] and cli.known(docs, None) is None
