@@ -652,3 +652,29 @@ def test_a_word_that_is_a_token_is_taken_whole(spark):
     enc = tiktoken.Encoding("own", pat_str=bpe.QUICK_PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in bpe.encoded(docs, ranks, bpe.QUICK_PATTERN).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text)
+
+
+def test_a_dense_cluster_is_compared_once(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre / np.linalg.norm(centre) + rng.normal(size=(700, 64)) * 0.021, rng.normal(size=(60, 64))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    for block in (lattice.BLOCK, 100):
+        found = {r.vec_id: r for r in lattice.near_duplicates(rows, block=block).collect()}
+        assert [found[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+        assert {found[i].component_id for i in range(700)} == {0} and all(found[i].kept == (near[i].sum() == 0 or i == 0) for i in range(len(x)))
+
+
+def test_groups_of_cells_keep_all_pairs(spark):
+    rng = random.Random(12)
+    cells = [(v, c) for v in range(120) for c in {rng.randrange(40) if v % 2 else rng.randrange(4) for _ in range(6)}]
+    sizes = Counter(c for _, c in cells)
+    members = spark.createDataFrame([(v, c, sizes[c]) for v, c in cells if sizes[c] > 1], "v long, key long, n long")
+    pairs = lambda rows: {(a, b) for k in {c for _, c in rows} for a, b in itertools.combinations(sorted(v for v, c in rows if c == k), 2)}
+    got = [(r.v, r.key) for r in lattice.grouped_cells(members).collect()]
+    assert pairs(got) >= pairs([(v, c) for v, c in cells]) and len(got) < len(cells)
+    assert all(r.n == sum(k == r.key for _, k in got) for r in lattice.grouped_cells(members).collect())
