@@ -90,7 +90,7 @@ class GridReader(DataSourceReader):
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.uri)
-        for path in partition.value:
+        for path in partition.value if partition else ():  # without files there is one partition, of None
             with store.open_input_file(path) as f:
                 data = f.read()
             for row in cells(data, self.merged):
