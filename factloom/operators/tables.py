@@ -126,12 +126,17 @@ def tables(lines: DataFrame) -> DataFrame:
 
 
 def row_sections(rows: Column) -> Column:  # O-68
-    """For each row of an array of rows, the label of the nearest bare row before it; null on a bare row."""
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("out"))
+    """For each row of an array of rows, the label of the nearest bare row before it; null on a bare row.
 
-    def step(a: Column, r: Column) -> Column:
-        bare = (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != "") & F.forall(F.slice(r, 2, 1 << 20), lambda c: c == "")
-        now = F.when(bare, F.get(r, F.lit(0))).otherwise(a.now)
-        return F.struct(now.alias("now"), F.concat(a.out, F.array(F.when(~bare, a.now))).alias("out"))
+    Each bare row's label is repeated up to the next bare row, so the work grows with the rows.
+    """
+    is_bare = lambda r: (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != "") & F.forall(F.slice(r, 2, 1 << 20), lambda c: c == "")
+    bare = F.filter(F.transform(rows, lambda r, i: F.when(is_bare(r), F.struct(i.alias("at"), F.get(r, F.lit(0)).alias("label")))), lambda x: x.isNotNull())
+
+    def filled(found: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), lambda x: x.at), F.array(F.size(rows)))
+        runs = F.zip_with(F.slice(found, 1, F.size(found)), F.slice(ends, 1, F.size(found)), lambda x, end: F.array_repeat(x.label, end - x.at))
+        first = F.coalesce(F.get(found, F.lit(0)).at, F.size(rows))
+        return F.concat(F.array_repeat(F.lit(None).cast("string"), first), F.flatten(runs))
 
-    return F.aggregate(rows, start, step, lambda a: a.out)
+    return F.zip_with(rows, T.let(bare, filled), lambda r, label: F.when(~is_bare(r), label))

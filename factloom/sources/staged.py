@@ -7,12 +7,17 @@ executor.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder that the session names; where it names none in local mode (tests), a temporary one."""
@@ -22,7 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no shared folder, and a cluster has no other")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"factloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_leave, spark)
+    _MADE.append(path)
+    return path
+
+
+def _leave(spark: SparkSession) -> None:
+    """Deletes the staged tables of this process: results are read from them until it ends, and nobody else knows them."""
+    for path in _MADE:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
