@@ -112,11 +112,10 @@ def auto(docs: DataFrame, codes: DataFrame, landing: str = LANDING, transport: r
     for r in classify.identity(filing).collect():
         if r.bank is None or r.industry not in dims.BANKING:
             print(f"skipped {r.folder}: {r.message or f'no summary layout for industry {r.industry}'}", file=sys.stderr)
-    pair = [sum((k or "").startswith("fin") for k in by.values()), sum(k == "con_call" for k in by.values())] == [1, 1]
+    pair = classify.paired(docs.sparkSession.createDataFrame(list(by.items()), "folder string, kind string")).first()
     ratios = None
     if pair:
-        name = next(f for f, k in by.items() if k != "con_call")
-        ratios = deck.deck_ratios(talk).withColumn("folder", F.lit(name))
+        ratios = deck.deck_ratios(talk).withColumn("folder", F.lit(pair.filing))
     kinds = {"full": [f for f, k in by.items() if k == "fin_report"], "summarised": [f for f, k in by.items() if k == "fin_report_summary"]}
     filings = [summary.filing_summary(filing.where(F.col("folder").isin(fs)), kind, deck_ratios=ratios) for kind, fs in kinds.items() if fs or kind == "full"]
     told = reduce(DataFrame.unionByName, filings).persist()

@@ -28,6 +28,14 @@ def bank_candidates(text: Column, industry_name: Column) -> Column:  # O-112: al
     return F.array_compact(F.array(*named))
 
 
+def resolved(names: DataFrame) -> DataFrame:  # O-114
+    """names (name) with bank: the entity whose own name or alias it is, the first in order of entities; null for an unknown name."""
+    spark = names.sparkSession
+    known = dims.aliases(spark).select("bank", "bank_ord", "alias").union(dims.aliases(spark).select("bank", "bank_ord", F.col("bank")).distinct())
+    one = known.groupBy("alias").agg(F.min_by("bank", "bank_ord").alias("bank"))
+    return names.join(F.broadcast(one.withColumnRenamed("alias", "name")), "name", "left")
+
+
 def identity(docs: DataFrame) -> DataFrame:
     """folder, industry, candidates, bank: the bank only when exactly one is named; else message says why."""
     x = T.computed(first_files(docs), industry=industry(F.col("text"))).withColumn("candidates", bank_candidates(F.col("text"), F.col("industry"))).drop("text")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import period as P
 from ..functions import text as T
-from ..operators import deck, grid, matching, merged, profitability, rules
+from ..operators import classify, deck, grid, matching, merged, profitability, rules
 from ..operators import tables as X
-from ..sinks import console, reports
-from ..sources import workbooks
-from ..sources.documents import ordered
+from ..sinks import console, files, markdown, reports
+from ..sources import documents, workbooks
 from ..sources.staged import shared_dir
+from ..streaming import facts
 from . import dims
 from . import rendered as R
 
@@ -218,7 +218,110 @@ def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return console.laid_out(x, ["name", "segment", "nation"], ["c_custkey"])
 
 
-QUERIES = {f.__name__: f for f in (number_cells, period_labels, period_preference, statement_dates, clean_labels, entity_tiers, ratio_priority, ratio_table, lone_candidates, deck_regulator, page_links, coding_sheets, regulator_columns, rule_violations, paths_once, terms_by_automaton, report_roundtrip, console_lines)}
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """Two files for each supplier, one in a subfolder named like the root, one with bytes that are no UTF-8; the root's URI."""
+    s = R.table(spark, sf_dir, "supplier").withColumn("folder", F.format_string("s%06d", "s_suppkey"))
+    one = F.concat(F.col("s_name").cast("binary"), F.lit(b"\xff\n\n 2 "), F.col("s_nationkey").cast("string").cast("binary"), F.lit(b"\r\n"))
+    two = F.concat(F.lit("# head\n"), F.repeat(F.lit("| a | b |\n"), F.pmod("s_suppkey", F.lit(5)).cast("int"))).cast("binary")
+    files = F.array(F.struct(F.lit("b é+%41.md").alias("path"), one.alias("content")), F.struct(F.lit("docs/a.md").alias("path"), two.alias("content")), F.struct(F.lit("c.txt").alias("path"), two.alias("content")))
+    uri = f"{shared_dir(spark)}/docs"
+    markdown.write_documents(s.select("folder", F.explode(files).alias("f")).select("folder", "f.path", "f.content"), uri)
+    return uri
+
+
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root as one document set: a file's place, name and text."""
+    return documents.scan(spark, _files(spark, sf_dir)).select("file_ord", "file_name", F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
+def scanned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.scan_lines(spark, _files(spark, sf_dir)).select("file_ord", "file_name", "line_no", "line")
+
+
+def streamed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances in files of 50 for each nation: read, then every third file changed, every fifth customer's nation given one more file, and only these read again."""
+    c = R.table(spark, sf_dir, "customer").withColumns({"k": F.col("c_custkey"), "b": F.floor(F.col("c_custkey") / 50)})
+
+    def files(factor: Column, some: Column, name: str) -> DataFrame:
+        line = R.pipe(F.format_string("C%06d", "k"), F.col("c_name"), F.round(F.col("c_acctbal") * factor).cast("long"))
+        rows = R.grouped_rows(c.where(some), ["c_nationkey", "b"], "k", line)
+        return rows.select(F.format_string("n%02d", "c_nationkey").alias("folder"), F.format_string(name, "b").alias("path"), R.text("| 代碼 | 項目 | 金額 |", "|--|--|--|", F.col("rows")).alias("content"))
+
+    base = shared_dir(spark)
+    root, landing, sink = (f"{base}/{n}" for n in ("root", "landing", "sink"))
+    for number, new in enumerate((files(F.lit(1), F.lit(True), "f%05d.md"), files(F.lit(10), F.col("b") % 3 == 0, "f%05d.md").unionByName(files(F.lit(7), F.col("k") % 5 == 0, "a/%05d.md")))):
+        markdown.write_documents(new, root)
+        facts.parse_changed(spark, root, landing)
+        facts.fold(spark, landing, f"{base}/checkpoint", sink).awaitTermination()
+    return facts.facts(spark, sink)
+
+
+def csv_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of suppliers' parts in four shapes, written by tasks as a file for each supplier, and read back."""
+    li = R.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("value"))
+    k = F.col("l_partkey")
+    rows = li.select(
+        F.format_string("s%06d", "l_suppkey").alias("folder"), k.cast("string").alias("code"), F.concat(F.lit("零件, "), k).alias("name"), F.concat(F.lit('say "'), k, F.lit('"')).alias("label_in_doc"), F.when(k % 4 > 0, F.col("value")).alias("value"), F.lit("high").alias("confidence"),
+        F.format_string("%03d_x.md", F.pmod(k, F.lit(100))).alias("file_name"), k.cast("string").alias("term"), F.concat(F.lit("label "), k).alias("matched_label"), (k % 3 == 0).alias("is_percent"), F.when(k % 2 == 0, F.col("value") / 8).alias("crosscheck_value"), F.when(k % 6 == 0, "noted").otherwise("").alias("note"), F.lit("4Q25").alias("period_label"),
+    )
+    rows = rows.withColumn("source_file", F.col("file_name"))
+    out, base = None, shared_dir(spark)
+    for kind in ("statement", "filing", "deck", "matches"):
+        reports.write_reports(files.with_folder(kind, rows), f"{base}/{kind}", "csv", [files.ORDER])
+        read = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(f"{base}/{kind}")
+        key = F.col("code" if kind == "statement" else "term")
+        folder = F.regexp_extract(F.input_file_name(), r"(s\d{6})-", 1)
+        label = {"statement": "label_in_doc", "filing": "term_found", "deck": "label_in_doc", "matches": "label_in_doc"}[kind]
+        one = read.select(F.lit(kind).alias("kind"), folder.alias("folder"), key.cast("long").alias("part"), F.col(label).alias("label"), "value", "page", (F.col("note") if "note" in read.columns else F.lit(None).cast("string")).alias("note"), (F.col("crosscheck_value") if kind == "filing" else F.lit(None).cast("string")).alias("checked"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as the terms of a JSON file, looked for in a table of each supplier: every match with its period."""
+    import json
+    import os
+    import tempfile
+
+    p = R.table(spark, sf_dir, "part")
+    brands = sorted(r[0] for r in p.select("p_brand").distinct().limit(1000).collect())  # a term file is small
+    with tempfile.TemporaryDirectory() as at:
+        path = os.path.join(at, "terms.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({"_remark": 1} | {b: {"aliases": [f"{b.lower()} total"], "negative_terms": ["gone"]} for b in brands}, f)
+        terms = dims.load_terms(path)
+    s = R.table(spark, sf_dir, "supplier")
+    x = s.join(p, s.s_suppkey == p.p_partkey - 1)
+    docs = R.documents(x, F.format_string("s%06d", "s_suppkey"), "001.md", R.text("| 項目 | 4Q24 | FY24 |", "|--|--|--|", R.pipe(F.concat("p_brand", F.lit(" total")), F.col("p_size"), F.col("p_size") + 1), R.pipe(F.concat("p_brand", F.lit(" total, gone")), "1", "2")))
+    found = matching.all_matches(X.doc_lines(docs), list(terms.values()))
+    return found.select("folder", "term", "value", "period_label", "strength")
+
+
+def deck_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROA and ROE of suppliers' decks, of the latest quarter or, for every third, only a year."""
+    s = R.table(spark, sf_dir, "supplier")
+    head = F.when(F.pmod("s_suppkey", F.lit(3)) == 0, "| 項目 | FY23 | FY24 |").otherwise("| 項目 | FY25 | 4Q25 |")
+    v = lambda a, b: F.concat(F.col("s_nationkey") + a, F.lit(b))
+    docs = R.documents(s, F.format_string("s%06d", "s_suppkey"), "001.md", R.text("## 獲利能力", head, "|--|--|--|", R.pipe("ROA", v(1, ".5"), v(2, ".25")), R.pipe("ROE", v(11, ".5"), F.when(F.pmod("s_suppkey", F.lit(4)) > 0, v(12, ".25%")).otherwise("-"))))
+    banks = s.select(F.format_string("s%06d", "s_suppkey").alias("folder"), F.lit(None).cast("string").alias("bank"))
+    return deck.deck_ratios(docs, banks).select("folder", "roa", "roe")
+
+
+def bank_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' banks by name, alias or neither."""
+    c = R.table(spark, sf_dir, "customer")
+    name = _of("c_custkey", "玉山", "中國信託", "台北富邦", "無此銀行", "臺新", "國泰", "c_name")
+    return classify.resolved(c.select("c_custkey", F.when(name == "c_name", F.col("c_name")).otherwise(name).alias("name"))).select("c_custkey", "name", "bank")
+
+
+def shown_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals grouped by thousands and in billions, their ROC year and quarter's last month, and which lines are of a table of contents."""
+    o = R.table(spark, sf_dir, "orders")
+    line = _of("o_orderkey", F.concat(F.lit("一、財務報告 "), "o_custkey"), F.concat(F.lit("十二. 附註"), F.repeat(F.lit("…"), 5), "o_custkey", F.lit("-")), "一、財務報告", F.concat(F.lit("1、財務報告 "), "o_custkey"))
+    return o.select("o_orderkey", N.format_value(F.floor("o_totalprice").cast("double")).alias("grouped"), N.thousands_to_billions(F.col("o_totalprice")).alias("billions"), N.roc_year(F.year("o_orderdate")).alias("roc"), N.quarter_end_month(F.quarter("o_orderdate")).alias("month"), T.is_toc_like(line).alias("contents"), N.add_all(F.col("o_totalprice"), F.when(F.col("o_orderkey") % 3 > 0, F.lit(1.0))).alias("added"))
+
+
+QUERIES = {f.__name__: f for f in (number_cells, period_labels, period_preference, statement_dates, clean_labels, entity_tiers, ratio_priority, ratio_table, lone_candidates, deck_regulator, page_links, coding_sheets, regulator_columns, rule_violations, paths_once, terms_by_automaton, report_roundtrip, console_lines, scanned_files, scanned_lines, streamed_facts, csv_reports, term_matches, deck_figures, bank_names, shown_amounts)}
 
 _LABELS = """WITH o AS (
   SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, o_orderkey % 8 AS f, strftime(o_orderdate, '%b') AS mon FROM orders
@@ -287,4 +390,24 @@ FROM lineitem GROUP BY l_suppkey, l_partkey""",
   SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '銀行　' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'N/A' END AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer
 ), w AS (SELECT *, length(name) + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END AS wide, max(wide) OVER () AS a, max(length(segment)) OVER () AS b FROM x)
 SELECT c_custkey, name || repeat(' ', a - wide) || '  ' || rpad(segment, CAST(b AS INT), ' ') || '  ' || nation AS line FROM w""",
+    "scanned_files": """SELECT CAST(row_number() OVER (ORDER BY folder, name) AS INT) AS file_ord, CASE name WHEN 'b' THEN 'b é+%41.md' ELSE 'a.md' END AS file_name, md5(content) AS md5 FROM (
+  SELECT printf('s%06d', s_suppkey) AS folder, 'b' AS name, s_name || chr(10) || chr(10) || ' 2 ' || s_nationkey || chr(13) || chr(10) AS content FROM supplier
+  UNION ALL SELECT printf('s%06d', s_suppkey), 'docs', '# head' || chr(10) || repeat('| a | b |' || chr(10), s_suppkey % 5) FROM supplier)""",
+    "scanned_lines": """WITH f AS (
+  SELECT s_suppkey, s_name, s_nationkey, CAST(2 * (row_number() OVER (ORDER BY s_suppkey) - 1) AS INT) AS n FROM supplier)
+SELECT n + 1 AS file_ord, 'b é+%41.md' AS file_name, 0 AS line_no, s_name AS line FROM f UNION ALL SELECT n + 1, 'b é+%41.md', 1, '2 ' || s_nationkey FROM f
+UNION ALL SELECT n + 2, 'a.md', 0, '# head' FROM f UNION ALL SELECT n + 2, 'a.md', CAST(i AS INT), '| a | b |' FROM (SELECT n, unnest(range(1, s_suppkey % 5 + 1)) AS i FROM f)""",
+    "streamed_facts": """SELECT printf('n%02d', c_nationkey) AS folder, printf('C%06d', c_custkey) AS code, c_name AS label, CAST(round(c_acctbal * CASE WHEN c_custkey % 5 = 0 THEN 7 WHEN (c_custkey // 50) % 3 = 0 THEN 10 ELSE 1 END) AS DOUBLE) AS value,
+  printf(CASE WHEN c_custkey % 5 = 0 THEN '%05d.md' ELSE 'f%05d.md' END, c_custkey // 50) AS file_name FROM customer""",
+    "csv_reports": """WITH x AS (SELECT printf('s%06d', l_suppkey) AS folder, l_partkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey, l_partkey),
+v AS (SELECT *, CASE WHEN k % 4 > 0 THEN q END AS value, format('{:03d}', k % 100) AS page FROM x)
+SELECT 'statement' AS kind, folder, k AS part, 'say "' || k || '"' AS label, coalesce(format('{:,}', CAST(value AS BIGINT)), 'N/A') AS value, page, NULL AS note, NULL AS checked FROM v
+UNION ALL SELECT 'filing', folder, k, 'label ' || k, CASE WHEN value IS NULL THEN 'N/A' WHEN k % 3 = 0 THEN printf('%.2f%%', value) ELSE format('{:,}', CAST(value AS BIGINT)) END, page, CASE WHEN k % 6 = 0 THEN 'noted' END, CASE WHEN k % 6 = 0 THEN printf('%.2f%%', q / 8) END FROM v
+UNION ALL SELECT 'deck', folder, k, 'label ' || k, CAST(value AS VARCHAR), page, CASE WHEN k % 6 = 0 THEN 'noted' END, NULL FROM v
+UNION ALL SELECT 'matches', folder, k, 'label ' || k, CAST(value AS VARCHAR), page, NULL, NULL FROM v""",
+    "term_matches": "SELECT printf('s%06d', s_suppkey) AS folder, p_brand AS term, CAST(p_size + 1 AS DOUBLE) AS value, 'FY24' AS period_label, 3 AS strength FROM supplier JOIN part ON p_partkey = s_suppkey + 1",
+    "deck_figures": """SELECT printf('s%06d', s_suppkey) AS folder, s_nationkey + 2.25::DOUBLE AS roa, CASE WHEN s_suppkey % 4 > 0 THEN s_nationkey + 12.25 ELSE s_nationkey + 11.5 END::DOUBLE AS roe FROM supplier""",
+    "bank_names": """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '玉山' WHEN 1 THEN '中國信託' WHEN 2 THEN '台北富邦' WHEN 3 THEN '無此銀行' WHEN 4 THEN '臺新' WHEN 5 THEN '國泰' ELSE c_name END AS name,
+  CASE c_custkey % 7 WHEN 0 THEN '玉山' WHEN 1 THEN '中信' WHEN 2 THEN '北富銀' WHEN 4 THEN '台新' WHEN 5 THEN '國泰' END AS bank FROM customer""",
+    "shown_amounts": """SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS grouped, o_totalprice / 1e6 AS billions, CAST(year(o_orderdate) - 1911 AS INT) AS roc, CAST(quarter(o_orderdate) * 3 AS INT) AS month, o_orderkey % 4 < 2 AS contents, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice + 1 END AS added FROM orders""",
 }
