@@ -566,7 +566,8 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, decode: b
     """doc_id, ids for every row of docs (doc_id, text): ids as little-endian unsigned 32-bit integers in one binary.
 
     With decode also `decoded`: the bytes that these ids decode to, by the same task, so no ids travel for it.  A null or
-    empty text has empty ids; repeated rows are encoded each; other columns are ignored.
+    empty text has empty ids; repeated rows are encoded each; other columns are ignored; an empty table gives an empty
+    result.  Texts of any length are encoded whole.
     """
     small_batches(docs.sparkSession)
     # a bucket holds its distinct words in a task's memory, so there are as many as the text asks for

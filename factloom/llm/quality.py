@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
 
 
 def score(text: Column, model: QualityModel) -> Column:
-    """Probability of label 1 for a text column; a null or empty text gets the bias alone."""
+    """Probability of label 1 for a text column, by the text alone: repeated texts get one score, a null or empty text the bias alone."""
 
     @F.arrow_udf("double")
     def quality_score(texts: pa.Array) -> pa.Array:

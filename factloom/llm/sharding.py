@@ -37,7 +37,11 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 
 def sharded(rows: DataFrame, key: str, weights: Sequence[float] = (1.0,) * SHARDS, grown_by: float = 1.0) -> DataFrame:
-    """rows with shard, and grown_shard: where the key goes once a shard of weight grown_by is added."""
+    """rows with shard, and grown_shard: where the key goes once a shard of weight grown_by is added.
+
+    Both follow from the key alone: repeated rows and rows of one key go to one shard, a null key is a key of its own.  An
+    empty table stays empty.  Columns of rows named shard or grown_shard are replaced; others stay as they are.
+    """
     best, extra = F.array_min(F.array(*[_scored(F.col(key), s, w) for s, w in enumerate(weights)])), _scored(F.col(key), len(weights), grown_by)
     plain = without(rows, "shard", "grown_shard")
     name = fresh_name(plain, "_best")

@@ -22,13 +22,13 @@ def _scored(docs: DataFrame, score: Column, keep: Callable[[Column], Column]) ->
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose toxicity score is 0.7 or more.  A null or empty text has the score of an empty one; repeated rows go or stay together."""
+    """Without documents whose toxicity score is 0.7 or more.  A null or empty text has the score of an empty one; repeated rows go or stay together; texts are scored whole, and other columns come back as they were."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, toxicity.score(F.col("text"), model), lambda s: s < THRESHOLD)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose quality score is below 0.7.  A null or empty text has the score of an empty one; repeated rows go or stay together."""
+    """Without documents whose quality score is below 0.7.  A null or empty text has the score of an empty one; repeated rows go or stay together; texts are scored whole, and other columns come back as they were."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, quality.score(F.col("text"), model), lambda s: s >= THRESHOLD)
 
@@ -72,7 +72,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed) of every document, with proof that they decode to its text: text_sha256 of the decoded bytes."""
+    """doc_id, n_tokens, ids (packed) of every document, with proof that they decode to its text: text_sha256 of the decoded bytes.
+
+    Other columns are left out.  Texts of any length are encoded whole; a null text counts as empty.
+    """
     import public_tokenizers
 
     ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -312,7 +312,8 @@ def _gzip(data: bytes) -> bytes:
 def archived(pages: DataFrame, **options) -> DataFrame:
     """Writes pages to a new folder and reads the records back.
 
-    The files of attempts that succeeded are named by a manifest table beside them; those of others are never read.
+    The files of attempts that succeeded are named by a manifest table beside them; those of others are never read.  An
+    empty table gives an empty archive and no records.
     """
     spark = pages.sparkSession
     small_batches(spark)
