@@ -77,15 +77,19 @@ def with_orientation(tables: DataFrame) -> DataFrame:  # O-134
         tables, header_periods=F.transform("header", P.parse_period_label), row_periods=F.transform("rows", lambda r: F.transform(F.slice(r, 1, 3), P.parse_period_label))
     )
 
+    rest = F.size(F.filter(F.slice("header", 2, 1 << 20), lambda c: c != ""))
+    hits = F.size(F.filter(F.slice("header_periods", 2, 1 << 20), lambda p: p.isNotNull()))
+    parsed = T.computed(parsed, header_votes=(hits > 0) & (2 * hits >= rest))
+
     def votes(col: int) -> Column:
         cells = F.size(F.filter("rows", lambda r: F.coalesce(F.get(r, F.lit(col)), F.lit("")) != ""))
         hits = F.size(F.filter("row_periods", lambda r: F.get(r, F.lit(col)).isNotNull()))
-        return F.when((hits > 0) & (2 * hits >= cells), F.struct(hits.alias("hits"), F.lit(-col).alias("at")))
+        # below a period of a header of periods stand figures, though some look like years
+        figures = F.col("header_votes") & F.get("header_periods", F.lit(col)).isNotNull() if col else F.lit(False)
+        return F.when((hits > 0) & (2 * hits >= cells) & ~figures, F.struct(hits.alias("hits"), F.lit(-col).alias("at")))
 
     best = F.array_max(F.array(*[votes(c) for c in range(3)]))
-    rest = F.size(F.filter(F.slice("header", 2, 1 << 20), lambda c: c != ""))
-    hits = F.size(F.filter(F.slice("header_periods", 2, 1 << 20), lambda p: p.isNotNull()))
-    voted = T.computed(parsed, period_col=-best["at"], header_votes=(hits > 0) & (2 * hits >= rest))
+    voted = T.computed(parsed, period_col=-best["at"])
     return voted.withColumn("by_column", F.col("period_col").isNull() & F.col("header_votes")).drop("header_votes")
 
 
