@@ -49,7 +49,8 @@ def strengths(labels: DataFrame, terms: list) -> DataFrame:  # O-22, O-83, O-108
     known = spark.createDataFrame([(i, *u, len(w)) for i, w in enumerate(patterns) for u in uses[w]] + [(-1, *u, 0) for u in empty], "pattern int, number int, role string, part int, weight double, length int")
     facts = spark.createDataFrame([(i, t.name, t.threshold) for i, t in enumerate(terms)], "number int, term string, threshold double")
     text = F.lower(F.coalesce("label", F.lit("")))
-    each = labels.select("label").distinct().select("label", F.length(T.strip(text)).alias("chars"), F.concat(F.array(F.lit(-1)), M.found(text, M.automaton(patterns))).alias("hits"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # asked for by number, as labels are small for the work that they make
+    each = labels.select("label").repartition(tasks, "label").distinct().select("label", F.length(T.strip(text)).alias("chars"), F.concat(F.array(F.lit(-1)), M.found(text, M.automaton(patterns))).alias("hits"))
     hits = each.select("label", "chars", F.explode("hits").alias("pattern")).join(F.broadcast(known), "pattern")  # as many rows as the terms have wordings
     role = lambda r, c=F.lit(True): F.max((F.col("role") == r) & c)
     parts = F.array_sort(F.collect_set(F.when(F.col("role") == "part", F.struct("part", "weight"))))

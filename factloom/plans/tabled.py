@@ -12,7 +12,7 @@ from ..operators import classify, deck, grid, matching, merged, profitability, r
 from ..operators import tables as X
 from ..sinks import console, files, markdown, reports
 from ..sources import documents, workbooks
-from ..sources.staged import shared_dir
+from ..sources.staged import shared_dir, staged
 from ..streaming import facts
 from . import dims
 from . import rendered as R
@@ -187,7 +187,7 @@ def terms_by_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of parts and words of documents against many wordings at once: matches by term and strength."""
     p = R.table(spark, sf_dir, "part").select(F.col("p_type").alias("label"))
     d = R.table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("label"))
-    labels = p.union(d).where("label <> ''").groupBy("label").agg(F.count("*").alias("n"))
+    labels = staged(p.union(d).where("label <> ''").groupBy("label").agg(F.count("*").alias("n")), "labels")
     found = matching.strengths(labels, automaton_terms())
     return found.join(labels, "label").groupBy("term", "strength").agg(F.count("*").alias("labels"), F.sum("n").alias("n"))
 

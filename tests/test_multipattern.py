@@ -37,3 +37,14 @@ def test_strengths_are_those_of_each_term(spark):
     found = Counter(tuple(r) for r in matching.strengths(df, terms).collect())
     plain = df.distinct().withColumn("t", F.explode(dims.term_column(terms))).select("label", F.col("t.name").alias("term"), matching.strength(F.col("t"), F.col("label")).alias("strength")).where("strength > 0")
     assert found == Counter(tuple(r) for r in plain.collect())
+
+
+def test_labels_are_dealt_over_all_tasks(spark):
+    from factloom.operators import matching
+    from factloom.plans import dims
+
+    labels = spark.createDataFrame([(f"alpha {i}",) for i in range(40)], "label string")
+    found = matching.strengths(labels, [dims.Term("a", aliases=("alpha",))])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # small labels aren't brought together into one task
+    assert found.count() == 40
