@@ -56,3 +56,19 @@ def test_state_replays_to_the_batch_result_and_parses_changed_files_only(spark,
     assert {(f, p) for f, p, _ in third - second} == {("f2", "a.md")}
     assert facts.parse_changed(spark, f"file://{root}", landing) == 0
     assert facts.facts(spark, str(tmp_path / "sink")).where(F.col("folder") == "f2").count() == 0
+
+
+def test_the_root_is_not_listed_for_each_round(spark, tmp_path, monkeypatch):
+    root, landing = tmp_path / "root", str(tmp_path / "landing")
+    listed, real = [], facts._listed
+    monkeypatch.setattr(facts, "_listed", lambda s, r, *paths: listed.append(len(paths)) or real(s, r, *paths))
+    head = "| code | item | amount |\n|--|--|--|\n"
+    for k in range(9):
+        write(root, f"f{k % 2}/{k}.md", head + f"| 1000{k} | x | 5 |")
+    assert facts.parse_changed(spark, f"file://{root}", landing, most_files=2) == 9
+    assert listed == [0, 0]  # the listing, and one pass
+    write(root, "f0/0.md", head + "| 10000 | changed | 15 |")
+    write(root, "f0/2.md", head + "| 10002 | changed | 15 |")
+    listed.clear()
+    assert facts.parse_changed(spark, f"file://{root}", landing, most_files=1) == 2
+    assert listed == [0, 1, 1]
