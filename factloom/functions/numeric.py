@@ -30,9 +30,11 @@ def parse_numeric(cell: Column) -> Column:  # O-40
         body = F.when(negative, strip(c.substr(F.lit(2), F.length(c) - 2))).otherwise(c)
         clean = F.regexp_replace(F.regexp_replace(body, r"(?U)[,$%％\s元仟千萬億NTnt]", ""), "−", "-")
         value = let(clean, _as_double)
-        return F.when(~c.isin(*_PLACEHOLDERS), F.when(negative, -value).otherwise(value) + 0.0)
+        return F.when(negative, -value).otherwise(value) + 0.0
 
-    return let(strip(cell), number)
+    # a plain number needs no cleaning, and without a digit there is none
+    plain = lambda c: F.when(c.rlike(_FLOAT), c.try_cast("double") + 0.0).when(c.rlike("[0-9]"), number(c))
+    return let(strip(cell), plain)
 
 
 def nth_value(cells: Column, n: Column | int, stride: Column | int) -> Column:  # O-41

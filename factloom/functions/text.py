@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, with the four information separators that Python's strip() also removes.
 _W = r"[\s\x1c-\x1f]"
+#: The same as characters, for trimming: a regular expression would try each place of a text.
+_W_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _CJK = "[一-鿿]"
 
@@ -30,11 +32,12 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def strip(c: Column) -> Column:  # O-21
-    return F.regexp_replace(c, rf"(?U)^{_W}+|{_W}+$", "")
+    return F.when(F.octet_length(c) == F.length(c), F.btrim(c, F.lit(_W_CHARS[:10]))).otherwise(F.btrim(c, F.lit(_W_CHARS)))
 
 
 def despace_cjk(c: Column) -> Column:  # O-20
-    return F.regexp_replace(c, rf"(?U)(?<={_CJK}){_W}+(?={_CJK})", "")
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, c).otherwise(F.regexp_replace(c, rf"(?U)(?<={_CJK}){_W}+(?={_CJK})", ""))
 
 
 def contains_any(c: Column, terms: Column) -> Column:  # O-22
@@ -63,13 +66,15 @@ def strip_footnote_suffix(c: Column) -> Column:  # O-26
 
 def split_row(line: Column) -> Column:  # O-27
     """Cells of a table line; one pipe at either end goes, empty cells keep their place."""
-    inner = F.regexp_replace(F.regexp_replace(strip(line), r"^\|", ""), r"\|$", "")
+    inner = F.regexp_replace(strip(line), r"^\||\|$", "")
     return F.transform(F.split(inner, r"\|"), strip)
 
 
 def is_divider(line: Column) -> Column:  # O-28
     cells = F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|")
-    return line.contains("|") & F.forall(cells, lambda c: strip(c).rlike(r"^(:?-+:?)?$"))
+    # few lines hold nothing but a divider's characters, and only these are cut
+    may = line.contains("|") & (F.btrim(line, F.lit("|:-" + _W_CHARS)) == "")
+    return F.when(line.isNotNull(), F.when(may, F.forall(cells, lambda c: strip(c).rlike(r"^(:?-+:?)?$"))).otherwise(False))
 
 
 def looks_like_code(c: Column) -> Column:  # O-29

@@ -98,7 +98,7 @@ def code_entries(rows: DataFrame) -> DataFrame:  # O-65
     island = rows.withColumn("entry_ord", F.last(F.when(opens, F.col("line_no")), True).over(_so_far())).where("entry_ord IS NOT NULL")
     first = island.withColumn("own", F.col("line_no") == F.col("entry_ord"))
     grouped = first.groupBy(*KEY, "file_name", "entry_ord").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "cells"))).alias("parts"), F.max(F.when(F.col("own"), F.col("stride"))).alias("stride")
+        F.sort_array(F.collect_list(F.struct("line_no", "cells"))).alias("parts"), F.max(F.when(F.col("own"), F.col("stride"))).alias("stride")
     )
     cells = F.flatten(F.transform("parts", lambda p: p.cells))
     return grouped.select(*KEY, "file_name", "entry_ord", F.get(cells, F.lit(0)).alias("code"), cells.alias("cells"), "stride")
@@ -119,7 +119,7 @@ def tables(lines: DataFrame) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("header"), F.col(c))).alias(c)
     grouped = t.groupBy(*KEY, "file_name", "header_line").agg(
         F.max(F.when(F.col("header"), F.col("cells"))).alias("header"),
-        F.array_sort(F.collect_list(F.when(F.col("row_idx").isNotNull(), F.struct("row_idx", "cells")))).alias("parts"),
+        F.sort_array(F.collect_list(F.when(F.col("row_idx").isNotNull(), F.struct("row_idx", "cells")))).alias("parts"),
         first("heading"), first("numbered"), first("company_before"), first("scale"),
     )
     return grouped.select(*KEY, "file_name", "header_line", "header", F.transform("parts", lambda p: p.cells).alias("rows"), "heading", T.heading_topic(F.col("heading")).alias("topic"), "numbered", "company_before", "scale")

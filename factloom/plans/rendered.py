@@ -89,4 +89,4 @@ def documents(rows: DataFrame, folder: Column, file_name: Column | str, content:
 
 def grouped_rows(df: DataFrame, keys: list[str], order: str, line: Column) -> DataFrame:
     """One text of lines for each group, in order."""
-    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x.l), "\n").alias("rows"))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x.l), "\n").alias("rows"))
