@@ -75,11 +75,13 @@ def before_divider(lines: DataFrame, size: int) -> DataFrame:
 def table_lines(lines: DataFrame, size: int = SEGMENT) -> DataFrame:  # O-66, O-67, O-141
     """Lines with seg, cells, pipe, divider, header, header_line and row_idx as of tables.table_lines(); for lines of a table also heading, of the nearest heading line before its header, and right, the place of its second code column."""
     may = before_divider(lines, size).withColumn("may", F.col("pipe") & F.col("opens")).drop("opens")
+    codes = F.filter(F.transform(F.col("cells"), lambda c, i: F.when(c.rlike("代碼$"), i)), lambda i: i.isNotNull())
+    # what is staged is narrow: cells are cut from their line again at the end
+    may = may.withColumn("_right", F.when(F.col("may"), F.get(codes, F.lit(1)))).drop("cells")
     runs = scanned(may, "runs", {"last_none": F.when(~F.col("may"), F.col("line_no")), "_head": T.heading(F.col("line"))})
     header = F.col("may") & (F.pmod(F.col("line_no") - F.coalesce("last_none", F.lit(-1)), F.lit(2)) == 1)
-    codes = F.filter(F.transform(F.col("cells"), lambda c, i: F.when(c.rlike("代碼$"), i)), lambda i: i.isNotNull())
     # what is known of a table travels with its header
-    head = runs.withColumn("header", header).withColumn("_at", F.when(F.col("header"), F.struct(F.col("line_no").alias("line"), F.col("_head").alias("heading"), F.get(codes, F.lit(1)).alias("right")))).drop("may", "last_none", "_head")
+    head = runs.withColumn("header", header).withColumn("_at", F.when(F.col("header"), F.struct(F.col("line_no").alias("line"), F.col("_head").alias("heading"), F.col("_right").alias("right")))).drop("may", "last_none", "_head", "_right")
     at = scanned(head, "headers", {"_at": F.col("_at")})
     rel = F.col("line_no") - F.col("_at.line")
     ends = at.withColumn("_stop", F.when((rel >= 2) & (~F.col("pipe") | F.col("divider")), F.col("line_no")))
@@ -87,6 +89,7 @@ def table_lines(lines: DataFrame, size: int = SEGMENT) -> DataFrame:  # O-66, O-
     inside = ~F.coalesce(F.col("_stop") > F.col("_at.line"), F.lit(False))
     found = known.withColumn("header_line", F.when(inside, F.col("_at.line"))).withColumn("heading", F.when(inside, F.col("_at.heading"))).withColumn("right", F.when(inside, F.col("_at.right")))
     row = F.col("line_no") - F.col("header_line") - 2
+    found = T.computed(found, cells=F.when(F.col("pipe"), T.split_row(F.col("line"))))
     return found.withColumn("row_idx", F.when(row >= 0, row)).drop("_at", "_stop")
 
 
@@ -126,17 +129,19 @@ def code_facts(rows: DataFrame, period: int = 1) -> DataFrame:  # O-65, O-142
     opens = T.looks_like_code(F.get("cells", F.lit(0)))
     numbers = lambda cells: F.filter(F.transform(cells, N.parse_numeric), lambda v: v.isNotNull())
     right = F.when(opens, F.slice("cells", 2, 1 << 20)).otherwise(F.col("cells"))
-    base = T.computed(rows, _opens=opens, _numbers=numbers(right))
+    base = T.computed(rows, _opens=opens, _numbers=numbers(right), _first=F.get("cells", F.lit(0)), _second=F.get("cells", F.lit(1)))
+    # what is staged is narrow: the cells stay behind
+    base = base.select(*KEY, "file_name", "seg", "line_no", "stride", "_opens", "_numbers", "_first", "_second")
     entry = F.when(F.col("_opens"), F.struct(F.col("line_no").alias("ord"), F.col("stride").alias("stride")))
-    at = scanned(base, "entries", {"_entry": entry}, {"_before": F.size("_numbers")}).where("_entry IS NOT NULL")
+    at = scanned(base.withColumn("_new", entry).drop("stride"), "entries", {"_entry": F.col("_new")}, {"_before": F.size("_numbers")}).where("_entry IS NOT NULL")
     # numbers before the entry: those before its first row, which is a row of the entry's own
-    first = scanned(at, "islands", {"_base": F.when(F.col("_opens"), F.col("_before"))})
+    first = scanned(at.drop("_new"), "islands", {"_base": F.when(F.col("_opens"), F.col("_before"))})
     place = (period - 1) * F.col("_entry.stride") - (F.col("_before") - F.col("_base"))
     hit = (place >= 0) & (place < F.size("_numbers"))
     own = lambda c: F.max(F.when(F.col("_opens"), c))
     found = first.withColumn("_value", F.when(hit, F.get("_numbers", place.cast("int")))).withColumn("entry_ord", F.col("_entry.ord"))
     # an entry's label may be on a later row where its first has one cell only
-    second = F.when(F.col("_opens"), F.get("cells", F.lit(1)))
-    later = F.min(F.when(~F.col("_opens"), F.struct("line_no", F.get("cells", F.lit(0)).alias("cell")))).getField("cell")
-    code = own(F.get("cells", F.lit(0)))
+    second = F.when(F.col("_opens"), F.col("_second"))
+    later = F.min(F.when(~F.col("_opens"), F.struct("line_no", F.col("_first").alias("cell")))).getField("cell")
+    code = own(F.col("_first"))
     return found.groupBy(*KEY, "file_name", "entry_ord").agg(code.alias("code"), F.coalesce(F.max(second), later, code).alias("label"), F.max("_value").alias("value"))

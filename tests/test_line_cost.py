@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric as N
 from factloom.functions import text as T
+from factloom.operators import segments
 from factloom.operators import tables as X
 
 
@@ -34,3 +35,13 @@ def test_entries_are_sorted_without_a_comparator(spark):
     lines = spark.createDataFrame([("a", 1, "f", i, f"| A{i:03d} | x | {i} |") for i in range(5)], "folder string, file_ord int, file_name string, line_no int, line string")
     entries = X.code_entries(X.row_lines(lines))
     assert "lambdafunction(if" not in plan(entries) and [r.code for r in entries.orderBy("entry_ord").collect()] == [f"A{i:03d}" for i in range(5)]
+
+
+def test_scans_of_segments_stage_no_cells(spark, monkeypatch):
+    made, stage = {}, segments.staged
+    monkeypatch.setattr(segments, "staged", lambda df, name: made.setdefault(name, df) and stage(df, name))
+    lines = spark.createDataFrame([("a", 1, "f", i, line) for i, line in enumerate(["| 代碼 | 項目 | 代碼 |", "|--|--|--|", "| A001 | x | 1 |", "| | y | 2 |"])], "folder string, file_ord int, file_name string, line_no int, line string")
+    table = segments.table_lines(lines, 2)
+    assert {(r.line_no, r.row_idx, r.right, len(r.cells)) for r in table.where("row_idx >= 0").collect()} == {(2, 0, 2, 3), (3, 1, 2, 3)}
+    assert [(r.code, r.label, r.value) for r in segments.code_facts(segments.row_lines(lines, 2), 2).where("code = 'A001'").collect()] == [("A001", "x", 2.0)]
+    assert all("cells" not in made[name].columns for name in ("runs", "headers", "stops", "entries", "islands"))
