@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import stages
-from factloom.llm.common import stored, table
+from factloom.llm.common import rested, stored, table
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -25,8 +25,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    rested(spark)
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = stored(docs, f"stage{number}")
+            rested(spark)
     return docs

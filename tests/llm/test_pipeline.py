@@ -50,3 +50,12 @@ def test_stages_of_no_documents(spark):
     docs = common.table(spark, DATA, "documents").where("false")
     for stage in (stages.drop_toxic, stages.drop_low_quality, stages.drop_near_duplicates, stages.mix_sources, stages.encode):
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_the_driver_rests_before_each_stage(spark, monkeypatch):
+    calls, rested = [], common.rested
+    monkeypatch.setattr(corpus_pipeline, "rested", lambda s: (calls.append("rest"), rested(s)))
+    same = lambda s, docs, d: (calls.append("stage"), docs)[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", same), ("b", same), ("c", same)])
+    assert corpus_pipeline.run(spark, DATA).count() == common.table(spark, DATA, "documents").count()
+    assert calls == ["rest", "stage"] * 3
