@@ -6,33 +6,48 @@ All but encode() return the columns of documents.  Rows without doc_id pass the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, minhash, mixing, quality, toxicity
-from .common import fresh_name, stored, table
+from .common import fresh_name, rested, stored, table
 
 THRESHOLD = 0.7
 
 
+def rests(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that begins with the driver at rest, whoever calls it: not only run() of the pipeline does."""
+
+    @wraps(stage)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rested(spark)
+        return stage(spark, docs, sf_dir)
+
+    return wrapped
+
+
 def _scored(docs: DataFrame, score: Column, keep: Callable[[Column], Column]) -> DataFrame:
     name = fresh_name(docs, "_score")
     return docs.withColumn(name, score).where(keep(F.col(name))).drop(name)
 
 
+@rests
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose toxicity score is 0.7 or more.  A null or empty text has the score of an empty one; repeated rows go or stay together; texts are scored whole, and other columns come back as they were."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, toxicity.score(F.col("text"), model), lambda s: s < THRESHOLD)
 
 
+@rests
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose quality score is below 0.7.  A null or empty text has the score of an empty one; repeated rows go or stay together; texts are scored whole, and other columns come back as they were."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, quality.score(F.col("text"), model), lambda s: s >= THRESHOLD)
 
 
+@rests
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each near-duplicate group, that of the smallest doc_id; of equal rows of one doc_id and text, one.  Rows without doc_id stay.
 
@@ -57,6 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return one.select(docs.columns).union(docs.where("doc_id IS NULL")).toDF(*columns)
 
 
+@rests
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: once for each full pass of the text's words, rounded to the nearest.
 
@@ -71,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated.drop(row)
 
 
+@rests
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed) of every document, with proof that they decode to its text: text_sha256 of the decoded bytes.
 

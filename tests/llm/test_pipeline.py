@@ -59,3 +59,23 @@ def test_the_driver_rests_before_each_stage(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", same), ("b", same), ("c", same)])
     assert corpus_pipeline.run(spark, DATA).count() == common.table(spark, DATA, "documents").count()
     assert calls == ["rest", "stage"] * 3
+
+
+def test_a_stage_called_alone_rests_the_driver_too(spark, monkeypatch):
+    calls, rested = [], common.rested
+    monkeypatch.setattr(stages, "rested", lambda s: (calls.append("rest"), rested(s)))
+    docs = common.table(spark, DATA, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA)
+    assert len(calls) >= len(corpus_pipeline.STAGES)
+
+
+def test_the_driver_rests_after_a_job_where_its_heap_has_grown(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "rested", lambda s: calls.append("rest"))
+    for large in (False, True, True):
+        monkeypatch.setattr(common, "grown", lambda s: large)  # noqa: B023
+        assert common.stored(spark.range(3)).count() == 3
+    assert calls == ["rest"] * 2
+    monkeypatch.undo()
+    assert common.grown(spark) in (False, True)
