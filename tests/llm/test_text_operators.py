@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,34 @@ def test_extraction_against_plain_windows(spark):
     assert extraction.extracted(pages.limit(0)).count() == 0
 
 
+def test_suffix_array_is_sorted_and_compares_neighbours(spark):
+    rng, run = random.Random(5), 3
+    words = {i: [rng.choice("abc") for _ in range(rng.randint(0, 40))] for i in range(30)}
+    number = dict(zip("abc", (int(x) for x in extraction.numbers(list("abc")))))
+    rows = [(i, i % 2, i, None if i % 3 else "article", [number[w] for w in ws]) for i, ws in words.items()]
+    pages = spark.createDataFrame(rows, "row long, host long, stream long, text string, words array<long>")
+    each = sorted((r.host, list(r.suffix), r.row, r.at, r.stream, r.asks) for r in extraction.suffixes(pages, run).collect())
+    assert len(each) == sum(max(0, len(w) - run + 1) for w in words.values())
+    hosts, matrix = np.array([e[0] for e in each]), np.array([e[1] for e in each])
+    shared = [next((k for k in range(run) if a[1][k] != b[1][k]), run) if a[0] == b[0] else 0 for a, b in zip(each, each[1:])]
+    assert extraction.shared_words(hosts, matrix).tolist() == shared
+    seen = defaultdict(set)
+    for host, suffix, _, _, stream, asks in each:
+        seen[host, tuple(suffix)].add((stream, asks))
+    want = {k for k, v in seen.items() if len(v) > 1 and any(a for _, a in v)}
+    columns = [pa.array(c) for c in zip(*[(e[0], e[1], e[4], e[5]) for e in each])]
+    whole = pa.RecordBatch.from_arrays(columns, ["host", "suffix", "stream", "asks"])
+    for size in (1, 7, len(each)):  # intervals that end in another batch come in pieces
+        pieces = defaultdict(list)
+        for b in extraction.intervals(run)(iter([whole.slice(i, size) for i in range(0, len(each), size)])):
+            for r in b.to_pylist():
+                pieces[r["host"], tuple(r["suffix"])].append((r["lo"], r["hi"], r["asked"]))
+        assert {k for k, v in pieces.items() if min(p[0] for p in v) < max(p[1] for p in v) and any(p[2] for p in v)} == want
+    held = {r.row: sorted(r.held) for r in extraction.repeated(pages, run).collect()}
+    plain = {r[0]: [k for k in range(len(r[4]) - run + 1) if (r[1], tuple(r[4][k : k + run])) in want] for r in rows if r[3] is None}
+    assert held == {k: v for k, v in plain.items() if v}
+
+
 def test_hosts(spark):
     urls = {"https://User:pw@WWW.a.org:81/x": "www.a.org", "http://b.c?x@y": "b.c", "ftp://[::1]:3/": "[::1]", "a.org/x": "", None: "", "": ""}
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", extraction.host_of(F.col("u")).alias("h")).collect()
