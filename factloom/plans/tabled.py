@@ -201,7 +201,7 @@ def automaton_terms() -> list[dims.Term]:
 
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for each supplier with a row for each of its parts, written by the report sink and read back by the workbook source."""
-    li = R.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("value"), F.max("l_returnflag").alias("flag"))
+    li = R.table(spark, sf_dir, "lineitem").repartition("l_suppkey").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("value"), F.max("l_returnflag").alias("flag"))
     k = F.col("l_partkey")
     rows = li.select(F.format_string("/in/s%06d", "l_suppkey").alias("folder"), k.alias("pos"), k.cast("string").alias("term"), "value", F.col("flag").alias("term_found"), F.lit("").alias("page"), F.when(k % 7 == 0, 'a "note" & <more>').alias("note"), (k % 3 == 0).alias("is_percent"), (k % 2 == 0).alias("is_scaled"))
     uri = f"{shared_dir(spark)}/reports"
