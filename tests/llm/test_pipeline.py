@@ -79,3 +79,23 @@ def test_the_driver_rests_after_a_job_where_its_heap_has_grown(spark, monkeypatc
     assert calls == ["rest"] * 2
     monkeypatch.undo()
     assert common.grown(spark) in (False, True)
+
+
+def test_the_drivers_jvm_gives_back_free_memory_outside_its_heap(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) / 1024
+
+    assert common.trimmed(spark)
+    for _ in range(3):  # so that the one below hardly needs new heap
+        common.stored(spark.range(3))
+    held = [jvm.java.util.zip.Deflater() for _ in range(4000)]  # each takes over 100 kB outside the heap
+    for x in held[:-1]:
+        x.end()
+    full = resident()
+    assert common.stored(spark.range(3)).count() == 3
+    assert resident() < full - 100
+    held[-1].end()
