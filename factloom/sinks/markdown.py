@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from .reports import ReportWriter, Written
+from .reports import ReportWriter, Written, each_row
 
 
 class DocumentWriter(ReportWriter):
@@ -20,7 +20,7 @@ class DocumentWriter(ReportWriter):
         store, root = self._store()
         at, done = f"{root}/{self.pending}/{uuid.uuid4().hex}", []
         store.create_dir(at, recursive=True)
-        for number, (folder, path, content) in enumerate(rows):
+        for number, (folder, path, content) in enumerate(each_row(rows)):
             with store.open_output_stream(f"{at}/{number}") as out:
                 out.write(bytes(content or b""))
             done.append((f"{at}/{number}", f"{folder}/{path}"))

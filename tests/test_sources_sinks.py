@@ -1,10 +1,11 @@
 """Sources, sinks and validation: scan order, workbooks there and back, landing, streaming, terms."""
 
+import pyarrow as pa
 import pytest
 
 from factloom.operators import grid
 from factloom.plans import dims
-from factloom.sinks import files
+from factloom.sinks import files, markdown
 from factloom.sources import documents, regulator, workbooks
 from factloom.streaming import ingest
 
@@ -27,6 +28,18 @@ def test_scan_orders_by_path_parts_and_drops_bad_bytes(spark, tmp_path):
     assert found == {1: "zero", 2: "one", 3: "two"}
 
 
+def test_documents_pass_in_arrow_batches(spark, tmp_path):
+    uri = f"file://{tmp_path}/docs"
+    writer = markdown.DocumentWriter(uri)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f", "f", "g"]), pa.array(["b.md", "sub/a.md", "n.md"]), pa.array([b"\xffone\r\n", b"zero", None], pa.binary())], ["folder", "path", "content"])
+    writer.commit([writer.write(iter([batch]))])
+    rows = spark.createDataFrame([("g", "n.md", b"two"), ("h", "é+%41.md", b"a\xffb")], "folder string, path string, content binary")
+    markdown.write_documents(rows, uri)  # replaces a file, leaves the others
+    found = {p.relative_to(tmp_path / "docs").as_posix(): p.read_bytes() for p in (tmp_path / "docs").rglob("*") if p.is_file()}
+    assert found == {"f/b.md": b"\xffone\r\n", "f/sub/a.md": b"zero", "g/n.md": b"two", "h/é+%41.md": b"a\xffb"}
+    assert {r.file_ord: (r.file_name, r.content) for r in documents.scan(spark, uri).collect()} == {1: ("b.md", "one\r\n"), 2: ("a.md", "zero"), 3: ("n.md", "two"), 4: ("é+%41.md", "ab")}
+
+
 def test_workbook_is_read_back_as_a_grid(spark, tmp_path):
     path = files.write_workbook([("甲", ROWS)], str(tmp_path / "out.xlsx"))
     got = {(r.r, r.c): r.value for r in workbooks.read_grid(spark, f"file://{path}").collect()}
