@@ -40,6 +40,14 @@ def test_documents_pass_in_arrow_batches(spark, tmp_path):
     assert {r.file_ord: (r.file_name, r.content) for r in documents.scan(spark, uri).collect()} == {1: ("b.md", "one\r\n"), 2: ("a.md", "zero"), 3: ("n.md", "two"), 4: ("é+%41.md", "ab")}
 
 
+def test_lines_of_written_documents(spark, tmp_path):
+    uri = f"file://{tmp_path}/docs"
+    rows = [("f", "b é+%41.md", b"one\xff\n\n 2 \r\n"), ("f", "docs/a.md", b"# head\n| a | b |\n"), ("f", "c.txt", b"no"), ("g", "a.md", b"last")]
+    markdown.write_documents(spark.createDataFrame(rows, "folder string, path string, content binary"), uri)
+    found = {(r.file_ord, r.file_name, r.line_no, r.line) for r in documents.scan_lines(spark, uri).collect()}
+    assert found == {(1, "b é+%41.md", 0, "one"), (1, "b é+%41.md", 1, "2"), (2, "a.md", 0, "# head"), (2, "a.md", 1, "| a | b |"), (3, "a.md", 0, "last")}
+
+
 def test_workbook_is_read_back_as_a_grid(spark, tmp_path):
     path = files.write_workbook([("甲", ROWS)], str(tmp_path / "out.xlsx"))
     got = {(r.r, r.c): r.value for r in workbooks.read_grid(spark, f"file://{path}").collect()}
