@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import lookup
 from factloom.operators import tables as X
+from factloom.sinks import markdown
 from factloom.sources.documents import ordered
 from factloom.streaming import facts, ingest
 
@@ -58,6 +59,22 @@ def test_state_replays_to_the_batch_result_and_parses_changed_files_only(spark,
     assert facts.facts(spark, str(tmp_path / "sink")).where(F.col("folder") == "f2").count() == 0
 
 
+def test_written_documents_are_parsed_and_parsed_again_when_replaced(spark, tmp_path):
+    root, landing, sink = (f"file://{tmp_path}/{n}" for n in ("root", "landing", "sink"))
+    head = "| code | item | amount |\n|--|--|--|\n"
+
+    def step(*files):
+        markdown.write_documents(spark.createDataFrame(files, "folder string, path string, content string"), root)
+        parsed = facts.parse_changed(spark, root, landing)
+        facts.fold(spark, landing, f"file://{tmp_path}/ck", sink).awaitTermination()
+        return parsed, {(r.folder, r.code, r.value, r.file_name) for r in facts.facts(spark, sink).collect()}
+
+    kept = ("n2", "11000", 7.0, "b.md")
+    assert step(("n1", "a.md", head + "| 10000 | x | 5 |"), ("n2", "b.md", head + "| 11000 | y | 7 |")) == (2, {("n1", "10000", 5.0, "a.md"), kept})
+    assert step(("n1", "a.md", head + "| 10000 | x | 50 |")) == (1, {("n1", "10000", 50.0, "a.md"), kept})
+    assert step(("n1", "a/0.md", head + "| 10000 | x | 500 |")) == (1, {("n1", "10000", 500.0, "0.md"), kept})
+
+
 def test_the_root_is_not_listed_for_each_round(spark, tmp_path, monkeypatch):
     root, landing = tmp_path / "root", str(tmp_path / "landing")
     listed, real = [], facts._listed
