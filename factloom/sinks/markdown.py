@@ -24,15 +24,11 @@ class DocumentWriter(ReportWriter):
             with store.open_output_stream(f"{at}/{number}") as out:
                 out.write(bytes(content or b""))
             done.append((f"{at}/{number}", f"{folder}/{path}"))
-        return Written(done)
+        return self._noted(store, at, done)
 
     def commit(self, messages: list) -> None:
         store, root = self._store()
-        new = {name: at for m in messages if m for at, name in m.files}
-        for parent in {name.rpartition("/")[0] for name in new}:
-            store.create_dir(f"{root}/{parent}", recursive=True)
-        for name, at in new.items():
-            store.move(at, f"{root}/{name}")
+        self._move(store, root, messages)
         self._clean()
 
 
